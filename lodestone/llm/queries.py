@@ -1,9 +1,10 @@
 """The registered queries of the training-data operators and, where SQL can express one, its SQL."""
 
-from . import mixing
+from . import mixing, simhash
 
 QUERIES = {
     "op2_mixing": mixing.op2,
+    "op8_simhash_covering": simhash.op8,
 }
 
 ORACLES = {
