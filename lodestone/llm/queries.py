@@ -1,9 +1,10 @@
 """The registered queries of the training-data operators and, where SQL can express one, its SQL."""
 
-from . import mixing, simhash
+from . import mixing, simhash, tokenids
 
 QUERIES = {
     "op2_mixing": mixing.op2,
+    "op6_token_ids_rans": tokenids.op6,
     "op8_simhash_covering": simhash.op8,
 }
 
