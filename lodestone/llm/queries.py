@@ -1,12 +1,13 @@
 """The registered queries of the training-data operators and, where SQL can express one, its SQL."""
 
-from . import media, mixing, simhash, tokenids
+from . import langid, media, mixing, simhash, tokenids
 
 QUERIES = {
     "op2_mixing": mixing.op2,
     "op3_media_avi": media.op3,
     "op6_token_ids_rans": tokenids.op6,
     "op8_simhash_covering": simhash.op8,
+    "op10_language_id": langid.op10,
 }
 
 ORACLES = {
