@@ -71,10 +71,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(buf: np.ndarray, off: np.ndarray, blank: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word, and for each document the index of its first word (one more entry at the end)."""
     n = len(buf)
-    space = SPACE[buf]
+    space = blank[buf]
     inner = off[1:-1]
     inner = inner[(inner > 0) & (inner < n)]
     before = np.empty(n, bool)
