@@ -24,11 +24,26 @@ from .rans import FrequencyTable, decode, encode
 
 END_ID = 2
 #: Ids that are encoded side by side, and pieces that a worker remembers.
-GROUP_TOKENS, REMEMBERED = 1 << 20, 1 << 19
+GROUP_TOKENS, REMEMBERED = 1 << 20, 1 << 20
+#: New pieces that are encoded in one call.
+PIECES = 2048
 
 _loaded: dict[str, object] = {}
 
 
+class _Pieces(dict):
+    """Number of each piece; a piece that isn't there yet gets the next one and is noted as new."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        self.new.append(piece)
+        return n
+
+
 class PieceTokenizer:
     """Encodes each distinct blank-separated piece once.
 
@@ -43,30 +58,34 @@ class PieceTokenizer:
         self.forget()
 
     def forget(self) -> None:
-        self.at: dict[str, int] = {}
+        self.at = _Pieces()
         self.ids, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def learn(self, new: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-        n = np.array([len(x) for x in got], np.int64)
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in got for i in x), np.uint32, int(n.sum()))])
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(n)])
+        """Encode new pieces, many in one call; a token belongs to the piece in which it starts."""
+        found, sizes = [self.ids], [np.zeros(0, np.int64)]
+        for k in range(0, len(new), PIECES):
+            part = new[k : k + PIECES]
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            length = np.fromiter(map(len, part), np.int64, len(part)) + 1
+            begin = np.fromiter((o[0] for o in e.offsets), np.int64, len(e))
+            sizes.append(np.bincount(np.searchsorted(np.cumsum(length), begin, "right"), minlength=len(part)))
+            found.append(np.array(e.ids, np.uint32))
+        self.ids = np.concatenate(found)
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.concatenate(sizes))])
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has, its end id included."""
         if len(self.at) > REMEMBERED:
             self.forget()
-        known, new, index, sizes = self.at, [], [], np.zeros(len(texts), np.int64)
+        number, index, sizes = self.at.__getitem__, [], np.zeros(len(texts), np.int64)
         for k, t in enumerate(texts):
             pieces = (t or "").replace("\n", " ").split(" ")
-            for p in pieces:
-                if p not in known:
-                    known[p] = len(known)
-                    new.append(p)
-            index += map(known.__getitem__, pieces)
+            index += map(number, pieces)
             sizes[k] = len(pieces)
-        if new:
-            self.learn(new)
+        if self.at.new:
+            self.learn(self.at.new)
+            self.at.new = []
         index = np.array(index, np.int64)
         n = self.first[index + 1] - self.first[index]
         cut = np.concatenate([[0], np.cumsum(sizes)])
