@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators and, where SQL can express one, its SQL."""
 
-from . import decontam, langid, media, mixing, simhash, suffixdedup, tokenids, toxicity
+from . import decontam, langid, lmscore, media, mixing, simhash, suffixdedup, tokenids, toxicity
 
 QUERIES = {
     "op2_mixing": mixing.op2,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_token_ids_rans": tokenids.op6,
     "op7_suffix_dedup": suffixdedup.op7,
     "op8_simhash_covering": simhash.op8,
+    "op9_lm_scoring": lmscore.op9,
     "op10_language_id": langid.op10,
 }
 
