@@ -1,8 +1,9 @@
 """The registered queries of the training-data operators and, where SQL can express one, its SQL."""
 
-from . import decontam, langid, lmscore, media, mixing, simhash, suffixdedup, tokenids, toxicity
+from . import decontam, langid, linededup, lmscore, media, mixing, simhash, suffixdedup, tokenids, toxicity
 
 QUERIES = {
+    "op1_line_dedup": linededup.op1,
     "op2_mixing": mixing.op2,
     "op3_media_avi": media.op3,
     "op4_toxicity_nbsvm": toxicity.op4,
