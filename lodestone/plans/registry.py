@@ -1,4 +1,6 @@
 """Registered queries over the given tables and the SQL they are held against."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import maintenance, retrieval
+
+QUERIES = {**retrieval.QUERIES, **maintenance.QUERIES}
+ORACLES = {**retrieval.ORACLES, **maintenance.ORACLES}
