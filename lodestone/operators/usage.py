@@ -25,7 +25,8 @@ def cache_hits(calls: DataFrame, key: str, seconds: int = CACHE_SECONDS, order:
     Every call refreshes the entry. The window is by key and sorted; it keeps one row at a time.
     """
     before = F.lag("ts").over(Window.partitionBy(key).orderBy("ts", order))
-    age = F.unix_micros("ts") - F.unix_micros(before)
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    age = micros(F.col("ts")) - micros(before)
     return calls.withColumn("age", (age / 1e6).cast("double")).withColumn("hit", F.coalesce(F.col("age") <= seconds, F.lit(False)))
 
 

@@ -1,2 +1,362 @@
+"""Registered queries: text and HTML, splitting, maintenance, rules, accounting."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import split as S
+from ..functions import text as T
+from ..operators import classify, evaluate, maintain, usage
+from .tables import table
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with the SQL it is held against."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- Text
+
+
+@query(r"""select doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g'), ' {2,}', ' ', 'g'), '^\s+|\s+$', '', 'g') as cleaned from documents""")
+def clean_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.clean(F.col("text")).alias("cleaned"))
+
+
+@query("select md5(substring(text, 1, 200)) as key, min(doc_id) as first_id, count(*) as n from documents group by 1")
+def content_key_dedup(spark, d):
+    docs = table(spark, d, "documents")
+    key = T.content_key(F.col("text"), F.col("text"), F.col("source"), F.lit("doc"))
+    return docs.select("doc_id", key.alias("key")).groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
+
+
+_HTML = "html"
+for _e in T.DROPPED_ELEMENTS:
+    _HTML = rf"regexp_replace({_HTML}, '(?is)<{_e}\b[^>]*>.*?</{_e}\s*>', chr(10), 'g')"
+_HTML = rf"regexp_replace(regexp_replace({_HTML}, '(?s)<!--.*?-->', chr(10), 'g'), '<[^>]*>', chr(10), 'g')"
+for _n, _c in T.ENTITIES:
+    _HTML = f"replace({_HTML}, '{_n}', '{T.escape_sql(_c)}')"
+
+
+@query(f"select page_id, coalesce(list_aggregate(list_filter(list_transform(string_split({_HTML}, chr(10)), lambda x: trim(x)), lambda x: length(x) > 1), 'string_agg', chr(10)), '') as body from pages")
+def html_to_text(spark, d):
+    return table(spark, d, "pages").select("page_id", T.html_lines(F.col("html")).alias("body"))
+
+
+@query(r"""with u as (select page_id, regexp_replace(regexp_replace(lower(url), '[?#].*$', ''), '^https?://(www\.|m\.)?', '') as clean from pages)
+    select clean, min(page_id) as first_id, count(*) as n from u group by clean""")
+def url_dedup(spark, d):
+    clean = F.regexp_replace(F.regexp_replace(F.lower("url"), r"[?#].*$", ""), r"^https?://(www\.|m\.)?", "")
+    return table(spark, d, "pages").select("page_id", clean.alias("clean")).groupBy("clean").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
+
+
+@query("select page_id, string_split(url, '/')[-1] as tail, 'pdf_' || substr(md5(url), 1, 6) as short_id, 'obsidian_' || substr(sha256(url), 1, 16) as long_id from pages")
+def url_ids(spark, d):
+    p = table(spark, d, "pages")
+    return p.select("page_id", T.file_name(F.col("url")).alias("tail"), T.short_id(F.col("url"), "pdf_", 6).alias("short_id"), F.concat(F.lit("obsidian_"), F.substring(F.sha2("url", 256), 1, 16)).alias("long_id"))
+
+
+def _notes(spark, d):
+    """A Markdown note for each conversation: a heading, then a section for each turn."""
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))  # of one conversation each
+    body = F.array_join(F.transform("t", lambda x: F.concat(F.lit("## "), x["role"], F.lit("\n"), x["text"])), "\n")
+    return turns.select("conv_id", F.concat(F.lit("# conversation "), F.col("conv_id").cast("string"), F.lit("\n"), body).alias("content"))
+
+
+@query("select conv_id, 'conversation ' || conv_id as h1, role as h2, turn as pos, trim(text, ' ' || chr(10) || chr(9)) as body from conversations")
+def heading_sections(spark, d):
+    s = _notes(spark, d).select("conv_id", F.posexplode(S.by_headings(F.col("content"), F.lit("note"))).alias("pos", "s"))
+    return s.select("conv_id", "s.h1", "s.h2", F.col("pos").cast("long").alias("pos"), "s.body")
+
+
+@query()
+def chunk_documents(spark, d):
+    """The whole splitter over conversations as Markdown notes; see the tests for what it is held against."""
+    c = _notes(spark, d).select("conv_id", F.posexplode(S.chunks(F.col("content"), F.lit("note"))).alias("pos", "c"))
+    return c.select("conv_id", "pos", "c.h1", "c.h2", F.length("c.body").alias("char_count"), F.concat_ws("\n\n", S.prefix(F.lit("note"), F.col("c.h1"), F.col("c.h2"), F.lit(""), F.array()), "c.body").alias("text"))
+
+
+@query()
+def split_paragraphs(spark, d):
+    """Documents, a paragraph a line, packed into chunks of 320 characters; see the tests."""
+    parts = T.strip(F.regexp_replace("text", "\n", "\n\n"))
+    c = table(spark, d, "documents").select("doc_id", F.posexplode(S.packed(S.paragraphs(parts), S.max_chars())).alias("pos", "chunk"))
+    return c.select("doc_id", "pos", F.length("chunk").alias("char_count"), "chunk")
+
+
+@query()
+def sliding_chunks(spark, d):
+    """Overlapping windows of 2000 characters; see the tests."""
+    c = table(spark, d, "documents").select("doc_id", F.posexplode(S.sliding(F.col("text"))).alias("pos", "chunk"))
+    return c.select("doc_id", "pos", F.length("chunk").alias("char_count"))
+
+
+@query("select conv_id, string_agg(role || ': ' || text, chr(10) order by turn) as transcript, count(*) as n_turns from conversations group by conv_id")
+def transcripts(spark, d):
+    rows = F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(": ", "role", "text").alias("line"))))
+    t = table(spark, d, "conversations").groupBy("conv_id").agg(rows.alias("r"), F.count("*").alias("n_turns"))
+    return t.select("conv_id", F.array_join(F.transform("r", lambda x: x["line"]), "\n").alias("transcript"), "n_turns")
+
+
+@query("select event_id, cast(json_extract_string(props, '$.k') as integer) as k from events")
+def json_fields(spark, d):
+    return table(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+
+
+@query("""select p_partkey, case when p_name <> p_brand then '来源: ' || p_brand || ' | 章节: ' || p_name else '来源: ' || p_brand end || case when p_type <> '' then ' | 分类: ' || p_type else '' end as prefix from part""")
+def chunk_prefix(spark, d):
+    p = table(spark, d, "part")
+    return p.select("p_partkey", S.prefix(F.col("p_brand"), F.col("p_name"), F.lit(""), F.col("p_type"), F.array().cast("array<string>")).alias("prefix"))
+
+
+# --- Maintenance: documents are the files, labelled ones are the index
+
+
+@query("select doc_id from documents where doc_id not in (select doc_id from labels where doc_id is not null)")
+def missing_sources(spark, d):
+    return maintain.missing(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id")
+
+
+@query("select distinct c_custkey as custkey from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'P')")
+def stale_sources(spark, d):
+    files = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").cast("string").alias("source"))
+    idx = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("source"))
+    return maintain.stale(idx, files).select(F.col("source").cast("long").alias("custkey"))
+
+
+@query("select md5(text) as id, count(*) as n from documents group by 1 having count(*) > 1")
+def duplicate_ids(spark, d):
+    return maintain.duplicates(table(spark, d, "documents").select(F.md5("text").alias("id")))
+
+
+@query("with x as (select count(*) as n from documents group by md5(text) having count(*) > 1) select count(*) as n_keys, cast(coalesce(sum(n - 1), 0) as bigint) as n_surplus from x")
+def duplicate_summary(spark, d):
+    return maintain.duplicate_summary(table(spark, d, "documents").select(F.md5("text").alias("id")))
+
+
+@query("select distinct source from documents where text in (select text from documents group by text having count(*) > 1)")
+def sources_of_duplicates(spark, d):
+    return maintain.sources_of_duplicates(table(spark, d, "documents").select(F.md5("text").alias("id"), "source"))
+
+
+@query("select doc_id, source from documents where source not in (select source from documents where doc_id % 97 = 0)")
+def delete_by_source(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    return maintain.delete(docs, docs.where("doc_id % 97 = 0"))
+
+
+@query("""with new as (select o_custkey, o_orderkey + 1000000000 as o_orderkey, o_totalprice from orders where o_orderpriority = '1-URGENT')
+    select o_custkey, o_orderkey, o_totalprice from orders where o_custkey not in (select o_custkey from new) union all select * from new""")
+def upsert_by_source(spark, d):
+    old = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderpriority")
+    new = old.where("o_orderpriority = '1-URGENT'").withColumn("o_orderkey", F.col("o_orderkey") + 1_000_000_000)
+    return maintain.upsert(old.drop("o_orderpriority"), new.drop("o_orderpriority"), "o_custkey")
+
+
+@query("""select o_custkey, o_orderkey, o_orderstatus, o_totalprice from (
+    select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as n from orders) where n = 1""")
+def last_write_wins(spark, d):
+    rows = maintain.last_write(table(spark, d, "orders"), "o_custkey", "o_orderdate", "o_orderkey")
+    return rows.select("o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice")
+
+
+@query("select doc_id, case when doc_id in (select doc_id from labels where quality = 1) then 1 else 0 end as vectorized from documents")
+def flag_update(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.lit(0).alias("vectorized"))
+    return maintain.flag(docs, table(spark, d, "labels").where("quality = 1"), "doc_id", "vectorized", 1)
+
+
+@query("select doc_id, source, '' as tokenized_text, 'text' as chunk_type, 0 as page from documents")
+def evolve_schema(spark, d):
+    return maintain.evolve(table(spark, d, "documents").select("doc_id", "source"), {"tokenized_text": "", "chunk_type": "text", "page": 0})
+
+
+@query("select count(*) as n_rows, count(*) filter (where coalesce(text, '') <> '') as n_filled, round(count(*) filter (where coalesce(text, '') <> '')::double / count(*), 6) as share from documents")
+def filled_share(spark, d):
+    return maintain.filled_share(table(spark, d, "documents"), "text")
+
+
+@query("""with v as (select p_partkey, p_name, row_number() over (partition by p_name order by p_partkey) as version from part)
+    select p_partkey, version, case when version = 1 then p_name else p_name || '_v' || version end as saved_name from v""")
+def versioned_names(spark, d):
+    return maintain.versioned(table(spark, d, "part").select("p_partkey", "p_name"), "p_name", "p_partkey").select("p_partkey", "version", "saved_name")
+
+
+@query("select id from (select c_custkey as id from customer union select s_suppkey from supplier union select p_partkey from part)")
+def union_of_ids(spark, d):
+    ids = lambda t, c: table(spark, d, t).select(F.col(c).alias("id"))
+    return ids("customer", "c_custkey").union(ids("supplier", "s_suppkey")).union(ids("part", "p_partkey")).distinct()
+
+
+@query("select doc_id, md5(doc_id || '|0') as h from documents order by h, doc_id limit 50")
+def sample_rows(spark, d):
+    h = F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("|0")))
+    from ..sources.files import sample
+
+    return sample(table(spark, d, "documents"), "doc_id", 50).select("doc_id", h.alias("h"))
+
+
+# --- Rules
+
+
+@query("""select d.doc_id from documents d left join labels l using (doc_id) where not (
+    l.quality is not distinct from 0 or (l.quality is distinct from 1 and (d.lang = 'fr' or contains(d.text, 'idiot') or starts_with(d.source, 'src1'))))""")
+def isolation_filter(spark, d):
+    rows = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    out = classify.isolated(F.col("quality").cast("boolean"), F.col("lang"), F.col("text"), F.col("source"), ["idiot"], ("fr",), "src1")
+    return rows.where(~out).select("doc_id")
+
+
+_FOLDERS = [("metal", 0, "bolt", 0), ("metal", 0, "gear", 1), ("colour", 1, "red", 0), ("colour", 1, "blue", 1), ("size", 2, "small", 0), ("kind", 3, "widgets", 0)]
+_FOLDER_SQL = ", ".join(f"('{f}', {a}, '{k}', {b})" for f, a, k, b in _FOLDERS)
+
+
+@query(f"""with f(folder, fo, kw, ko) as (values {_FOLDER_SQL}), t as (select p_partkey, unnest(string_split(p_name, ' ')) as tag, generate_subscripts(string_split(p_name, ' '), 1) as tag_order from part)
+    select p_partkey, arg_min(folder, tag_order * 10000 + fo * 100 + ko) as folder from t join f on contains(lower(tag), kw) or contains(kw, lower(tag)) where tag <> '' group by p_partkey""")
+def classify_keywords(spark, d):
+    folders = spark.createDataFrame(_FOLDERS, "folder string, folder_order int, keyword string, keyword_order int")
+    parts = table(spark, d, "part").select("p_partkey", F.split("p_name", " ").alias("tags"))
+    return classify.classify(parts, "p_partkey", "tags", folders)
+
+
+@query("select p_partkey, p_name from part where lower(p_name) like '%gear%' or lower(p_name) like '%red%'")
+def tech_filter(spark, d):
+    return table(spark, d, "part").where(classify.holds_any(F.col("p_name"), ["gear", "red"])).select("p_partkey", "p_name")
+
+
+@query("""select l_orderkey, l_linenumber, case when w * h < 10000 then 'too small' when h = 0 or w::double / h < 0.05 or w::double / h > 20 then 'odd shape' else '' end as reason
+    from (select l_orderkey, l_linenumber, cast(l_quantity * 20 as integer) as w, cast(l_linenumber * 60 as integer) as h from lineitem)""")
+def image_filter(spark, d):
+    w, h = (F.col("l_quantity") * 20).cast("int"), (F.col("l_linenumber") * 60).cast("int")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", classify.image_filter(w, h)["reason"].alias("reason"))
+
+
+@query("""select o_orderkey, case when not (o_orderstatus = 'F' or o_orderpriority = '1-URGENT') then 'need_process' when o_totalprice < 1000 then 'skip' when o_custkey % 2 = 0 then 'duplicate' else 'moved' end as state from orders""")
+def triage_states(spark, d):
+    folder = F.when(F.col("o_totalprice") >= 1000, F.lit("done"))
+    state = classify.triage(F.col("o_orderstatus") == "F", F.col("o_orderpriority") == "1-URGENT", folder, F.col("o_custkey") % 2 == 0)
+    return table(spark, d, "orders").select("o_orderkey", state.alias("state"))
+
+
+@query("""with x as (select user_id, count(*) filter (where event_type = 'error') as failed, count(*) filter (where event_type <> 'error') as succeeded from events group by user_id)
+    select user_id, case when failed = 0 then null when failed < succeeded then 'warning' else 'error' end as level from x""")
+def alert_severity(spark, d):
+    e = table(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("failed"), F.count_if(F.col("event_type") != "error").alias("succeeded"))
+    return e.select("user_id", classify.severity(F.col("failed"), F.col("succeeded")).alias("level"))
+
+
+@query("select event_id, user_id, rn from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events) where rn <= 3")
+def newest_per_source(spark, d):
+    return classify.newest(table(spark, d, "events"), "user_id", 3, F.desc("ts"), F.desc("event_id")).select("event_id", "user_id", "rn")
+
+
+# --- Accounting
+
+
+@query("select o_orderstatus, count(*) as n from orders group by 1")
+def status_counts(spark, d):
+    return usage.by_status(table(spark, d, "orders"), "o_orderstatus")
+
+
+@query("select o_orderkey, o_orderstatus, o_totalprice from orders order by o_orderkey desc limit 10")
+def latest_n(spark, d):
+    return table(spark, d, "orders").orderBy(F.desc("o_orderkey")).limit(10).select("o_orderkey", "o_orderstatus", "o_totalprice")
+
+
+@query("select lang, count(*) as n, count(*) filter (where n_chars > 1000) as n_long, cast(sum(n_chars) as bigint) as chars from documents group by lang")
+def counts_by_type(spark, d):
+    return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("n_chars") > 1000).alias("n_long"), F.sum("n_chars").alias("chars"))
+
+
+_LIMITS = {"click": 60, "view": 70, "purchase": 50, "signup": 100, "error": 1000}
+_LIMIT_SQL = ", ".join(f"('{k}', {v})" for k, v in _LIMITS.items())
+
+
+@query(f"""with l(provider, monthly_limit) as (values {_LIMIT_SQL}), u as (select strftime(ts, '%Y-%m-%d') as period, event_type as provider, count(*) as used from events group by 1, 2)
+    select period, provider, used, monthly_limit, greatest(0, monthly_limit - used) as remaining, used < monthly_limit as available from u left join l using (provider)""")
+def daily_quota(spark, d):
+    limits = spark.createDataFrame(list(_LIMITS.items()), "provider string, monthly_limit int")
+    calls = table(spark, d, "events").select("ts", F.col("event_type").alias("provider"))
+    return usage.quota(calls, limits, "yyyy-MM-dd")
+
+
+@query(f"""with l(provider, monthly_limit) as (values {_LIMIT_SQL}), u as (select strftime(ts, '%Y-%m') as period, event_type as provider, count(*) as used from events group by 1, 2)
+    select period, provider, used, monthly_limit, greatest(0, monthly_limit - used) as remaining, used < monthly_limit as available from u left join l using (provider)""")
+def monthly_quota(spark, d):
+    limits = spark.createDataFrame(list(_LIMITS.items()), "provider string, monthly_limit int")
+    return usage.quota(table(spark, d, "events").select("ts", F.col("event_type").alias("provider")), limits)
+
+
+@query("""with c as (select event_id, (epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id, event_type order by ts, event_id)))::double / 1e6 as age from events)
+    select event_id, round(age, 6) as age, coalesce(age <= 7200, false) as hit from c""")
+def ttl_cache_hits(spark, d):
+    e = table(spark, d, "events").withColumn("key", F.concat_ws("|", F.col("user_id").cast("string"), "event_type"))
+    return usage.cache_hits(e, "key", 7200, "event_id").select("event_id", F.round("age", 6).alias("age"), "hit")
+
+
+_CHAIN = {"purchase": 0, "signup": 1, "click": 2, "view": 3}
+_CHAIN_SQL = ", ".join(f"('{k}', {v})" for k, v in _CHAIN.items())
+
+
+@query(f"""with p(provider, pr) as (values {_CHAIN_SQL}), c as (select user_id || '/' || strftime(ts, '%j') as request, pr, value > 5 as eligible, greatest(0, floor(value) - 10) as n from events join p on event_type = provider),
+    w as (select request, min(case when n > 0 then pr end) as won from c where eligible group by request),
+    t as (select c.request, w.won, count(distinct pr) filter (where w.won is null or pr <= w.won) as tried from c join w on c.request = w.request where eligible group by c.request, w.won)
+    select request, p.provider, tried from t left join p on p.pr = t.won""")
+def provider_fallback(spark, d):
+    e = table(spark, d, "events")
+    calls = e.select(F.concat_ws("/", F.col("user_id").cast("string"), F.date_format("ts", "DDD")).alias("request"), F.col("event_type").alias("provider"), (F.col("value") > 5).alias("eligible"), F.greatest(F.lit(0), F.floor("value") - 10).alias("n_results"))
+    return usage.first_answer(calls, "request", _CHAIN)
+
+
+@query("select event_id, user_id, event_type from events order by ts desc, event_id desc limit 50")
+def diagnostics(spark, d):
+    return usage.diagnostics(table(spark, d, "events").withColumn("seq", F.col("event_id"))).select("event_id", "user_id", "event_type")
+
+
+@query("select md5(lower(trim(' ' || p_name || ' ')) || '|' || p_size) as cache_key, count(*) as n from part group by 1")
+def cache_keys(spark, d):
+    p = table(spark, d, "part").select(T.cache_key(F.concat(F.lit(" "), "p_name", F.lit(" ")), F.col("p_size")).alias("cache_key"))
+    return p.groupBy("cache_key").agg(F.count("*").alias("n"))
+
+
+@query("""select lang, round(avg(case when n_chars > 100 then 40.0::double else 0 end + case when n_chars < 5000 then 25.0::double else 0 end + case when contains(text, chr(10)) then 20.0::double else 0 end
+    + case when source = 'src0' then 10.0::double else 0 end + case when doc_id % 2 = 0 then 5.0::double else 0 end), 6) as score, count(*) as n from documents group by lang""")
+def rubric_score(spark, d):
+    c = F.col
+    rules = {"long": (c("n_chars") > 100, 40.0), "short": (c("n_chars") < 5000, 25.0), "lines": (c("text").contains("\n"), 20.0), "hot": (c("source") == "src0", 10.0), "even": (c("doc_id") % 2 == 0, 5.0)}
+    return evaluate.rubric(table(spark, d, "documents"), "lang", rules)
+
+
+@query("select distinct source from documents order by source limit 10")
+def first_sources(spark, d):
+    return table(spark, d, "documents").select("source").distinct().orderBy("source").limit(10)
+
+
+@query("select doc_id, rank, substring(text, 1, 800) as head from (select *, row_number() over (order by n_chars desc, doc_id) as rank from documents) where rank <= 30")
+def top_snippets(spark, d):
+    top = table(spark, d, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(30)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")).cast("long")).select("doc_id", "rank", F.substring("text", 1, 800).alias("head"))
+
+
+@query("select date_trunc('hour', ts) as start, event_type, count(*) as n from events group by 1, 2")
+def hourly_counts(spark, d):
+    return table(spark, d, "events").groupBy(F.window("ts", "1 hour")["start"].alias("start"), "event_type").agg(F.count("*").alias("n"))
+
+
+@query("select nation.n_name, region.r_name, count(*) as n_customers, round(sum(c_acctbal), 2) as balance from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey where c_acctbal > 0 group by 1, 2")
+def predicate_pass_through(spark, d):
+    """A user's predicate string, applied below the joins."""
+    c = table(spark, d, "customer").where("c_acctbal > 0")
+    n = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # fixed dimensions
+    return c.join(F.broadcast(n), c["c_nationkey"] == n["n_nationkey"]).groupBy("n_name", "r_name").agg(F.count("*").alias("n_customers"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
