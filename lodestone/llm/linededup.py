@@ -148,7 +148,8 @@ def dropped_lines(keyed: DataFrame) -> DataFrame:
 
 
 def drop_lines(docs: DataFrame) -> DataFrame:
-    """The documents without their recurring lines; columns n_lines and n_dropped say how many there were and went."""
+    """The documents without their recurring lines; columns n_lines and n_dropped, which replace any of that name, say how many there were and went."""
+    docs = docs.drop("n_lines", "n_dropped")
     cols = docs.columns
     keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID).cast("long")), "__hash": F.xxhash64("text")})
     gone = dropped_lines(keyed.select(F.col("__id").alias("id"), F.col("__hash").alias("text_hash"), "text"))

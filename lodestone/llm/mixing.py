@@ -6,7 +6,7 @@ one comparison of its hash with its source's threshold: nothing is sorted, no do
 
 Defined cases: a null text has no words; the hash is of id and text, so repeated rows are taken alike and rows whose id is
 null are still told apart by text; a null source is a source of its own, last in order; an empty table gives an empty
-mix; other columns, of whatever name, are carried through untouched by ``apply_mix``.
+mix; other columns, of whatever name, are carried through untouched by ``stage``.
 """
 
 from __future__ import annotations
@@ -115,10 +115,10 @@ def op2(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, each as often as it takes it."""
-    cols = docs.columns
     plan = plan_mix(saved(narrowed(docs), "sizes"))
-    out = apply_mix(docs.withColumn("h", doc_hash(F.col("doc_id"), F.col("text"))), plan).where("mix_times > 0")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_times")))).select(*cols)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "source", doc_hash(F.col("doc_id"), F.col("text")).alias("h"))
+    taken = apply_mix(rows, plan).where("mix_times > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_times")))).select("row.*")
 
 
 ORACLE = r"""
