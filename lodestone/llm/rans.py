@@ -2,11 +2,11 @@
 
 A block holds up to LANES * STEPS tokens of one stream; token i belongs to lane i mod LANES. Lanes share one stream of
 32-bit words. Every CHECKPOINT steps the block's header keeps the lanes' states and the place in the stream, so that a
-decoder starts at any of them; here all stretches of all blocks of a call are decoded side by side. A CRC-32 of the ids
-as little-endian 32-bit integers closes the header.
+decoder starts at any of them; here all stretches of all blocks of a call are decoded side by side. Two CRC-32 close the
+header: of the ids as little-endian 32-bit integers, and of all bytes after the header.
 
 Layout, little-endian: magic "LRA1", lanes u16, steps between checkpoints u16, tokens u32, words u32, checkpoints u32,
-crc u32; then for each checkpoint the place u32 and the lanes' states u64; then the words u32.
+ids' crc u32, body's crc u32; then for each checkpoint the place u32 and the lanes' states u64; then the words u32.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import numpy as np
 
 MAGIC = b"LRA1"
 LANES, STEPS, CHECKPOINT = 32, 1024, 256
-HEAD = struct.Struct("<4sHHIIII")
+HEAD = struct.Struct("<4sHHIIIII")
 #: States lie in [LOW, LOW << 32).
 LOW_BITS = 31
 
@@ -96,9 +96,10 @@ def encode(streams: list[np.ndarray], table: FrequencyTable) -> list[list[bytes]
             words[np.repeat(base + first[t], s) + np.arange(len(w)) - np.repeat(np.cumsum(s) - s, s)] = w
     for j, (k, p) in enumerate(parts):
         at = range(0, int(steps[j]), CHECKPOINT)
-        head = HEAD.pack(MAGIC, LANES, CHECKPOINT, len(p), int(total[j]), len(at), zlib.crc32(np.ascontiguousarray(p, "<u4").tobytes()))
         points = b"".join(struct.pack("<I", int(first[t, j])) + marks[t][j].astype("<u8").tobytes() for t in at)
-        out[k].append(head + points + words[base[j] : base[j] + total[j]].astype("<u4").tobytes())
+        body = points + words[base[j] : base[j] + total[j]].astype("<u4").tobytes()
+        sums = zlib.crc32(np.ascontiguousarray(p, "<u4").tobytes()), zlib.crc32(body)
+        out[k].append(HEAD.pack(MAGIC, LANES, CHECKPOINT, len(p), int(total[j]), len(at), *sums) + body)
     return out
 
 
@@ -108,11 +109,13 @@ def decode(blocks: list[bytes], table: FrequencyTable) -> list[np.ndarray]:
         return []
     heads, states, places, counts, words, base = [], [], [], [], [], 0
     for b in blocks:
-        magic, lanes, every, n, n_words, points, crc = HEAD.unpack_from(b)
+        magic, lanes, every, n, n_words, points, crc, body = HEAD.unpack_from(b)
         if magic != MAGIC:
             raise ValueError("not a token block")
         if (lanes, every) != (LANES, CHECKPOINT):
             raise ValueError("blocks of another geometry")
+        if zlib.crc32(memoryview(b)[HEAD.size :]) != body:
+            raise ValueError("a token block is damaged")
         size = 4 + 8 * lanes
         raw = np.frombuffer(b, np.uint8, points * size, HEAD.size).reshape(points, size)
         places.append(np.ascontiguousarray(raw[:, :4]).view("<u4").ravel().astype(np.int64) + base)
