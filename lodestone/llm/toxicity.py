@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ from .textarrays import LOWER, mix64, text_chunks
 
 TRAIN_ROWS = 16_000
 #: Features of the classifier, those whose ratio is the most standard errors from zero.
-MAX_FEATURES = 8000
+MAX_FEATURES = 4000
 SIZES, BITS = (4, 5, 6), 20
 SMOOTHING, MIN_Z, L2, THRESHOLD = 0.5, 3.0, 1e-4, 0.7
 
@@ -156,19 +157,19 @@ def train_model(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float |
                 d, k = _all_features(buf, off, shared.value)
                 cut = np.searchsorted(d, np.arange(hi - lo + 1))
                 lists = [k[i:j] for i, j in zip(cut[:-1], cut[1:])]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo).cast(pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "toxic", "k"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo).cast(pa.int32()), pa.array(lists, pa.list_(pa.int32()))], ["doc_id", "toxic", "k"])
 
-    got = train.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic long, k array<long>").toPandas()
-    y = (got["toxic"].to_numpy() > 0).astype(float)
-    if not len(got) or y.min() == y.max():
-        return weights, None
+    got = train.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, k array<int>").toArrow()  # TRAIN_ROWS rows
     # The same order of sums in every run.
-    order = np.argsort(got["doc_id"].to_numpy() * 2 + y, kind="stable")
-    y, lists = y[order], [got["k"].iloc[i] for i in order]
-    rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    at = np.concatenate([np.asarray(x, np.int64) for x in lists]) if len(rows) else np.zeros(0, np.int64)
+    got = got.take(np.lexsort((np.asarray(got["toxic"]), np.asarray(got["doc_id"])))).combine_chunks()
+    y = (np.asarray(got["toxic"]) > 0).astype(float)
+    if not len(y) or y.min() == y.max():
+        return weights, None
+    lists = got["k"].combine_chunks()
+    rows = np.repeat(np.arange(len(y), dtype=np.int32), np.asarray(pa.compute.list_value_length(lists)))
+    at = np.asarray(lists.flatten())
     index = np.flatnonzero(used)
-    w, b = fit_logistic(rows, np.searchsorted(index, at), r[at], y, len(index))
+    w, b = fit_logistic(rows, np.searchsorted(index, at).astype(np.int32), r[at], y, len(index))
     weights[index] = w * r[index]
     return weights, float(b)
 
