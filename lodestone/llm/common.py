@@ -10,9 +10,19 @@ from pyspark.sql import functions as F
 
 #: A table of more rows than this is never broadcast; the join is then salted instead.
 BROADCAST_ROWS = 200_000
+#: Rows of text in an Arrow batch.
+BATCH_ROWS = 2000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in smaller batches than Spark's default, unless the session has a setting of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

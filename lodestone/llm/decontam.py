@@ -29,7 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import bounded_batches, table
 from .textarrays import gram_hashes, text_chunks, word_hashes, words
 
 SHINGLE, MIN_SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 24, 8
@@ -201,6 +201,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that hold no item of the benchmark."""
+    bounded_batches(spark)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     for index in item_blocks(table(spark, sf_dir, "benchmark")):
         shared = spark.sparkContext.broadcast(index)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_small, saved, table
+from .common import bounded_batches, join_small, saved, table
 
 #: By rank of the source in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -115,6 +115,7 @@ def op2(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, each as often as it takes it."""
+    bounded_batches(spark)
     plan = plan_mix(saved(narrowed(docs), "sizes"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), "source", doc_hash(F.col("doc_id"), F.col("text")).alias("h"))
     taken = apply_mix(rows, plan).where("mix_times > 0")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, saved, table
+from .common import bounded_batches, components, saved, table
 from .textarrays import LOWER, text_chunks, words
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -129,6 +129,7 @@ def op8(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the row of least id (of rows alike in id and fingerprint, the first by text)."""
+    bounded_batches(spark)
     cols = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,16 +15,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_small, saved, table
+from .common import bounded_batches, join_small, saved, table
 from .rans import FrequencyTable, decode, encode
 
 END_ID = 2
 #: Ids that are encoded side by side, and pieces that a worker remembers.
-GROUP_TOKENS, REMEMBERED = 1 << 20, 1 << 20
+GROUP_TOKENS, REMEMBERED = 1 << 20, 800_000
 #: New pieces that are encoded in one call.
 PIECES = 2048
 
@@ -130,9 +131,9 @@ def token_rows(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for lo, hi in _groups([len(x or "") for x in texts], 4 << 20):
-                ids, n = t.encode(texts[lo:hi], end_id)
+            sizes = pa.compute.fill_null(pa.compute.binary_length(b.column(1)), 0).to_pylist()
+            for lo, hi in _groups(sizes, 2 << 20):
+                ids, n = t.encode(b.column(1).slice(lo, hi - lo).to_pylist(), end_id)
                 raw = ids.astype(wide).tobytes()
                 off = np.concatenate([[0], np.cumsum(n)]) * np.dtype(wide).itemsize
                 data = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(raw)])
@@ -230,4 +231,5 @@ def op6(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return write_and_read(docs)
