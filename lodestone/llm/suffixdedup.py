@@ -11,8 +11,8 @@ anchor travel together, as one piece of at most 168 bytes, to the bin of their a
 
 1. The anchors' hash slots are shuffled and two bits kept for each of 2**28 slots: seen once, seen again. This bitmap of
    32 MB whatever the input is broadcast. A slot that was seen once holds no repeat; the filter loses nothing.
-2. Pieces whose anchor was seen again are shuffled by bin, compressed. Of pieces of one batch that are alike only the
-   first keeps its bytes; so a passage that a third of all rows share travels once for each batch.
+2. Pieces whose anchor was seen again are shuffled by bin, compressed. A piece that a task has sent before, from an
+   earlier place, goes without its bytes; so a passage that a third of all rows share travels about once for each task.
 3. In each bin suffixes with the same anchor at the same distance are sorted and classed; each piece yields one interval.
 4. Intervals meet their documents again by id and are merged.
 
@@ -34,12 +34,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import saved, table
-from .textarrays import CHUNK_BYTES, mix64, prefix_hash, span_hash, text_chunks
+from .textarrays import CHUNK_BYTES, frugal, mix64, prefix_hash, span_hash, text_chunks
 
 LENGTH, GRAM = 100, 32
 SLOT_BITS, BUCKET_BITS = 28, 8
 #: Bytes of pieces that a bin should hold, and strings that are sorted at once.
-BIN_BYTES = 4 << 20
+BIN_BYTES, SORTED_AT_ONCE = 4 << 20, 1 << 20
+#: Pieces that a task remembers having sent.
+REMEMBERED = 1 << 17
 NULL_ID = -(1 << 63)
 
 
@@ -92,6 +94,7 @@ def repeat_slots(docs: DataFrame) -> tuple[np.ndarray, int]:
     """The bitmap of slots that were seen more than once, and the number of pieces."""
     rest = SLOT_BITS - BUCKET_BITS
 
+    @frugal
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [(Pieces(buf, off).hash >> np.uint64(64 - SLOT_BITS)).astype(np.uint32) for _, buf, off, _ in _segments(b.column(0))]
@@ -101,6 +104,7 @@ def repeat_slots(docs: DataFrame) -> tuple[np.ndarray, int]:
             blobs = [s[cut[k] : cut[k + 1]].tobytes() for k in some]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "slots"])
 
+    @frugal
     def seen_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, again, total = {}, {}, {}
         for b in batches:
@@ -149,8 +153,9 @@ def pieces_by_bin(docs: DataFrame, bitmap: np.ndarray, bins: int) -> DataFrame:
     """(bin, pieces binary) of all pieces whose anchor was seen again."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
+        bits, sent = shared.value, {}
         for b in batches:
             ids, hashes = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
             cols, texts, names = {k: [] for k, _ in FIELDS}, [], []
@@ -172,15 +177,19 @@ def pieces_by_bin(docs: DataFrame, bitmap: np.ndarray, bins: int) -> DataFrame:
                 texts += [raw[i:j] for i, j in zip(start.tolist(), end.tolist())]
             c = {k: np.concatenate([np.zeros(0, t), *v]).astype(t) for (k, t), v in zip(FIELDS, cols.values())}
             names, bin_of = np.concatenate([np.zeros(0, np.uint64), *names]), np.concatenate([np.zeros(0, np.int64), *bin_of])
-            # Of pieces alike, the first in document order keeps its bytes.
-            order = np.lexsort((c["start"], c["text_hash"], c["doc"], names))
-            first = None
-            for x, same in zip(order.tolist(), np.concatenate([[False], names[order][1:] == names[order][:-1]]).tolist()):
-                if not same:
-                    first = x
-                elif texts[x] == texts[first]:
-                    if (c["doc"][x], c["text_hash"][x], c["start"][x]) != (c["doc"][first], c["text_hash"][first], c["start"][first]):
-                        c["lead"][x], texts[x] = COVERED, b""
+            # A piece that the task has already sent, from an earlier place, goes without its bytes.
+            order = np.lexsort((c["start"], c["text_hash"], c["doc"]))
+            covered = []
+            for x, name, *place in zip(order.tolist(), names[order].tolist(), *(c[k][order].tolist() for k in ("doc", "text_hash", "start"))):
+                was = sent.get(name)
+                if was is not None and was[0] < place and was[1] == texts[x]:
+                    covered.append(x)
+                    texts[x] = b""
+                else:
+                    sent[name] = place, texts[x]
+            c["lead"][covered] = COVERED
+            if len(sent) > REMEMBERED:
+                sent.clear()
             order = np.argsort(bin_of, kind="stable")
             cut = np.searchsorted(bin_of[order], np.arange(bins + 1))
             some = np.flatnonzero(np.diff(cut))
@@ -278,8 +287,20 @@ def repeated_pieces(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
     at = np.cumsum(length) - length
     live = np.flatnonzero(~covered)
     live = live[np.lexsort((c["start"][live], c["text_hash"][live], c["doc"][live]))]
+    s = Suffixes(text)
+    place = at[live] + c["lead"][live]
+    # Pieces with the same anchor are looked at together, the others in turns.
+    turns = 1 + int(windows[live].sum()) // SORTED_AT_ONCE
+    turn = (mix64(span_hash(s.prefix, place, place + GRAM)) >> np.uint64(40)) % np.uint64(turns)
+    for k in range(turns):
+        out.append(_repeated(c, live[turn == k], at, windows, s))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _repeated(c: dict, live: np.ndarray, at: np.ndarray, windows: np.ndarray, s: Suffixes) -> tuple[np.ndarray, ...]:
+    """repeated_pieces for the pieces ``live``, given in document order."""
+    out = [(c["doc"][:0], c["text_hash"][:0], c["start"][:0], c["start"][:0])]
     if len(live):
-        s = Suffixes(text)
         w, lead, place = windows[live], c["lead"][live].astype(np.int64), at[live]
         anchor = mix64(span_hash(s.prefix, place + lead, place + lead + GRAM))
         piece = np.repeat(np.arange(len(live)), w)
@@ -328,6 +349,7 @@ def repeated_pieces(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
 def repeated_intervals(pieces: DataFrame) -> DataFrame:
     """(id, text_hash, span): spans as start * 2**32 + end."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blobs = None, []
 
@@ -353,6 +375,7 @@ def cut_texts(docs: DataFrame, spans: DataFrame, with_text: bool = False) -> Dat
     per_doc = spans.groupBy("id", "text_hash").agg(F.collect_list("span").alias("spans"))  # of one document each
     rows = docs.join(per_doc, ["id", "text_hash"], "left").select("doc_id", "text", "spans")
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, found = b.column(1).to_pylist(), b.column(2).to_pylist()
