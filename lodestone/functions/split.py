@@ -111,6 +111,7 @@ def chunks(content: Column, title: Column, most: int = max_chars(), least: int =
 
 def prefix(filename: Column, h1: Column, h2: Column, category: Column, tags: Column) -> Column:
     """What a chunk's text starts with: where it is from, its headings, category and first three tags."""
+    # The labels of source, chapter, section, category and tags.
     some = lambda label, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(label), c))
     return F.concat_ws(" | ", F.concat(F.lit("来源: "), filename), F.when(h1 != filename, some("章节: ", h1)), some("小节: ", h2), some("分类: ", category), some("标签: ", F.array_join(F.slice(tags, 1, 3), ", ")))
 
