@@ -26,8 +26,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
-from .textarrays import mix64, powers, text_chunks, word_hashes, words
+from .common import join_small, saved, table
+from .textarrays import frugal, mix64, powers, text_chunks, word_hashes, words
 
 LEAD, MIN_WORDS, MIN_DOCS, MIN_SHARE = 2, 3, 10, 0.6
 LEAF_BITS, BUCKET_BITS = 26, 8
@@ -71,6 +71,7 @@ def leaf_bitmap(docs: DataFrame) -> np.ndarray:
     """Leaf slots that MIN_DOCS documents reach at least."""
     rest = LEAF_BITS - BUCKET_BITS
 
+    @frugal
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [np.zeros(0, np.uint64)]
@@ -82,6 +83,7 @@ def leaf_bitmap(docs: DataFrame) -> np.ndarray:
             some = np.flatnonzero(np.diff(cut))
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([s[cut[k] : cut[k + 1]].tobytes() for k in some], pa.binary())], ["bucket", "slots"])
 
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: dict[int, np.ndarray] = {}
         for b in batches:
@@ -107,6 +109,7 @@ def candidate_lines(keyed: DataFrame, bitmap: np.ndarray) -> tuple[DataFrame, Da
     """(id, text_hash, line) of lines in leaves that matter, and (line, leaf, n_docs, words) once for each batch."""
     shared = keyed.sparkSession.sparkContext.broadcast(bitmap)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "text_hash", "line", "leaf", "n_docs", "words"]
         for b in batches:
@@ -139,12 +142,12 @@ def dropped_lines(keyed: DataFrame) -> DataFrame:
     shapes = saved(shapes.groupBy("line").agg(F.first("leaf").alias("leaf"), F.sum("n_docs").alias("n_docs"), F.first("words").alias("words")), "shapes")
     at = shapes.select("line", "leaf", "n_docs", F.posexplode("words").alias("place", "word"))
     constant = at.groupBy("leaf", "place", "word").agg(F.sum("n_docs").alias("n")).where(f"n >= {MIN_DOCS} and word <> {int(VARIABLE.view(np.int64))}").drop("n")
-    kept = at.join(constant, ["leaf", "place", "word"]).groupBy("line").agg(F.bit_xor(F.xxhash64("place", "word")).alias("template"), F.count("*").alias("n_kept"))
+    kept = join_small(at, saved(constant, "constants"), ["leaf", "place", "word"], "inner").groupBy("line").agg(F.bit_xor(F.xxhash64("place", "word")).alias("template"), F.count("*").alias("n_kept"))
     fixed = shapes.select("line", "leaf", F.size("words").alias("n_words")).join(kept, "line").where(F.col("n_kept") >= MIN_SHARE * F.col("n_words"))
-    fixed = fixed.select("line", F.xxhash64("leaf", "template").alias("template"))
-    placed = lines.join(fixed, "line")
+    fixed = saved(fixed.select("line", F.xxhash64("leaf", "template").alias("template")), "templates")
+    placed = saved(join_small(lines, fixed, ["line"], "inner"), "placed")
     recurring = placed.select("template", "id", "text_hash").distinct().groupBy("template").count().where(f"count >= {MIN_DOCS}").select("template")
-    return placed.join(recurring, "template", "left_semi").groupBy("id", "text_hash").agg(F.collect_set("line").alias("lines"))  # of one document each
+    return join_small(placed, saved(recurring, "recurring"), ["template"], "left_semi").groupBy("id", "text_hash").agg(F.collect_set("line").alias("lines"))  # of one document each
 
 
 def drop_lines(docs: DataFrame) -> DataFrame:
@@ -157,6 +160,7 @@ def drop_lines(docs: DataFrame) -> DataFrame:
     rows = keyed.join(gone, ["__id", "__hash"], "left").select(*cols, "__lines")
     text_at = cols.index("text")
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text, out, n_lines, n_dropped = b.column(text_at), b.column(text_at).to_pylist(), [0] * b.num_rows, [0] * b.num_rows
