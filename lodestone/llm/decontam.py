@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import bounded_batches, table
-from .textarrays import gram_hashes, text_chunks, word_hashes, words
+from .textarrays import frugal, gram_hashes, text_chunks, word_hashes, words
 
 SHINGLE, MIN_SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 24, 8
 ITEM_BLOCK = 20_000
@@ -182,6 +182,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, item_block: int = ITEM_B
     for index in item_blocks(benchmark, item_block):
         shared = spark.sparkContext.broadcast(index)
 
+        @frugal
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 ids = b.column(0).to_pylist()
@@ -206,6 +207,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     for index in item_blocks(table(spark, sf_dir, "benchmark")):
         shared = spark.sparkContext.broadcast(index)
 
+        @frugal
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 clean = np.ones(b.num_rows, bool)

@@ -7,7 +7,7 @@ follow from grouped aggregates over all rows: expected language counts by host,
 suffix, smoothed towards those of all rows. A row's own part is taken out of its host's counts.
 
 A row is rejected (language "und") if no language of the model has a posterior of MIN_POSTERIOR, or if its text is further
-from every language than MIN_GAIN nats a byte below the chance of random letters. Rows without letters have no text evidence;
+from every language than -MIN_GAIN nats a gram below grams drawn evenly. Rows without letters have no text evidence;
 they are rejected whatever their mark-up says.
 
 Defined cases: null or empty texts are rejected, as are texts without letters; a null host, suffix or declaration is no
@@ -25,15 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_small, saved, table
-from .textarrays import LOWER, mix64, text_chunks
+from .common import bounded_batches, join_small, saved, table
+from .textarrays import LOWER, frugal, mix64, text_chunks
 
 #: About so many labelled documents, those of small hash, are what the likelihood models are fitted on.
 TRAIN_ROWS = 4000
 GRAM, BITS = 4, 16
 #: Overlapping grams are not independent: a byte counts as this much evidence, and a whole text as at most CEILING nats.
 PER_BYTE, CEILING = 0.25, 60.0
-MIN_POSTERIOR, MIN_GAIN = 0.5, 0.0
+MIN_POSTERIOR, MIN_GAIN = 0.5, -2.0
 #: Weights, in rows, of the suffix's prior in a host's and of the overall prior in a suffix's.
 HOST_WEIGHT, SUFFIX_WEIGHT, DECLARED_WEIGHT = 20.0, 50.0, 5.0
 
@@ -42,8 +42,8 @@ _LETTER[97:123] = True
 _LETTER[128:] = True
 
 
-def _grams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of the gram that ends at each byte, and where it counts: four bytes of one document, letters or one blank.
+def _grams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket of the gram that ends at each kept byte; by text, its first byte and gram (with the ends); which bytes end a gram.
 
     Runs of other bytes are one blank each, so that punctuation and digits carry no evidence.
     """
@@ -57,8 +57,8 @@ def _grams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     cut = np.searchsorted(at, off)
     n = len(x)
     g = np.zeros(n, np.uint64)
-    for k in range(GRAM):
-        g[GRAM - 1 :] = (g[GRAM - 1 :] << np.uint64(8)) | x[k : n - GRAM + 1 + k] if n >= GRAM else g[GRAM - 1 :]
+    for k in range(GRAM if n >= GRAM else 0):
+        g[GRAM - 1 :] = (g[GRAM - 1 :] << np.uint64(8)) | x[k : n - GRAM + 1 + k]
     ok = np.ones(n, bool)
     for k in range(GRAM - 1):
         starts = cut[:-1] + k
@@ -74,6 +74,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarra
         labelled = labelled.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
     labelled = labelled.select("lang", "text")
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lang = np.array(b.column(0).to_pylist(), object)
@@ -103,6 +104,7 @@ def likelihoods(rows: DataFrame, langs: list[str], logs: np.ndarray) -> DataFram
     keep = [c for c in rows.columns if c != "text"]
     uniform = -np.log(1 << BITS)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
@@ -174,7 +176,7 @@ def fuse(rows: DataFrame, langs: list[str], logs: np.ndarray) -> DataFrame:
     out = out.withColumn("post", _softmax(logp))
     best = F.array_max("post")
     name = F.array(*[F.lit(x) for x in langs])[F.array_position("post", best).cast("int") - 1]
-    # The best language must explain the text better than grams drawn at random.
+    # Grams drawn evenly, as of random letters, are about six nats below this for a language that was trained.
     gain = F.array_max("ll") / F.greatest(F.col("grams"), F.lit(1))
     rejected = (F.col("grams") == 0) | (best < MIN_POSTERIOR) | (gain <= MIN_GAIN)
     drop = ["ll", "ev", "text_p", "n_host", "n_suffix", "n_declared", "hn", "sn", "sp", "hp", "dn", "dp", "post", "grams"]
@@ -205,6 +207,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose language is known."""
+    bounded_batches(spark)
     key = F.struct(F.xxhash64("doc_id", "text", "lang", "source"), F.xxhash64("source", "text", F.lit(1), "lang", "doc_id"))
     rows = document_rows(docs.withColumn("__key", F.to_json(key)), "__key")
     bad = saved(fuse(rows, *train(docs)).where("rejected").select("__key").distinct(), "rejected")

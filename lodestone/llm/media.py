@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from .common import table
 from .jpegcodec import WIDTH, Frame, decode_scans, encode_scans, frame_header
-from .textarrays import text_chunks
+from .textarrays import frugal, text_chunks
 
 FRAME_ROWS, FRAME_MS = 64, 40
 BINS, AROUND, DEVIATIONS, LEAST = 16, 8, 2.0, 0.1
@@ -153,6 +153,7 @@ def shots(frames: list[np.ndarray]) -> tuple[list[int], np.ndarray]:
 def store(docs: DataFrame) -> DataFrame:
     """(doc_id, media binary)."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, buf, off in text_chunks(b.column(1)):
@@ -176,6 +177,7 @@ def _files(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[tuple[pa.Arra
 def clip_rows(media: DataFrame) -> DataFrame:
     """(doc_id, clip, start_ms, end_ms, frames, difference): a row for each shot of (doc_id, media)."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for ids, files in _files(b):
@@ -195,6 +197,7 @@ def clip_rows(media: DataFrame) -> DataFrame:
 def digest_rows(media: DataFrame) -> DataFrame:
     """What the stored bytes say of each row."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for ids, files in _files(b):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, components, saved, table
-from .textarrays import LOWER, text_chunks, words
+from .textarrays import LOWER, frugal, text_chunks, words
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Keys with more distinct fingerprints than this go the way without pairs.
@@ -74,6 +74,7 @@ def fingerprints(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
 def with_fingerprint(docs: DataFrame) -> DataFrame:
     """(doc_id, fp long) for every row."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fingerprints(b.column(1)).view(np.int64))], ["doc_id", "fp"])
@@ -132,6 +133,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     cols = docs.columns
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fingerprints(b.column("text")).view(np.int64))], [*b.schema.names, "__fp"])

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import saved, table
-from .textarrays import LOWER, mix64, text_chunks
+from .textarrays import LOWER, frugal, mix64, text_chunks
 
 TRAIN_ROWS = 16_000
 #: Features of the classifier, those whose ratio is the most standard errors from zero.
@@ -62,7 +62,8 @@ def _features(buf: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np
     g, done = np.zeros(len(x), np.uint64), 0
     for size in SIZES:
         for k in range(done, size):
-            g[: len(x) - k] |= x[k:] << np.uint64(8 * k) if k < len(x) else g[:0]
+            if k < len(x):
+                g[: len(x) - k] |= x[k:] << np.uint64(8 * k)
         done = size
         m = len(x) - size + 1
         if m <= 0:
@@ -101,6 +102,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
 def log_count_ratios(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """For each bucket r, and whether it is far enough from zero."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, docs = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
         for b in batches:
@@ -151,6 +153,7 @@ def train_model(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float |
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(used)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, buf, off in text_chunks(b.column(1)):
@@ -178,6 +181,7 @@ def score(docs: DataFrame, weights: np.ndarray, intercept: float | None) -> Data
     """(doc_id, score) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         used = w != 0

@@ -184,7 +184,7 @@ def test_op9_filter_counts():
     for x in range(1, 6):
         a, b = model.keys(((h >> np.uint64(32)) & np.uint64(0xFFFFFFFF))[level >= x], x)
         for k in range(L.PROBES):
-            bits[(a + np.uint64(k) * b) % np.uint64(model.stretch)] = True
+            bits[model.place(a, b, k, model.stretch)] = True
     model.bits = np.packbits(bits, bitorder="little")
     found = model.level(h, 1)
     assert (found >= level).all() and (found == level).mean() > 0.98

@@ -103,6 +103,18 @@ def test_op4_awkward(spark, awkward, rows):
     assert len(out) == len(rows) and all(0 <= r["score"] <= 1 for r in out)
 
 
+def test_small_chunks():
+    """Chunks with less than a gram in all."""
+    for texts in ([], [""], ["a"], ["ab", ""], ["", "abcd"], ["1 2", "a b c"], ["abcde", "x"]):
+        raw = [t.encode() for t in texts]
+        buf, off = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+        doc, bucket = toxicity._all_features(buf, off)
+        alone = [toxicity._all_features(np.frombuffer(r, np.uint8), np.array([0, len(r)]))[1].tolist() for r in raw]
+        assert [bucket[doc == i].tolist() for i in range(len(raw))] == alone
+        g, (cut, upto), ok = langid._grams(buf, off)
+        assert len(g) == len(ok) == cut[-1] and upto[-1] == ok.sum()
+
+
 def test_op10_accuracy(spark, small):
     out = QUERIES["op10_language_id"](spark, small).toPandas()
     docs = out[out.doc_id.notna()]
