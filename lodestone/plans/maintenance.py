@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import render as R
 from ..functions import split as S
 from ..functions import text as T
 from ..operators import classify, evaluate, maintain, usage
@@ -360,3 +361,30 @@ def predicate_pass_through(spark, d):
     c = table(spark, d, "customer").where("c_acctbal > 0")
     n = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # fixed dimensions
     return c.join(F.broadcast(n), c["c_nationkey"] == n["n_nationkey"]).groupBy("n_name", "r_name").agg(F.count("*").alias("n_customers"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+
+
+@query("select strftime(o_orderdate, '%Y-%W') as week, count(*) as n from orders group by 1")
+def orders_by_week(spark, d):
+    return table(spark, d, "orders").groupBy(R.year_week(F.col("o_orderdate")).alias("week")).agg(F.count("*").alias("n"))
+
+
+@query("""with r as (select n_regionkey, '| ' || n_nationkey || ' | ' || n_name || ' |' as line, n_nationkey from nation)
+    select r_name, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg(line, chr(10) order by n_nationkey) as body from r join region on n_regionkey = r_regionkey group by r_name""")
+def markdown_tables(spark, d):
+    n = table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("r"))
+    rows = F.transform("r", lambda x: F.array(x["n_nationkey"].cast("string"), x["n_name"]))
+    body = R.markdown_table(F.array(F.lit("key"), F.lit("name")), rows)
+    return n.join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", body.alias("body"))
+
+
+@query("""select doc_id, has_pair from (select doc_id, source in ('src1', 'src2') as has_pair, n_chars from documents where contains(text, 'idiot')) order by has_pair desc, n_chars, doc_id limit 20""")
+def unfilled_notes(spark, d):
+    """Notes with a placeholder, those with a companion first, a limited number."""
+    docs = table(spark, d, "documents").where(F.col("text").contains("idiot")).withColumn("has_pair", F.col("source").isin("src1", "src2"))
+    return docs.orderBy(F.desc("has_pair"), "n_chars", "doc_id").limit(20).select("doc_id", "has_pair")
+
+
+@query("select doc_id, count(*) over (partition by source) as n_source, round(n_chars * 100.0::double / sum(n_chars) over (partition by source), 6) as share from documents")
+def source_shares(spark, d):
+    w = Window.partitionBy("source")
+    return table(spark, d, "documents").select("doc_id", F.count("*").over(w).alias("n_source"), F.round(F.col("n_chars") * 100.0 / F.sum("n_chars").over(w), 6).alias("share"))
