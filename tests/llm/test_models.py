@@ -154,7 +154,7 @@ def test_merge_sort_orders_suffixes():
     raw = buf.tobytes().ljust(3200, b"\0")
     order = s.merge_sort(at, group)
     want = sorted(range(700), key=lambda i: (group[i], raw[at[i] : at[i] + 100], i))
-    assert order.tolist() == want
+    assert order.tolist() == want and s.sorted_classes(at, group).tolist() == want
     x, y = at[:300], at[300:600]
     agree = [next((k for k in range(100) if raw[i + k] != raw[j + k]), 100) for i, j in zip(x, y)]
     assert s.common(x, y).tolist() == agree
