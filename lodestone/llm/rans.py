@@ -81,7 +81,8 @@ def encode(streams: list[np.ndarray], table: FrequencyTable) -> list[list[bytes]
         written.append(x[put].astype(np.uint32))  # by block, then lane; the decoder takes them in this order
         masks.append(put.sum(axis=1))
         x = np.where(put, x >> shift, x)
-        x = np.where(live, ((x // f) << bits) + c + x % f, x)
+        q = x // f
+        x = np.where(live, (q << bits) + c + (x - q * f), x)
         if t % CHECKPOINT == 0:
             marks[t] = x.copy()
     # Words of step t stand before those of step t+1.
@@ -103,6 +104,30 @@ def encode(streams: list[np.ndarray], table: FrequencyTable) -> list[list[bytes]
     return out
 
 
+def _stretches(x: np.ndarray, at: np.ndarray, count: np.ndarray | None, words: np.ndarray, table: FrequencyTable) -> np.ndarray:
+    """Ids of stretches, given the lanes' states and places in the words. count: tokens of each, None if all are whole."""
+    out = np.zeros((len(x), CHECKPOINT, LANES), np.uint32)
+    bits, mask, low = np.uint64(table.bits), np.uint64((1 << table.bits) - 1), np.uint64(1 << LOW_BITS)
+    lane = np.arange(LANES)
+    for t in range(CHECKPOINT if len(x) else 0):
+        live = None if count is None else t * LANES + lane[None, :] < count[:, None]
+        if live is not None and not live.any():
+            break
+        slot = x & mask
+        s = table.symbol[slot]
+        out[:, t] = s
+        new = table.freq[s] * (x >> bits) + slot - table.start[s]
+        get = new < low if live is None else live & (new < low)
+        rank = np.cumsum(get, axis=1)
+        put = np.flatnonzero(get)
+        where = (at[:, None] + rank).ravel()[put] - 1
+        flat = new.ravel()
+        flat[put] = (flat[put] << np.uint64(32)) | words[where]
+        x = new if live is None else np.where(live, new, x)
+        at = at + rank[:, -1]
+    return out
+
+
 def decode(blocks: list[bytes], table: FrequencyTable) -> list[np.ndarray]:
     """The ids of each block; every stretch between checkpoints is decoded at the same time."""
     if not blocks:
@@ -124,25 +149,12 @@ def decode(blocks: list[bytes], table: FrequencyTable) -> list[np.ndarray]:
         words.append(np.frombuffer(b, "<u4", n_words, HEAD.size + points * size))
         heads.append((n, points, crc))
         base += n_words
-    words = np.concatenate([*words, np.zeros(1, np.uint32)]).astype(np.uint64)
+    words = np.concatenate(words).astype(np.uint64)
     x, at, count = np.concatenate(states).astype(np.uint64), np.concatenate(places), np.concatenate(counts)
     out = np.zeros((len(x), CHECKPOINT, LANES), np.uint32)
-    bits, mask, low = np.uint64(table.bits), np.uint64((1 << table.bits) - 1), np.uint64(1 << LOW_BITS)
-    lane = np.arange(LANES)
-    for t in range(CHECKPOINT if len(x) else 0):
-        live = t * LANES + lane[None, :] < count[:, None]
-        if not live.any():
-            break
-        slot = x & mask
-        s = table.symbol[slot]
-        out[:, t] = s
-        new = table.freq[s] * (x >> bits) + slot - table.start[s]
-        get = live & (new < low)
-        rank = np.cumsum(get, axis=1)
-        where = np.minimum(at[:, None] + rank - 1, len(words) - 1)
-        new = np.where(get, (new << np.uint64(32)) | words[where], new)
-        x = np.where(live, new, x)
-        at = at + rank[:, -1]
+    full = count == CHECKPOINT * LANES
+    out[full] = _stretches(x[full], at[full], None, words, table)
+    out[~full] = _stretches(x[~full], at[~full], count[~full], words, table)
     flat, found, k = out.reshape(len(x), -1), [], 0
     for n, points, crc in heads:
         ids = flat[k : k + points].ravel()[:n]

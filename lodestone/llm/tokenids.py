@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, join_small, saved, table
 from .rans import FrequencyTable, decode, encode
+from .textarrays import frugal
 
 END_ID = 2
 #: Ids that are encoded side by side, and pieces that a worker remembers.
@@ -32,6 +33,15 @@ PIECES = 2048
 _loaded: dict[str, object] = {}
 
 
+def n_words(piece: str) -> int:
+    """Words that the tokenizer will find in a piece of Latin letters and at most one mark after them; 0 for other pieces."""
+    if not piece or max(piece) >= "\u0130":
+        return 0
+    if piece.isalpha():
+        return 1
+    return 2 if piece[-1] in ".,;:!?" and piece[:-1].isalpha() else 0
+
+
 class _Pieces(dict):
     """Number of each piece; a piece that isn't there yet gets the next one and is noted as new."""
 
@@ -56,6 +66,8 @@ class PieceTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.ends_word = np.zeros(self.vocabulary, bool)
+        self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -63,31 +75,51 @@ class PieceTokenizer:
         self.ids, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def learn(self, new: list[str]) -> None:
-        """Encode new pieces, many in one call; a token belongs to the piece in which it starts."""
-        found, sizes = [self.ids], [np.zeros(0, np.int64)]
-        for k in range(0, len(new), PIECES):
-            part = new[k : k + PIECES]
-            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            length = np.fromiter(map(len, part), np.int64, len(part)) + 1
-            begin = np.fromiter((o[0] for o in e.offsets), np.int64, len(e))
-            sizes.append(np.bincount(np.searchsorted(np.cumsum(length), begin, "right"), minlength=len(part)))
-            found.append(np.array(e.ids, np.uint32))
-        self.ids = np.concatenate(found)
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.concatenate(sizes))])
+        """Encode new pieces, many in one call.
+
+        Where it is plain how many words a piece has, the ids that end words tell the pieces apart; else the places of the
+        tokens do: a token belongs to the piece in which it starts.
+        """
+        kind = np.fromiter(map(n_words, new), np.int64, len(new))
+        sizes, order, found = np.zeros(len(new), np.int64), [], []
+        for plain in (True, False):
+            index = np.flatnonzero((kind > 0) == plain)
+            for k in range(0, len(index), PIECES):
+                at = index[k : k + PIECES]
+                part = [new[i] for i in at.tolist()]
+                text = " ".join(part)
+                ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32) if plain else None
+                last = np.flatnonzero(self.ends_word[ids]) if plain else []
+                words = np.cumsum(kind[at])
+                if plain and len(last) == words[-1]:
+                    sizes[at] = np.diff(last[words - 1] + 1, prepend=0)
+                else:
+                    e = self.tokenizer.encode(text, add_special_tokens=False)
+                    ids = np.array(e.ids, np.uint32)
+                    length = np.fromiter(map(len, part), np.int64, len(part)) + 1
+                    begin = np.fromiter((o[0] for o in e.offsets), np.int64, len(e))
+                    sizes[at] = np.bincount(np.searchsorted(np.cumsum(length), begin, "right"), minlength=len(part))
+                order.append(at)
+                found.append(ids)
+        # Back in the order of the pieces' numbers.
+        first, order = np.cumsum(sizes) - sizes, np.concatenate(order)
+        n = sizes[order]
+        flat = np.empty(int(sizes.sum()), np.uint32)
+        flat[np.repeat(first[order] - (np.cumsum(n) - n), n) + np.arange(len(flat))] = np.concatenate(found)
+        self.ids = np.concatenate([self.ids, flat])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has, its end id included."""
         if len(self.at) > REMEMBERED:
             self.forget()
-        number, index, sizes = self.at.__getitem__, [], np.zeros(len(texts), np.int64)
-        for k, t in enumerate(texts):
-            pieces = (t or "").replace("\n", " ").split(" ")
-            index += map(number, pieces)
-            sizes[k] = len(pieces)
+        joined = " ".join([t or "" for t in texts]).replace("\n", " ")
+        pieces = joined.split(" ")
+        sizes = np.fromiter((t.count(" ") + t.count("\n") + 1 if t else 1 for t in texts), np.int64, len(texts))
+        index = np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
         if self.at.new:
             self.learn(self.at.new)
             self.at.new = []
-        index = np.array(index, np.int64)
         n = self.first[index + 1] - self.first[index]
         cut = np.concatenate([[0], np.cumsum(sizes)])
         running = np.concatenate([[0], np.cumsum(n)])
@@ -128,6 +160,7 @@ def token_rows(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """(doc_id, ids binary): the ids of each document as little-endian integers of ``id_type`` width."""
     wide = id_type(path)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
         for b in batches:
@@ -150,6 +183,7 @@ def counts(tokens: DataFrame, path: str) -> np.ndarray:
     """How often each id occurs in all documents; as many rows as the vocabulary come to the driver at most."""
     wide, size = id_type(path), tokenizer(path).vocabulary
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = np.zeros(size, np.int64)
         for b in batches:
@@ -176,6 +210,7 @@ def write_shards(tokens: DataFrame, freq: FrequencyTable, path: str) -> DataFram
     wide = id_type(path)
     shared = tokens.sparkSession.sparkContext.broadcast(freq)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, seq, first = TaskContext.get().partitionId(), 0, 0
         for b in batches:
@@ -197,6 +232,7 @@ def read_shards(shards: DataFrame, freq: FrequencyTable) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) decoded from the shards."""
     shared = shards.sparkSession.sparkContext.broadcast(freq)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
