@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import saved, table
 from .textarrays import CHUNK_BYTES, frugal, mix64, prefix_hash, span_hash, text_chunks
 
-LENGTH, GRAM = 100, 32
+LENGTH, GRAM, HEAD = 100, 32, 48
 SLOT_BITS, BUCKET_BITS = 28, 8
 #: Bytes of pieces that a bin should hold, and strings that are sorted at once.
 BIN_BYTES, SORTED_AT_ONCE = 4 << 20, 1 << 20
@@ -272,13 +272,23 @@ class Suffixes:
             run *= 2
 
     def sorted_classes(self, at: np.ndarray, group: np.ndarray) -> np.ndarray:
-        """Stable order of the suffixes within runs of equal group; of those with one hash only the first is compared."""
+        """Stable order of the suffixes within runs of equal group; of those with one hash only the first is compared.
+
+        Runs are split by the first HEAD bytes before they are merged, so that a crowded anchor makes no long merges.
+        """
         h = span_hash(self.prefix, at, at + LENGTH)
         alike = np.lexsort((h, group))
         h, g = h[alike], group[alike]
         first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])]))
         many = np.diff(np.append(first, len(at)))
-        order = self.merge_sort(at[alike[first]], g[first])
+        x, g = at[alike[first]], g[first]
+        eight = np.ndarray((len(self.buf) - 7,), ">u8", self.buf, strides=(1,))
+        heads = [eight[x + k].astype(np.uint64) for k in range(HEAD - 8, -1, -8)]
+        order = np.lexsort((*heads, g))
+        new = np.zeros(len(x), bool)
+        for key in (*heads, g):
+            new[1:] |= key[order[1:]] != key[order[:-1]]
+        order = order[self.merge_sort(x[order], np.cumsum(new))]
         n = many[order]
         return alike[np.repeat(first[order] - (np.cumsum(n) - n), n) + np.arange(len(at))]
 
