@@ -171,6 +171,7 @@ def token_rows(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
                 off = np.concatenate([[0], np.cumsum(n)]) * np.dtype(wide).itemsize
                 data = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(raw)])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).cast(pa.int64()), data.cast(pa.binary())], ["doc_id", "ids"])
+        t.forget()  # the worker stays, for stages that need its memory
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 
