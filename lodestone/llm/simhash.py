@@ -114,12 +114,12 @@ def links(nodes: DataFrame, radius: int = RADIUS, pair_limit: int = PAIR_LIMIT)
 
 
 def classes(fps: DataFrame, radius: int = RADIUS, pair_limit: int = PAIR_LIMIT) -> DataFrame:
-    """(fp, component_id) for each fingerprint of (doc_id, fp)."""
+    """(fp, component_id, root) for each fingerprint of (doc_id, fp); component_id can be null or shared, root names the component."""
     nodes = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
     roots = components(links(nodes.select("fp"), radius, pair_limit))
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return named.join(ids, "root").select("fp", "component_id")
+    return named.join(ids, "root").select("fp", "component_id", "root")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
@@ -142,9 +142,9 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     marked = saved(docs.mapInArrow(run, f"{fields}, `__fp` long"), "marked")
     fps = marked.select("doc_id", F.col("__fp").alias("fp"))
     comp = classes(fps)
-    # Of the fingerprints that the least id of a component has, one keeps its row.
-    keep = fps.join(comp, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = keep.groupBy("component_id").agg(F.min("fp").alias("__kfp")).withColumnRenamed("component_id", "__id")
+    # The least id of a component, null last, and the least fingerprint that has it.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("m")
+    keep = fps.join(comp, "fp").groupBy("root").agg(first).select(F.col("m.fp").alias("__kfp"), F.col("m.doc_id").alias("__id"))
     kept = marked.join(keep, (F.col("__fp") == F.col("__kfp")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     n = Window.partitionBy("__fp", "doc_id").orderBy("text", *[c for c in cols if c not in ("doc_id", "text")])
     return kept.withColumn("__n", F.row_number().over(n)).where("__n = 1").select(*cols)

@@ -191,6 +191,15 @@ def test_pipeline_stages(spark, awkward, rows):
     assert not left & {1000, 1001, 1002, 1005} and names[1][1] > names[1][2] > 0 and names[2][1] > names[2][2]
 
 
+def test_near_dedup_keeps_one_row_of_each_group(spark, small):
+    from lodestone.llm import simhash
+
+    text = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    rows = [(None, text("a")), (None, text("b")), (None, text("c")), (None, text("c")), (7, text("d")), (7, text("e")), (7, text("e")), (8, text("e")), (None, text("e")), (9, text("f"))]
+    out = simhash.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), small).collect()
+    assert sorted((r["doc_id"] or 0, r["text"][0]) for r in out) == [(0, "a"), (0, "b"), (0, "c"), (7, "d"), (7, "e"), (9, "f")]
+
+
 def test_pipeline_runs(spark, small, empty):
     import corpus_pipeline
 
