@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, components, saved, table
+from .neardup import roots
 from .textarrays import LOWER, frugal, text_chunks, words
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -129,22 +130,14 @@ def op8(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the row of least id (of rows alike in id and fingerprint, the first by text)."""
+    """One document of each group of near copies (see ``neardup``) stays: the row of least id, null last (of rows alike in id and text, one)."""
     bounded_batches(spark)
     cols = docs.columns
-
-    @frugal
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fingerprints(b.column("text")).view(np.int64))], [*b.schema.names, "__fp"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    marked = saved(docs.mapInArrow(run, f"{fields}, `__fp` long"), "marked")
-    fps = marked.select("doc_id", F.col("__fp").alias("fp"))
-    comp = classes(fps)
-    # The least id of a component, null last, and the least fingerprint that has it.
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("m")
-    keep = fps.join(comp, "fp").groupBy("root").agg(first).select(F.col("m.fp").alias("__kfp"), F.col("m.doc_id").alias("__id"))
-    kept = marked.join(keep, (F.col("__fp") == F.col("__kfp")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    n = Window.partitionBy("__fp", "doc_id").orderBy("text", *[c for c in cols if c not in ("doc_id", "text")])
+    marked = docs.withColumn("__node", F.xxhash64(F.coalesce("text", F.lit(""))))
+    group = roots(marked.select(F.col("__node").alias("node"), "text"))
+    ids = marked.select(F.col("__node").alias("node"), "doc_id").join(group, "node", "left")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("m")
+    keep = saved(ids.groupBy(F.coalesce("root", "node").alias("root")).agg(first).select(F.col("m.node").alias("__knode"), F.col("m.doc_id").alias("__id")), "kept")
+    kept = marked.join(keep, (F.col("__node") == F.col("__knode")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    n = Window.partitionBy("__node", "doc_id").orderBy("text", *[c for c in cols if c not in ("doc_id", "text")])
     return kept.withColumn("__n", F.row_number().over(n)).where("__n = 1").select(*cols)

@@ -1,7 +1,9 @@
 """Codecs by round trips, classifiers by held-out accuracy, the pipeline by its stages' decisions."""
 
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -200,6 +202,51 @@ def test_near_dedup_keeps_one_row_of_each_group(spark, small):
     assert sorted((r["doc_id"] or 0, r["text"][0]) for r in out) == [(0, "a"), (0, "b"), (0, "c"), (7, "d"), (7, "e"), (9, "f")]
 
 
+@pytest.mark.parametrize("limit", [32, 2])
+def test_near_copies_against_brute_force(spark, limit):
+    from lodestone.llm import neardup
+
+    rng, texts = np.random.default_rng(5), ["", " !", "one two", "One, two", "a b " * 20, "a b " * 24]
+    for k in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(5, 300)))]
+        texts.append(" ".join(base))
+        for _ in range(6):
+            w = list(base)
+            for at in rng.integers(0, len(w), int(rng.integers(0, max(2, len(w) // 25)))):
+                w[at] = "new"
+            texts.append(", ".join(w).upper())
+    texts = sorted(set(texts))
+    grams = []
+    for t in texts:
+        w = re.findall("[a-z0-9]+", t.lower())
+        grams.append(Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter())
+    root = list(range(len(texts)))
+
+    def top(i):
+        return i if root[i] == i else top(root[i])
+
+    close = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            both, union = (grams[i] & grams[j]).total(), (grams[i] | grams[j]).total()
+            if both >= 0.8 * union - 1e-9:
+                root[top(i)] = top(j)
+                close += both < union
+    df = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    mine = {r["node"]: r["root"] for r in neardup.roots(df, limit).collect()}
+    groups = lambda of: sorted(sorted(i for i in range(len(texts)) if of(i) == r) for r in {of(i) for i in range(len(texts))})
+    assert close > 50 and groups(lambda i: mine.get(i, i)) == groups(top)
+
+
+def test_near_dedup_drops_near_copies(spark, small):
+    from lodestone.llm import simhash
+
+    base = [f"word{i}" for i in range(100)]
+    rows = [(k, " ".join("other" if i in at else w for i, w in enumerate(base))) for k, at in enumerate([(), (50,), (20, 70), (10, 30, 50, 70, 90)])]
+    out = simhash.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), small).collect()
+    assert sorted(r["doc_id"] for r in out) == [0, 3]
+
+
 def test_pipeline_runs(spark, small, empty):
     import corpus_pipeline
 
