@@ -2,13 +2,13 @@
 
 Evidence of a document or page: the likelihood of its text under each language (hashed byte 4-gram models), the language
 that its mark-up declares, the suffix of its address, and a prior of its host. The likelihood models are trained on the
-``lang`` column of a bounded sample of documents; how far declarations and suffixes can be trusted, and the priors of hosts,
+``lang`` column of a bounded sample of each language's documents; how far declarations and suffixes can be trusted, and the priors of hosts,
 follow from grouped aggregates over all rows: expected language counts by host, smoothed towards those of the host's
 suffix, smoothed towards those of all rows. A row's own part is taken out of its host's counts.
 
 A row is rejected (language "und") if no language of the model has a posterior of MIN_POSTERIOR, or if its text is further
-from every language than -MIN_GAIN nats a gram below grams drawn evenly. Rows without letters have no text evidence;
-they are rejected whatever their mark-up says.
+from every language than -MIN_GAIN nats a gram below grams drawn evenly, GAIN_WEIGHT even grams being added so that a few
+letters alone don't show this. Rows without letters have no text evidence; they are rejected whatever their mark-up says.
 
 Defined cases: null or empty texts are rejected, as are texts without letters; a null host, suffix or declaration is no
 evidence, not a value of its own; equal posteriors go to the first language by name; repeated rows get equal answers; an
@@ -28,12 +28,12 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, join_small, saved, table
 from .textarrays import LOWER, frugal, mix64, text_chunks
 
-#: About so many labelled documents, those of small hash, are what the likelihood models are fitted on.
+#: Of each language about so many labelled documents, those of small hash, are what its likelihood model is fitted on.
 TRAIN_ROWS = 4000
 GRAM, BITS = 4, 16
 #: Overlapping grams are not independent: a byte counts as this much evidence, and a whole text as at most CEILING nats.
 PER_BYTE, CEILING = 0.25, 60.0
-MIN_POSTERIOR, MIN_GAIN = 0.5, -2.0
+MIN_POSTERIOR, MIN_GAIN, GAIN_WEIGHT = 0.5, -2.0, 8
 #: Weights, in rows, of the suffix's prior in a host's and of the overall prior in a suffix's.
 HOST_WEIGHT, SUFFIX_WEIGHT, DECLARED_WEIGHT = 20.0, 50.0, 5.0
 
@@ -45,17 +45,26 @@ _LETTER[128:] = True
 def _grams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket of the gram that ends at each kept byte; by text, its first byte and gram (with the ends); which bytes end a gram.
 
-    Runs of other bytes are one blank each, so that punctuation and digits carry no evidence.
+    Runs of other bytes are one blank each, so that punctuation and digits carry no evidence. A text with a letter gets two
+    blanks before and one after it, so that it has a gram.
     """
     low = LOWER[buf]
     letter = _LETTER[low]
     low = np.where(letter, low, 32).astype(np.uint8)
     keep = letter.copy()
     keep[1:] |= letter[:-1]
+    begin = off[:-1][off[:-1] < len(buf)]
+    keep[begin] = letter[begin]
     at = np.flatnonzero(keep)
-    x = low[at].astype(np.uint64)
-    cut = np.searchsorted(at, off)
-    n = len(x)
+    kept = np.searchsorted(at, off)
+    size = np.diff(kept)
+    some = size > 0
+    after = np.zeros(len(size), np.int64)
+    after[some] = letter[at[kept[1:][some] - 1]]
+    cut = np.concatenate([[0], np.cumsum(size + 2 * some + after)])
+    n = int(cut[-1])
+    x = np.full(n, 32, np.uint64)
+    x[np.arange(len(at)) + np.repeat(cut[:-1] + 2 - kept[:-1], size)] = low[at]
     g = np.zeros(n, np.uint64)
     for k in range(GRAM if n >= GRAM else 0):
         g[GRAM - 1 :] = (g[GRAM - 1 :] << np.uint64(8)) | x[k : n - GRAM + 1 + k]
@@ -69,10 +78,13 @@ def _grams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages and the log probability of each bucket in each; the last column is of random letters."""
     labelled = docs.where("lang is not null and text is not null and lang <> ''")
-    share = rows / max(1, labelled.count())
-    if share < 1:
-        labelled = labelled.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    labelled = labelled.select("lang", "text")
+    labelled = labelled.select("lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("__h"))
+    quota = labelled.groupBy("lang").agg(F.count("*").alias("__n"), F.min("__h").alias("__least"))
+    quota = saved(quota.select("lang", "__least", F.ceil(F.lit(float(rows << 30)) / F.col("__n")).alias("__below")), "quotas")
+    labelled = join_small(labelled, quota, ["lang"], "inner")
+    # A language of few different rows, each repeated often, can have none below its threshold; it gives the least once.
+    least = labelled.where("__h = __least and __least >= __below").select("lang", "text").dropDuplicates()
+    labelled = labelled.where("__h < __below").select("lang", "text").unionByName(least)
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +99,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarra
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(c[at])], ["lang", "bucket", "n"])
 
     got = labelled.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    got = got.toPandas()  # at most TRAIN_ROWS languages, 2**BITS buckets each
+    got = got.toPandas()  # 2**BITS buckets a language at most
     langs = sorted(got["lang"].unique())
     counts = np.zeros((1 << BITS, len(langs)))
     for k, name in enumerate(langs):
@@ -177,7 +189,7 @@ def fuse(rows: DataFrame, langs: list[str], logs: np.ndarray) -> DataFrame:
     best = F.array_max("post")
     name = F.array(*[F.lit(x) for x in langs])[F.array_position("post", best).cast("int") - 1]
     # Grams drawn evenly, as of random letters, are about six nats below this for a language that was trained.
-    gain = F.array_max("ll") / F.greatest(F.col("grams"), F.lit(1))
+    gain = F.array_max("ll") / (F.col("grams") + GAIN_WEIGHT)
     rejected = (F.col("grams") == 0) | (best < MIN_POSTERIOR) | (gain <= MIN_GAIN)
     drop = ["ll", "ev", "text_p", "n_host", "n_suffix", "n_declared", "hn", "sn", "sp", "hp", "dn", "dp", "post", "grams"]
     out = out.withColumns({"rejected": rejected, "posterior": F.round(best, 6), "language": F.when(rejected, "und").otherwise(name)})
