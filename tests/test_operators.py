@@ -1,6 +1,7 @@
 """Ties, thresholds, upserts and streams."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import classify, context, evaluate, fusion, maintain, rerank, usage, vector
@@ -55,6 +56,15 @@ def test_knn_against_numpy(spark):
         assert [got[k, r] for r in range(1, 6)] == np.lexsort((np.arange(300), d))[:5].tolist()
 
 
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_knn_equal_vectors_in_one_batch(spark, metric):
+    keys = np.random.default_rng(6).permutation(100).tolist()
+    df = spark.createDataFrame([(i, [1.0, 2.0]) for i in keys] + [(200, [2.0, 1.0])], "id long, e array<float>").coalesce(1)
+    q = spark.createDataFrame([(1, [1.0, 2.0]), (2, [2.0, 1.0])], "query_id long, query_vector array<float>")
+    got = {(r["query_id"], r["rank"]): r["id"] for r in vector.knn(df, q, "id", "e", 15, metric).collect()}
+    assert [got[1, r] for r in range(1, 16)] == list(range(15)) and [got[2, r] for r in range(1, 16)] == [200, *range(14)]
+
+
 def test_context_budget(spark):
     parts = spark.createDataFrame([(1, i, "x" * 50) for i in range(1, 5)] + [(2, 1, "y" * 500)], "query_id long, rank long, part string")
     got = {r["query_id"]: r for r in context.budgeted(parts, 100).collect()}
