@@ -45,6 +45,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``saved`` wrote, after its last reader."""
+    for df in tables:
+        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", rows: int | None = None, salts: int = 16) -> DataFrame:
     """Null-safe join of ``big`` with a table that has one row for each key.
 

@@ -1,21 +1,24 @@
 """Operator 5: benchmark decontamination by SimHash over item-sized windows, a multi-index and exact verification.
 
 Texts and items are lower-cased and cut into words of letters and digits; a shingle is five words (all of an item that has
-fewer). A document's window of an item's length gets a 64-bit SimHash of its shingles, repeats counting. The index keeps,
-for each of eight blocks of eight bits, which items have that block within RADIUS // 8 bits of a value: of two
+fewer). For each size that an item has, every window of so many words of every document gets a 64-bit SimHash of its
+shingles, repeats counting: sums of bits run along the text, so that a window costs the same whatever its size. The
+multi-index keeps, for each of four blocks of 16 bits, the items whose block is within RADIUS // 4 bits of a value: of two
 fingerprints within RADIUS some block is that close, so all of them are found. What is found is verified by the weighted
-Jaccard similarity of the two multisets of shingles, word by word, and reported from MIN_SIMILARITY on.
+Jaccard similarity of the two multisets of shingles, at last word by word, and reported from MIN_SIMILARITY on. Nothing but
+the fingerprints leads to a candidate.
 
-Fingerprints are only made where they can matter: a window of that similarity holds shingles of the item, MIN_SIMILARITY
-times as many as the item at least. Items are the stated query set: they are read in blocks of ITEM_BLOCK, each block is
-indexed and sent to the executors, and all documents are searched once for each block.
+At a similarity of 0.8 a bit differs with a chance of 0.15 at most, 9.7 of 64 with a deviation of 2.9; measured on near copies
+between 0.8 and 0.85 one in a hundred differs in more than RADIUS + 1 bits, hardly any above. The windows beside the best one
+are further chances. The work for each word is in proportion to the sizes, and by a small factor to the items.
 
-At a similarity of 0.8 each fingerprint bit differs with a chance of 0.15, 9.7 bits of 64 with a deviation of 2.9; RADIUS is
-five deviations above.
+Items are the stated query set: they are read in blocks of ITEM_BLOCK, each is sent to the executors as text and indexed there
+once by each worker, and all documents are searched once for each block.
 
 Defined cases: null or empty texts and items match nothing; items that occur twice are reported twice; of equally similar
 windows the first is reported; a document shorter than an item is one window; repeated rows get rows each; an empty table
-gives an empty result; other columns are not read by ``contaminated`` and carried through by ``stage`` untouched.
+gives an empty result; other columns are not read by ``contaminated`` and carried through by ``stage`` untouched; a very long
+text is worked on whole, in stretches of words.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,68 +36,106 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import bounded_batches, table
 from .textarrays import frugal, gram_hashes, text_chunks, word_hashes, words
 
-SHINGLE, MIN_SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 24, 8
-ITEM_BLOCK = 20_000
-FILTER_BITS = 20
+SHINGLE, MIN_SIMILARITY, RADIUS, BLOCKS, BLOCK_BITS = 5, 0.8, 15, 4, 16
+ITEM_BLOCK = 2_000
+#: Places whose windows of all sizes are worked on at once.
+STRETCH = 1 << 14
 
 #: Bytes between words: ASCII but letters and digits.
 BLANK = np.ones(256, bool)
 BLANK[48:58] = BLANK[65:91] = BLANK[97:123] = False
 BLANK[128:] = False
 
-_ONES = np.array([bin(i).count("1") for i in range(256)], np.int64)
-
-
 def _lower(column) -> pa.Array:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     return pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), ""))
 
 
-def _fingerprints(h: np.ndarray, width: int) -> np.ndarray:
-    """SimHash of each run of ``width`` shingle hashes."""
-    bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32)
-    up = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(bits, axis=0)])
-    return np.packbits(2 * (up[width:] - up[:-width]) > width, axis=1)
+def bit_sums(h: np.ndarray, width: int) -> np.ndarray:
+    """For each place how many of the hashes before it have each bit; differences over ``width`` places don't overflow."""
+    kind = np.int16 if width < 1 << 15 else np.int64
+    out = np.zeros((len(h) + 1, 64), kind)
+    np.cumsum(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=kind, out=out[1:])
+    return out
+
+
+def fingerprints(sums: np.ndarray, width: int) -> np.ndarray:
+    """SimHash of each run of ``width`` shingles: a bit is 1 if set in over half of them."""
+    ones = sums[width:] - sums[:-width] > width // 2
+    return np.packbits(ones.reshape(-1), bitorder="little").view(np.uint64)
+
+
+def near_values() -> np.ndarray:
+    """All differences of a block of at most RADIUS // BLOCKS bits."""
+    return np.array([sum(1 << i for i in c) for n in range(RADIUS // BLOCKS + 1) for c in combinations(range(BLOCK_BITS), n)], np.int64)
+
+
+class MultiIndex:
+    """Up to eight fingerprints by the values that their blocks can have within the radius: a bit for each item."""
+
+    ITEMS = 8
+
+    def __init__(self, fps: np.ndarray, items: np.ndarray):
+        self.fps, self.items = fps, items
+        self.near = np.zeros((BLOCKS, 1 << BLOCK_BITS), np.uint8)
+        for b, own in enumerate(blocks_of(fps)):
+            for k, x in enumerate(own):
+                self.near[b, x ^ near_values()] |= np.uint8(1 << k)
+
+    def find(self, fps: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) of all pairs within RADIUS."""
+        some = self.near[0].take(blocks[0])
+        for near, block in zip(self.near[1:], blocks[1:]):
+            some |= near.take(block)
+        window = np.flatnonzero(some != 0)
+        at = np.flatnonzero(np.unpackbits(some[window], bitorder="little"))
+        window, k = window[at >> 3], at & 7
+        close = np.flatnonzero(np.bitwise_count(fps[window] ^ self.fps[k]) <= RADIUS)
+        return window[close], self.items[k[close]]
+
+
+def blocks_of(fps: np.ndarray) -> np.ndarray:
+    """A row of each block's values."""
+    return np.ascontiguousarray(fps.view(np.uint16).reshape(-1, BLOCKS).T, np.intp)
 
 
 class ItemIndex:
-    """Items as fingerprints with a multi-index over their blocks, and where each of their shingles occurs."""
+    """Items by their sizes, each size with its multi-index. It travels as text and is built where it is used."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.ids, self.words, self.size, self.grams = [], [], [], []
-        self.of: dict[int, list[int]] = {}
-        fps, keys = [], {g: [] for g in range(1, SHINGLE + 1)}
-        for _, _, buf, off in text_chunks(_lower(pa.array([t for _, t in items], pa.string())), 1 << 62):
+        self.rows, self.built = items, False
+
+    def __getstate__(self):
+        return {"rows": self.rows, "built": False}
+
+    def build(self) -> None:
+        self.ids, self.words, self.size, self.grams, own = [], [], [], [], []
+        for lo, hi, buf, off in text_chunks(_lower(pa.array([t for _, t in self.rows], pa.string()))):
             starts, ends, first = words(buf, off, BLANK)
             h = word_hashes(buf, starts, ends)
             raw = buf.tobytes()
-            for k, (item, _) in enumerate(items):
-                a, b = first[k], first[k + 1]
-                n = int(b - a)
-                if not n:
+            for k in range(hi - lo):
+                a, b = int(first[k]), int(first[k + 1])
+                if a == b:
                     continue
-                g = min(SHINGLE, n)
-                own = gram_hashes(h[a:b], g)
-                at = len(self.ids)
-                self.ids.append(item)
+                g = min(SHINGLE, b - a)
+                self.ids.append(self.rows[lo + k][0])
                 self.words.append([raw[i:j] for i, j in zip(starts[a:b].tolist(), ends[a:b].tolist())])
-                self.size.append(n)
+                self.size.append(b - a)
                 self.grams.append(g)
-                fps.append(_fingerprints(own, len(own))[0])
-                for x in set(own.tolist()):
-                    self.of.setdefault(x, []).append(at)
-                    keys[g].append(x)
-        self.fps = np.array(fps, np.uint8).reshape(-1, BLOCKS)
-        apart = _ONES[np.arange(256)[:, None] ^ np.arange(256)[None]]
-        near = apart <= RADIUS // BLOCKS
-        #: near[b][v, i]: block b of item i is close to the value v.
-        self.near = [near[:, self.fps[:, b]] for b in range(BLOCKS)]
-        self.keys = {g: np.unique(np.array(v, np.uint64)) for g, v in keys.items() if v}
-        self.filter = {}
-        for g, v in self.keys.items():
-            self.filter[g] = np.zeros(1 << FILTER_BITS, bool)
-            self.filter[g][v >> np.uint64(64 - FILTER_BITS)] = True
+                own.append(gram_hashes(h[a:b], g))
+        #: Of each item its distinct shingles and how often it has them.
+        self.shingles = [np.unique(x, return_counts=True) for x in own]
+        self.fps = np.array([fingerprints(bit_sums(x, len(x)), len(x))[0] for x in own], np.uint64)
+        size = np.array(self.size, np.int64)
+        #: By shingle length, then by size.
+        self.by_size: dict[int, dict[int, list[MultiIndex]]] = {}
+        for n in sorted(set(self.size)):
+            at = np.flatnonzero(size == n)
+            parts = [at[k : k + MultiIndex.ITEMS] for k in range(0, len(at), MultiIndex.ITEMS)]
+            self.by_size.setdefault(min(SHINGLE, n), {})[n] = [MultiIndex(self.fps[x], x) for x in parts]
+        self.built = True
 
     def similarity(self, item: int, window: list[bytes]) -> float:
         g = self.grams[item]
@@ -101,65 +143,82 @@ class ItemIndex:
         both = sum(min(n, b[s]) for s, n in a.items())
         return both / (a.total() + b.total() - both)
 
+    def candidates(self, grams: np.ndarray, g: int, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+        """(documents, first words, items, words) of windows within the radius of an item; grams: of all documents' words."""
+        sizes = self.by_size[g]
+        widest = max(sizes) - g + 1
+        count = np.diff(first)
+        step = max(STRETCH, 4 * widest)
+        for at in range(0, len(grams), step):
+            sums = bit_sums(grams[at : at + step + widest - 1], widest)
+            for size, parts in sizes.items():
+                width = size - g + 1
+                if len(sums) <= width:
+                    continue
+                fps = fingerprints(sums[: step + width], width)
+                blocks = blocks_of(fps)
+                for index in parts:
+                    window, item = index.find(fps, blocks)
+                    if len(window):
+                        start = window + at
+                        doc = np.searchsorted(first, start, "right") - 1
+                        inside = start + size <= first[doc + 1]
+                        yield doc[inside], start[inside], item[inside], size
+        # Documents that are shorter than an item are one window.
+        for size, parts in sizes.items():
+            least = math.ceil(MIN_SIMILARITY * (size - g + 1) - 1e-9) + g - 1
+            for d in np.flatnonzero((count >= max(least, g)) & (count < size)).tolist():
+                whole = grams[first[d] : first[d + 1] - g + 1]
+                fp = fingerprints(bit_sums(whole, len(whole)), len(whole))
+                for index in parts:
+                    _, item = index.find(fp, blocks_of(fp))
+                    yield np.full(len(item), d), np.full(len(item), first[d]), item, int(count[d])
+
     def search(self, column) -> Iterator[tuple[int, int, float, int, int, int]]:
         """(row, item, similarity, first word, words, differing bits) of every match."""
+        if not self.built:
+            self.build()
         for lo, _, buf, off in text_chunks(_lower(column)):
             starts, ends, first = words(buf, off, BLANK)
             if not len(starts):
                 continue
             h = word_hashes(buf, starts, ends)
-            for g, keys in self.keys.items():
+            for g in self.by_size:
                 grams = gram_hashes(h, g)
-                at = np.flatnonzero(self.filter[g][grams >> np.uint64(64 - FILTER_BITS)])
-                found = np.minimum(np.searchsorted(keys, grams[at]), len(keys) - 1)
-                at = at[keys[found] == grams[at]]
-                doc = np.searchsorted(first, at, "right") - 1
-                inside = at + g <= first[doc + 1]
-                at, doc = at[inside], doc[inside]
-                cut = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else []
-                for i, j in zip(cut, [*cut[1:], len(doc)]):
-                    d = int(doc[i])
-                    a, b = int(first[d]), int(first[d + 1])
-                    for hit in self._in_document(grams[a : b - g + 1], at[i:j] - a, g, b - a, buf, starts[a:b], ends[a:b]):
-                        yield (lo + d, *hit)
-
-    def _in_document(self, grams, hits, g, n_words, buf, starts, ends):
-        places: dict[int, list[int]] = {}
-        for p, x in zip(hits.tolist(), grams[hits].tolist()):
-            for item in self.of.get(x, ()):
-                if self.grams[item] == g:
-                    places.setdefault(item, []).append(p)
-        for item, at in sorted(places.items()):
-            size = min(self.size[item], n_words)
-            width = size - g + 1  # shingles in a window
-            least = math.ceil(MIN_SIMILARITY * (self.size[item] - g + 1) - 1e-9)
-            if len(at) < least or width < least:
-                continue
-            # Windows that hold enough of the hits: their first shingle lies in one of these stretches.
-            p = np.array(at)
-            tight = p[least - 1 :] - p[: len(p) - least + 1] < width
-            spans = [(max(0, int(e) - width + 1), min(int(s), len(grams) - width)) for s, e in zip(p[: len(tight)][tight], p[least - 1 :][tight])]
-            wanted = sorted({s for lo, hi in spans for s in range(lo, hi + 1)})
-            if not wanted:
-                continue
-            wanted = np.array(wanted)
-            best = None
-            runs = np.split(wanted, np.flatnonzero(np.diff(wanted) > width) + 1)
-            for run in runs:
-                lo, hi = int(run[0]), int(run[-1])
-                fp = _fingerprints(grams[lo : hi + width], width)[run - lo]
-                close = np.zeros(len(run), bool)
-                for b in range(BLOCKS):
-                    close |= self.near[b][fp[:, b], item]
-                apart = _ONES[fp ^ self.fps[item]].sum(axis=1)
-                for k in np.flatnonzero(close & (apart <= RADIUS)):
-                    s = int(run[k])
-                    window = [bytes(buf[i:j]) for i, j in zip(starts[s : s + size], ends[s : s + size])]
-                    sim = self.similarity(item, window)
-                    if sim >= MIN_SIMILARITY and (best is None or sim > best[1]):
-                        best = (item, sim, s, size, int(apart[k]))
-            if best:
-                yield best
+                for d, item, *hit in self._verified(grams, g, first, buf, starts, ends):
+                    yield (lo + d, item, *hit)
+
+    def _verified(self, grams, g, first, buf, starts, ends):
+        found = list(self.candidates(grams, g, first))
+        if not found:
+            return
+        doc, start, item = (np.concatenate([f[k] for f in found]) for k in range(3))
+        size = np.concatenate([np.full(len(f[0]), f[3]) for f in found])
+        order = np.lexsort((start, item, doc))
+        doc, start, item, size = doc[order], start[order], item[order], size[order]
+        new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])])) if len(doc) else []
+        for i, j in zip(new, [*new[1:], len(doc)]):
+            x, n = int(item[i]), int(size[i])
+            width = n - g + 1
+            own, times = self.shingles[x]
+            a, b = int(start[i]), int(start[j - 1])
+            span = grams[a : b + width]
+            k = np.minimum(np.searchsorted(own, span), len(own) - 1)
+            k = np.where(own[k] == span, k, len(own))
+            sims = []
+            for s in start[i:j].tolist():
+                both = int(np.minimum(np.bincount(k[s - a : s - a + width], minlength=len(own) + 1)[:-1], times).sum())
+                sims.append(both / (int(times.sum()) + width - both))
+            for at in np.argsort(-np.array(sims), kind="stable").tolist():
+                if sims[at] < MIN_SIMILARITY - 1e-9:
+                    break
+                s = int(start[i + at])
+                window = [bytes(buf[p:q]) for p, q in zip(starts[s : s + n], ends[s : s + n])]
+                sim = self.similarity(x, window)
+                if sim >= MIN_SIMILARITY:
+                    fp = fingerprints(bit_sums(grams[s : s + width], width), width)[0]
+                    yield int(doc[i]), x, sim, s - int(first[doc[i]]), n, int(np.bitwise_count(fp ^ self.fps[x]))
+                    break
 
 
 def item_blocks(benchmark: DataFrame, size: int = ITEM_BLOCK) -> Iterator[ItemIndex]:

@@ -1,15 +1,20 @@
 """Near copies for the pipeline: documents whose five-word shingles have a weighted Jaccard similarity of 0.8 or more.
 
-Words and shingles are those of operator 5. Candidates share the BAND least values of one of BANDS groups of hash functions
-over the multiset of shingles; a pair of similarity s is missed with a chance of (1 - s**BAND)**BANDS, 1e-5 at 0.8. Each
-candidate is verified by the similarity itself, shingles being told apart by 64-bit hashes. A SimHash of 64 bits can't
-find these pairs: they differ in ten bits on average, and covering masks for as many leave keys of a few bits.
-
-Equal texts are one node. Groups of up to PAIR_LIMIT nodes are paired off. In a larger one each node meets the next AHEAD in
-two orders by its other bands, so the work stays in proportion to the nodes. The BEST candidates of a node by shared bands
-are verified first, the others only where these left them in different components.
-
-Defined cases: null is the empty text; texts without words are alike; fewer than five words are one shingle of all.
+Words and shingles are those of operator 5. HASHES hash functions take their least value over the multiset of shingles. Texts
+are candidates if they share all values of one of BANDS groups of BAND functions; a pair of similarity s is missed with a
+chance of (1 - s**BAND)**BANDS, 2e-4 at 0.8. Pairs that agree on fewer than AGREE functions are left out (3e-5 of the pairs at
+0.8), the others are verified by the similarity itself, shingles being told apart by 64-bit hashes. Operator 8's fingerprints
+can't find these pairs: at 0.8 they differ in nine bits of 64, and covering masks for as many leave keys of a few bits.
+
+Texts that share a band are a bucket. First each text meets the bucket's centre, the text that the most others meet anywhere,
+which joins groups of near copies of any size by one pair for each text. What is left of a bucket goes on only if it is still
+of different components: there the functions' values are compared inside a task, and only pairs that agree leave it. A bucket
+with more than CROWD texts left is not compared as it is: its texts, which share a passage but are not near copies, get new
+buckets by groups of WIDE functions (a pair at 0.8 is missed there with a chance of 3e-3), and those that are crowded even
+then are compared in blocks of CROWD, block by block. Equal texts are one node.
+
+Defined cases: null is the empty text; texts without words are alike; fewer than five words are one shingle of all; a very
+long text is worked on whole.
 """
 
 from __future__ import annotations
@@ -18,16 +23,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, saved
+from .common import components, discard, saved
 from .decontam import BLANK, MIN_SIMILARITY, SHINGLE, _lower
 from .textarrays import frugal, gram_hashes, mix64, text_chunks, word_hashes, words
 
-BANDS, BAND = 16, 3
-PAIR_LIMIT, AHEAD, BEST = 32, 4, 2
-_FACTORS = mix64(np.arange(1, BANDS * BAND + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+HASHES, BANDS, BAND, WIDE, AGREE = 256, 16, 4, 8, 179
+#: Texts of a bucket, or of a block of it, that are compared in one task.
+CROWD = 1024
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_FACTORS = mix64(np.arange(1, HASHES + 1, dtype=np.uint64) * _STEP) | np.uint64(1)
 
 
 def shingles(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -54,75 +61,138 @@ def shingles(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
 
 
 def sketches(rows: DataFrame) -> DataFrame:
-    """(node, n, bands) for (node, text)."""
+    """(node, bands, wide, least) for (node, text): the keys of both kinds of groups, and a byte of each function's least value."""
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, g, cut in shingles(b.column(1)):
-                n = np.diff(cut)
-                keys = np.zeros((hi - lo, BANDS), np.uint64)
-                for k in range(BANDS * BAND if len(g) else 0):
-                    least = np.minimum.reduceat(g * _FACTORS[k], cut[:-1][n > 0])
-                    keys[n > 0, k // BAND] = mix64(keys[n > 0, k // BAND] * np.uint64(0x9E3779B97F4A7C15) + least)
-                flat = pa.array(keys.view(np.int64).ravel())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * BANDS), flat)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), lists], ["node", "n", "bands"])
-
-    return rows.select("node", "text").mapInArrow(run, "node long, n long, bands array<long>")
-
-
-def candidates(nodes: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
-    """(a, b, shared): pairs of (node, n, bands) that may be similar, and how many bands brought them together."""
-    keyed = nodes.select("node", "n", "bands", F.posexplode("bands").alias("t", "key"))
-    counts = saved(keyed.groupBy("t", "key").count().where("count > 1"), "bands")
-    small = keyed.drop("bands").join(counts.where(F.col("count") <= pair_limit).select("t", "key"), ["t", "key"])
-    other = small.select("t", "key", F.col("node").alias("b"), F.col("n").alias("m"))
-    pairs = small.withColumnRenamed("node", "a").join(other, ["t", "key"]).where("a < b").select("a", "b", "n", "m")
-    hot = keyed.join(counts.where(F.col("count") > pair_limit).select("t", "key"), ["t", "key"])
-    for step in (1, BANDS // 2):
-        by = [F.element_at("bands", F.pmod(F.col("t") + step + k, F.lit(BANDS)).cast("int") + 1) for k in range(3)]
-        w = Window.partitionBy("t", "key").orderBy(*by, "node")
-        near = F.array(*[F.lead(F.struct(F.col("node").alias("b"), F.col("n").alias("m")), d).over(w) for d in range(1, AHEAD + 1)])
-        met = hot.withColumn("near", near).select("node", "n", F.explode("near").alias("o")).where("o is not null")
-        pairs = pairs.unionByName(met.select(F.least("node", "o.b").alias("a"), F.greatest("node", "o.b").alias("b"), "n", "o.m"))
-    # Sizes further apart than this can't be that similar.
-    pairs = pairs.where(F.least("n", "m") >= (MIN_SIMILARITY - 1e-9) * F.greatest("n", "m"))
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
+                some, n = np.flatnonzero(np.diff(cut)), hi - lo
+                bands, wide, low = np.zeros((n, BANDS), np.uint64), np.zeros((n, HASHES // WIDE), np.uint64), np.zeros((n, HASHES), np.uint8)
+                for k in range(HASHES if len(g) else 0):
+                    least = np.minimum.reduceat(g * _FACTORS[k], cut[:-1][some])
+                    low[some, k] = mix64(least).astype(np.uint8)
+                    for keys, size in ((bands, BAND), (wide, WIDE)):
+                        if k // size < keys.shape[1]:
+                            keys[some, k // size] = mix64(keys[some, k // size] * _STEP + least)
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * x.shape[1]), pa.array(x.view(np.int64).ravel())) for x in (bands, wide)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, n), *lists, pa.array([x.tobytes() for x in low], pa.binary())], ["node", "bands", "wide", "least"])
+
+    return rows.select("node", "text").mapInArrow(run, "node long, bands array<long>, wide array<long>, least binary")
+
+
+def buckets(nodes: DataFrame, keys: str) -> DataFrame:
+    """(t, key, node, size): the keys that a node shares with others."""
+    keyed = nodes.select("node", F.posexplode(keys).alias("t", "key"))
+    return keyed.join(keyed.groupBy("t", "key").agg(F.count("*").alias("size")).where("size > 1"), ["t", "key"])
+
+
+def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that agree on AGREE hash functions."""
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, HASHES) for k in (2, 3))
+            yield b.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= AGREE))
+
+    one, two = (nodes.select(F.col("node").alias(c), F.col("least").alias(x)) for c, x in (("a", "x"), ("b", "y")))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def agreeing(left: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different roots that agree on AGREE hash functions, of each bucket of (t, key, node, root, size)."""
+    blocks = F.ceil(F.col("size") / CROWD).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    cut = left.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    cut = cut.select("t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root")
+    rows = cut.join(nodes.select("node", "least"), "node").select("t", "key", "i", "j", "own", "node", "root", "least")
+
+    def pairs(group: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        own, node, root = (np.array([r[k] for r in group], np.int64) for k in (4, 5, 6))
+        low = np.frombuffer(b"".join(r[7] for r in group), np.uint8).reshape(-1, HASHES)
+        crossing = group[0][2] != group[0][3]
+        for k in range(len(group)):
+            at = np.arange(k + 1, len(group))
+            at = at[(root[at] != root[k]) & (own[at] != own[k])] if crossing else at[root[at] != root[k]]
+            at = at[(low[at] == low[k]).sum(axis=1) >= AGREE]
+            yield np.minimum(node[at], node[k]), np.maximum(node[at], node[k])
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+
+        def done() -> pa.RecordBatch:
+            a, b = (np.concatenate(x) for x in zip(*pairs(group)))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns)):
+                if group and group[0][:4] != r[:4]:
+                    yield done()
+                    group = []
+                group.append(r)
+        if group:
+            yield done()
+
+    keys = ["t", "key", "i", "j"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
 def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts, of (node, text), are similar."""
 
     def sets(column: pa.Array) -> list[np.ndarray]:
-        return [np.sort(g[i:j]) for _, _, g, cut in shingles(column) for i, j in zip(cut[:-1], cut[1:])]
+        """Of each row; a text that stands in many rows of a batch is worked on once."""
+        d = column.dictionary_encode()
+        each = [g[i:j] for _, _, g, cut in shingles(d.dictionary) for i, j in zip(cut[:-1], cut[1:])]
+        each = [np.sort(x) for x in each]
+        return [each[i] for i in d.indices.to_pylist()]
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             use = np.zeros(b.num_rows, bool)
             for k, (x, y) in enumerate(zip(sets(b.column(2)), sets(b.column(3)))):
-                both = len(np.intersect1d(x, y, True))
-                use[k] = both >= (MIN_SIMILARITY - 1e-9) * (len(x) + len(y) - both)
+                if min(len(x), len(y)) >= (MIN_SIMILARITY - 1e-9) * max(len(x), len(y)):
+                    both = len(np.intersect1d(x, y, True))
+                    use[k] = both >= (MIN_SIMILARITY - 1e-9) * (len(x) + len(y) - both)
             yield b.select(["a", "b"]).filter(pa.array(use))
 
-    one = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
-    two = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    text = F.coalesce("text", F.lit(""))
+    one, two = (texts.select(F.col("node").alias(c), text.alias(x)) for c, x in (("a", "x"), ("b", "y")))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def mixed(left: DataFrame) -> DataFrame:
+    """(t, key, node, root, size): what is left of the buckets that have different roots."""
+    both = left.groupBy("t", "key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).where("x <> y")
+    return left.select("t", "key", "node", "root").join(both.drop("x", "y"), ["t", "key"])
 
 
-def roots(rows: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+def roots(rows: DataFrame) -> DataFrame:
     """(node, root) for each node of (node, text) that is similar to another; equal nodes have equal texts."""
     nodes = saved(sketches(rows).dropDuplicates(["node"]), "sketches")
-    pairs = saved(candidates(nodes, pair_limit), "candidates")
-    met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = saved(rows.select("node", "text").join(met, "node", "left_semi").dropDuplicates(["node"]), "texts")
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("shared"), "b"))
-    ranked = pairs.withColumn("rank", rank)
-    found = saved(similar(ranked.where(F.col("rank") <= BEST), texts), "similar")
-    first = saved(components(found), "roots")
-    of = lambda c: first.select(F.col("node").alias(c), F.col("root").alias("r" + c))
-    rest = ranked.where(F.col("rank") > BEST).join(of("a"), "a", "left").join(of("b"), "b", "left")
-    rest = rest.where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
-    more = saved(similar(rest, texts), "similar")
-    return first if more.isEmpty() else components(found.unionByName(more))
+    met = saved(buckets(nodes, "bands"), "buckets")
+    # Only texts that share a band are read again.
+    texts = saved(rows.join(met.select("node").distinct(), "node", "left_semi").select("node", "text").dropDuplicates(["node"]), "texts")
+    meets = met.groupBy("node").agg(F.sum("size").alias("meets"))
+    centre = met.drop("size").join(meets, "node").groupBy("t", "key").agg(F.max(F.struct("meets", "node")).alias("c"))
+    met = met.join(centre.select("t", "key", F.col("c.node").alias("centre")), ["t", "key"]).where("node <> centre")
+    met = saved(met.select("t", "key", "node", "centre"), "centres")
+    pairs = met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    found = saved(similar(saved(likely(pairs, nodes), "candidates"), texts), "similar")
+    out = saved(components(found), "roots")
+
+    def rooted(b: DataFrame) -> DataFrame:
+        return mixed(b.join(out, "node", "left").withColumn("root", F.coalesce("root", "node")))
+
+    left = saved(rooted(met), "left")
+    crowded = left.where(F.col("size") > CROWD).select("node").distinct()
+    again = rooted(buckets(nodes.join(crowded, "node", "left_semi"), "wide"))
+    pairs = agreeing(left.where(F.col("size") <= CROWD).unionByName(again.select(*left.columns).withColumn("t", F.col("t") + BANDS)), nodes)
+    more = saved(similar(saved(pairs.distinct(), "candidates"), texts), "similar")
+    if not more.isEmpty():
+        out = saved(components(found.unionByName(more)), "roots")
+    discard(nodes, texts, met, left)
+    return out

@@ -255,3 +255,32 @@ def test_op5_near_copies(spark):
     index = ItemIndex([(1, item)])
     docs = ["before " * 30 + item.upper() + " after" * 9, "x " + changed, "y " * 500, " ".join(item.split()[:30]), "!!! ".join(item.split())]
     assert sorted({r for r, *_ in index.search(pa.array(docs))}) == [0, 1, 4]
+
+
+def test_op5_multi_index_finds_all_within_the_radius():
+    import numpy as np
+
+    from lodestone.llm import decontam as D
+
+    rng = np.random.default_rng(3)
+    items = rng.integers(0, 1 << 63, 8, dtype=np.uint64)
+    flips = [sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, 24)), replace=False)) for _ in range(4000)]
+    fps = items[rng.integers(0, 8, 4000)] ^ np.array(flips, np.uint64)
+    window, item = D.MultiIndex(items, np.arange(8)).find(fps, D.blocks_of(fps))
+    apart = np.bitwise_count(fps[:, None] ^ items[None])
+    assert sorted(zip(window.tolist(), item.tolist())) == sorted(zip(*(x.tolist() for x in np.nonzero(apart <= D.RADIUS))))
+
+
+def test_op5_matches_come_from_the_fingerprints(small, monkeypatch):
+    import numpy as np
+    import pyarrow.parquet as pq
+
+    from lodestone.llm import decontam as D
+
+    docs, items = (pq.read_table(f"{small}/{n}.parquet") for n in ("documents", "benchmark"))
+    rows = list(zip(items["item_id"].to_pylist(), items["text"].to_pylist()))
+    assert list(D.ItemIndex(rows).search(docs["text"]))
+    index = D.ItemIndex(rows)
+    index.build()
+    monkeypatch.setattr(D, "fingerprints", lambda sums, width: np.full(max(0, len(sums) - width), (1 << 64) - 1, np.uint64))
+    assert not list(index.search(docs["text"]))

@@ -202,10 +202,11 @@ def test_near_dedup_keeps_one_row_of_each_group(spark, small):
     assert sorted((r["doc_id"] or 0, r["text"][0]) for r in out) == [(0, "a"), (0, "b"), (0, "c"), (7, "d"), (7, "e"), (9, "f")]
 
 
-@pytest.mark.parametrize("limit", [32, 2])
-def test_near_copies_against_brute_force(spark, limit):
+@pytest.mark.parametrize("crowd", [1024, 4, 1])
+def test_near_copies_against_brute_force(spark, crowd, monkeypatch):
     from lodestone.llm import neardup
 
+    monkeypatch.setattr(neardup, "CROWD", crowd)
     rng, texts = np.random.default_rng(5), ["", " !", "one two", "One, two", "a b " * 20, "a b " * 24]
     for k in range(12):
         base = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(5, 300)))]
@@ -233,7 +234,7 @@ def test_near_copies_against_brute_force(spark, limit):
                 root[top(i)] = top(j)
                 close += both < union
     df = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
-    mine = {r["node"]: r["root"] for r in neardup.roots(df, limit).collect()}
+    mine = {r["node"]: r["root"] for r in neardup.roots(df).collect()}
     groups = lambda of: sorted(sorted(i for i in range(len(texts)) if of(i) == r) for r in {of(i) for i in range(len(texts))})
     assert close > 50 and groups(lambda i: mine.get(i, i)) == groups(top)
 
