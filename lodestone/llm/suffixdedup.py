@@ -2,23 +2,27 @@
 
 A byte goes if it is covered by a string of LENGTH bytes that also starts earlier, in a smaller document or before in the
 same one. Suffixes are compared by prefix polynomial hashes: a binary search finds how far two of them agree, so that a
-comparison takes a logarithmic number of steps whatever the texts; they are ordered by a merge sort of such comparisons,
-neighbours that agree for LENGTH bytes are one class, and each agreement that removes anything is verified byte by byte.
+comparison takes a logarithmic number of steps whatever the texts; a merge sort of such comparisons brings equal ones
+together, sorted neighbours whose common extension has LENGTH bytes are one class, and each class that removes anything is
+verified byte by byte (a collision splits it).
 
 One suffix array over 100 TB has no place, so suffixes are dealt out such that equal ones meet. The anchor of a string of
 LENGTH bytes is the 32-byte gram of least hash in it; equal strings have equal anchors. Runs of strings with a common
 anchor travel together, as one piece of at most 168 bytes, to the bin of their anchor:
 
-1. The anchors' hash slots are shuffled and two bits kept for each of 2**28 slots: seen once, seen again. This bitmap of
-   32 MB whatever the input is broadcast. A slot that was seen once holds no repeat; the filter loses nothing.
+1. The anchors' hash slots, each once a task with whether the task saw it again, are shuffled and two bits kept for each of
+   2**28 slots: seen once, seen again. This bitmap of 32 MB whatever the input is broadcast. A slot that was seen once holds no
+   repeat; the filter loses nothing.
 2. Pieces whose anchor was seen again are shuffled by bin, compressed. A piece that a task has sent before, from an
    earlier place, goes without its bytes; so a passage that a third of all rows share travels about once for each task.
 3. In each bin suffixes with the same anchor at the same distance are sorted and classed; each piece yields one interval.
+   Suffixes that follow each other in document order and agree are one run already; the runs' first suffixes are sorted.
 4. Intervals meet their documents again by id and are merged.
 
 Defined cases: a null text is the empty one; texts under LENGTH bytes lose nothing; rows of the same id are ordered by a
 hash of their text, and rows alike in both are one document, each gets its result; a null id comes before all others; an
-empty table gives an empty result; other columns are not read.
+empty table gives an empty result; other columns are not read; a very long text is worked on in overlapping segments. Two
+different texts of one id with the same 64-bit hash would be taken for one.
 """
 
 from __future__ import annotations
@@ -36,8 +40,8 @@ from pyspark.sql import functions as F
 from .common import saved, table
 from .textarrays import CHUNK_BYTES, frugal, mix64, prefix_hash, span_hash, text_chunks
 
-LENGTH, GRAM, HEAD = 100, 32, 48
-SLOT_BITS, BUCKET_BITS = 28, 8
+LENGTH, GRAM = 100, 32
+SLOT_BITS, BUCKET_BITS = 28, 10
 #: Bytes of pieces that a bin should hold, and strings that are sorted at once.
 BIN_BYTES, SORTED_AT_ONCE = 4 << 20, 1 << 20
 #: Pieces that a task remembers having sent.
@@ -96,31 +100,47 @@ def repeat_slots(docs: DataFrame) -> tuple[np.ndarray, int]:
 
     @frugal
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, more, total, fresh = np.zeros(0, np.uint32), np.zeros(0, bool), 0, []
+
+        def add_up() -> tuple[np.ndarray, np.ndarray]:
+            s = np.concatenate([seen, *fresh])
+            order = np.argsort(s, kind="stable")
+            s, again = s[order], np.concatenate([more, np.zeros(len(s) - len(more), bool)])[order]
+            new = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+            again = (np.add.reduceat(again, new, dtype=np.int64) > 0) | (np.diff(np.append(new, len(s))) > 1) if len(s) else again
+            return s[new], again
+
         for b in batches:
-            found = [(Pieces(buf, off).hash >> np.uint64(64 - SLOT_BITS)).astype(np.uint32) for _, buf, off, _ in _segments(b.column(0))]
-            s = np.sort(np.concatenate([np.zeros(0, np.uint32), *found]))
-            cut = np.searchsorted(s, np.arange((1 << BUCKET_BITS) + 1, dtype=np.uint64) << np.uint64(rest))
-            some = np.flatnonzero(np.diff(cut))
-            blobs = [s[cut[k] : cut[k + 1]].tobytes() for k in some]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "slots"])
+            for _, buf, off, _ in _segments(b.column(0)):
+                fresh.append((Pieces(buf, off).hash >> np.uint64(64 - SLOT_BITS)).astype(np.uint32))
+                total += len(fresh[-1])
+            if sum(map(len, fresh)) > 1 << 20:
+                (seen, more), fresh = add_up(), []
+        seen, more = add_up()
+        bucket = (seen >> np.uint32(rest)).astype(np.int64)
+        some, cut = np.unique(bucket, return_index=True)
+        cut = np.append(cut, len(seen))
+        low = seen & np.uint32((1 << rest) - 1) | more.astype(np.uint32) << np.uint32(31)
+        blobs = [low[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blobs, pa.binary()), pa.array([total * (k == 0) for k in range(len(some))], pa.int64())], ["bucket", "slots", "n"])
 
     @frugal
     def seen_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, again, total = {}, {}, {}
         for b in batches:
-            for bucket, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s = np.frombuffer(blob, np.uint32) & np.uint32((1 << rest) - 1)
+            for bucket, blob, n in zip(*(c.to_pylist() for c in b.columns)):
+                s = np.frombuffer(blob, np.uint32)
+                more, s = s >> np.uint32(31) > 0, s & np.uint32((1 << rest) - 1)
                 if bucket not in once:
                     once[bucket], again[bucket], total[bucket] = np.zeros(1 << rest, bool), np.zeros(1 << rest, bool), 0
-                again[bucket][s[1:][s[1:] == s[:-1]]] = True
-                again[bucket][s[once[bucket][s]]] = True
+                again[bucket][s[more | once[bucket][s]]] = True
                 once[bucket][s] = True
-                total[bucket] += len(s)
+                total[bucket] += n
         keys = sorted(once)
         bits = [np.packbits(again[k], bitorder="little").tobytes() for k in keys]
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(bits, pa.binary()), pa.array([total[k] for k in keys], pa.int64())], ["bucket", "bits", "n"])
 
-    rows = docs.select("text").mapInArrow(slots, "bucket int, slots binary").repartition("bucket")
+    rows = docs.select("text").mapInArrow(slots, "bucket int, slots binary, n long").repartition("bucket")
     rows = rows.mapInArrow(seen_again, "bucket int, bits binary, n long").collect()  # 2**BUCKET_BITS rows, 32 MB in all
     bitmap = np.zeros((1 << BUCKET_BITS, 1 << rest >> 3), np.uint8)
     for r in rows:
@@ -191,11 +211,9 @@ def pieces_by_bin(docs: DataFrame, bitmap: np.ndarray, bins: int) -> DataFrame:
             if len(sent) > REMEMBERED:
                 sent.clear()
             order = np.argsort(bin_of, kind="stable")
-            cut = np.searchsorted(bin_of[order], np.arange(bins + 1))
-            some = np.flatnonzero(np.diff(cut))
+            some, cut = np.unique(bin_of[order], return_index=True)
             blobs = []
-            for k in some:
-                o = order[cut[k] : cut[k + 1]]
+            for o in np.split(order, cut[1:]) if len(order) else []:
                 blobs.append(_pack({f: v[o] for f, v in c.items()}, b"".join(texts[x] for x in o)))
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], ["bin", "pieces"])
 
@@ -215,12 +233,15 @@ class Suffixes:
         return span_hash(self.prefix, x, x + n) == span_hash(self.prefix, y, y + n)
 
     def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """How many of the first LENGTH bytes agree, by binary search."""
-        n = np.zeros(len(x), np.int64)
+        """How many of the first LENGTH bytes agree: all, or by binary search."""
+        n = np.where(self.same(x, y), LENGTH, 0)
+        open_ = np.flatnonzero(n == 0)
+        x, y, k = x[open_], y[open_], np.zeros(len(open_), np.int64)
         for s in self.STEPS:
-            fits = np.flatnonzero(n + s <= LENGTH)
-            a, b = x[fits] + n[fits], y[fits] + n[fits]
-            n[fits] += s * (span_hash(self.prefix, a, a + s) == span_hash(self.prefix, b, b + s))
+            fits = np.flatnonzero(k + s < LENGTH)
+            a, b = x[fits] + k[fits], y[fits] + k[fits]
+            k[fits] += s * (span_hash(self.prefix, a, a + s) == span_hash(self.prefix, b, b + s))
+        n[open_] = k
         return n
 
     def less(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -271,26 +292,37 @@ class Suffixes:
             order[to] = order[i].copy()
             run *= 2
 
-    def sorted_classes(self, at: np.ndarray, group: np.ndarray) -> np.ndarray:
-        """Stable order of the suffixes within runs of equal group; of those with one hash only the first is compared.
-
-        Runs are split by the first HEAD bytes before they are merged, so that a crowded anchor makes no long merges.
-        """
-        h = span_hash(self.prefix, at, at + LENGTH)
-        alike = np.lexsort((h, group))
-        h, g = h[alike], group[alike]
-        first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])]))
+    def classes(self, at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Order that brings equal suffixes of a run of equal group together, stable, and whether each is like the one before."""
+        tie = np.concatenate([[False], group[1:] == group[:-1]])
+        same = tie.copy()
+        same[1:] &= self.same(at[1:], at[:-1])
+        first = np.flatnonzero(~same)
         many = np.diff(np.append(first, len(at)))
-        x, g = at[alike[first]], g[first]
-        eight = np.ndarray((len(self.buf) - 7,), ">u8", self.buf, strides=(1,))
-        heads = [eight[x + k].astype(np.uint64) for k in range(HEAD - 8, -1, -8)]
-        order = np.lexsort((*heads, g))
-        new = np.zeros(len(x), bool)
-        for key in (*heads, g):
-            new[1:] |= key[order[1:]] != key[order[:-1]]
-        order = order[self.merge_sort(x[order], np.cumsum(new))]
-        n = many[order]
-        return alike[np.repeat(first[order] - (np.cumsum(n) - n), n) + np.arange(len(at))]
+        sorted_ = self.merge_sort(at[first], group[first])
+        x, g, n = at[first[sorted_]], group[first[sorted_]], many[sorted_]
+        order = np.repeat(first[sorted_] - (np.cumsum(n) - n), n) + np.arange(len(at))
+        # Inside a run of like suffixes each is like the one before; where two runs meet the common extension tells.
+        met = np.zeros(len(x), bool)
+        met[1:] = (g[1:] == g[:-1]) & (self.common(x[1:], x[:-1]) == LENGTH)
+        same = np.ones(len(at), bool)
+        same[np.cumsum(n) - n] = met
+        return self.without_collisions(at, order, same)
+
+    def without_collisions(self, at: np.ndarray, order: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Classes whose bytes are not all the same are split by their bytes."""
+        pair = np.flatnonzero(same)
+        wrong = pair[~self.verified(at[order[pair]], at[order[pair - 1]])]
+        if len(wrong):
+            begin = np.flatnonzero(~same)
+            for k in np.unique(np.searchsorted(begin, wrong, "right") - 1).tolist():
+                i, j = int(begin[k]), int(begin[k + 1]) if k + 1 < len(begin) else len(at)
+                by: dict[bytes, list[int]] = {}
+                for o in order[i:j].tolist():
+                    by.setdefault(self.buf[at[o] : at[o] + LENGTH].tobytes(), []).append(o)
+                order[i:j] = np.concatenate([np.array(v) for v in by.values()])
+                same[i:j] = np.concatenate([np.arange(len(v)) > 0 for v in by.values()])
+        return order, same
 
 
 def repeated_pieces(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -331,23 +363,14 @@ def _repeated(c: dict, live: np.ndarray, at: np.ndarray, windows: np.ndarray, s:
         tie = np.concatenate([[False], key[1:] == key[:-1]])
         many = tie | np.append(tie[1:], False)
         order, key = order[many], key[many]
-        tie = np.concatenate([[False], key[1:] == key[:-1]]) if len(key) else np.zeros(0, bool)
-        same = tie.copy()
-        same[1:] &= s.same(suffix[order[1:]], suffix[order[:-1]])
-        # Groups whose strings are all alike are in order already; the others are sorted.
-        group = np.cumsum(~tie) - 1
-        mixed = np.zeros(int(group[-1]) + 1 if len(group) else 0, bool)
-        mixed[group[tie & ~same]] = True
-        sort = np.flatnonzero(mixed[group]) if len(group) else np.zeros(0, np.int64)
-        if len(sort):
-            sub = order[sort]
-            order[sort] = sub[s.sorted_classes(suffix[sub], group[sort])]
-            same[1:] = tie[1:] & s.same(suffix[order[1:]], suffix[order[:-1]])
+        if not len(order):
+            return tuple(np.concatenate(x) for x in zip(*out))
+        group = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]]))
+        into, same = s.classes(suffix[order], group)
+        order = order[into]
         pair = np.flatnonzero(same)
-        if not s.verified(suffix[order[pair]], suffix[order[pair - 1]]).all():
-            raise ArithmeticError("two different strings have the same hash; change the base in textarrays")
         # The first of a class, in document order, stays; so do rows that are that very document again.
-        first = np.maximum.accumulate(np.where(same, 0, np.arange(len(order)))) if len(order) else np.zeros(0, np.int64)
+        first = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
         x, y = order[pair], order[first[pair]]
         own = np.ones(len(pair), bool)
         for k in ("doc", "text_hash"):

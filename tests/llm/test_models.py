@@ -156,12 +156,33 @@ def test_merge_sort_orders_suffixes():
     raw = buf.tobytes().ljust(3200, b"\0")
     order = s.merge_sort(at, group)
     want = sorted(range(700), key=lambda i: (group[i], raw[at[i] : at[i] + 100], i))
-    assert order.tolist() == want and s.sorted_classes(at, group).tolist() == want
+    assert order.tolist() == want
+    into, same = s.classes(at, group)
+    text = lambda i: (group[i], raw[at[i] : at[i] + 100])
+    assert [int(i) for i in into] == want and same.tolist() == [k > 0 and text(want[k]) == text(want[k - 1]) for k in range(700)]
     x, y = at[:300], at[300:600]
     agree = [next((k for k in range(100) if raw[i + k] != raw[j + k]), 100) for i, j in zip(x, y)]
     assert s.common(x, y).tolist() == agree
 
 
+def test_unsorted_suffixes_lose_repeats(monkeypatch):
+    """The classes come from the sort: without it like suffixes stay apart."""
+    buf = np.random.default_rng(4).integers(97, 123, 3000).astype(np.uint8)
+    buf[2000:2500] = buf[:500]
+    s = suffixdedup.Suffixes(buf)
+    at, group = np.array([0, 5, 2000, 700, 2005, 900]), np.zeros(6, np.int64)
+    assert s.classes(at, group)[1].sum() == 2
+    monkeypatch.setattr(suffixdedup.Suffixes, "merge_sort", lambda self, x, g: np.arange(len(x)))
+    assert s.classes(at, group)[1].sum() == 0
+
+
+def test_collisions_split_a_class():
+    buf = np.frombuffer(b"a" * 100 + b"b" * 100 + b"a" * 100, np.uint8)
+    s = suffixdedup.Suffixes(buf)
+    order, same = s.without_collisions(np.array([0, 100, 200]), np.arange(3), np.array([False, True, True]))
+    assert order.tolist() == [0, 2, 1] and same.tolist() == [False, True, False]
+
+
 def test_pieces_cover_every_window():
     buf = np.frombuffer(random.Random(3).randbytes(5000), np.uint8)
     off = np.array([0, 50, 50, 2000, 2099, 2199, 5000])
