@@ -8,7 +8,8 @@ can't find these pairs: at 0.8 they differ in nine bits of 64, and covering mask
 
 Texts that share a band are a bucket. First each text meets the bucket's centre, the text that the most others meet anywhere,
 which joins groups of near copies of any size by one pair for each text. What is left of a bucket goes on only if it is still
-of different components: there the functions' values are compared inside a task, and only pairs that agree leave it. A bucket
+of different components: there the functions' values are compared inside a task, pairs that agree are verified at once, those
+that agree on most first, and only what connects two components leaves it, at most one pair for each text. A bucket
 with more than CROWD texts left is not compared as it is: its texts, which share a passage but are not near copies, get new
 buckets by groups of WIDE functions (a pair at 0.8 is missed there with a chance of 3e-3), and those that are crowded even
 then are compared in blocks of CROWD, block by block. Equal texts are one node.
@@ -100,40 +101,72 @@ def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def agreeing(left: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different roots that agree on AGREE hash functions, of each bucket of (t, key, node, root, size)."""
+def is_similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """For two texts' shingles, ascending and distinct."""
+    if min(len(x), len(y)) < (MIN_SIMILARITY - 1e-9) * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, True))
+    return both >= (MIN_SIMILARITY - 1e-9) * (len(x) + len(y) - both)
+
+
+def shingle_sets(column: pa.Array) -> list[np.ndarray]:
+    """Of each row; a text that stands in many rows is worked on once."""
+    d = column.dictionary_encode()
+    each = [np.sort(g[i:j]) for _, _, g, cut in shingles(d.dictionary) for i, j in zip(cut[:-1], cut[1:])]
+    return [each[i] for i in d.indices.to_pylist()]
+
+
+def linked(left: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Similar pairs (a, b) that connect what is similar in each bucket of (t, key, node, root, size), at most one for each text.
+
+    Pairs of different roots that agree on AGREE functions are looked at, those that agree on most first; a pair that others
+    have already connected needs no look.
+    """
     blocks = F.ceil(F.col("size") / CROWD).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     cut = left.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     cut = cut.select("t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root")
-    rows = cut.join(nodes.select("node", "least"), "node").select("t", "key", "i", "j", "own", "node", "root", "least")
+    rows = cut.join(nodes.select("node", "least"), "node").join(texts.select("node", F.coalesce("text", F.lit("")).alias("text")), "node")
+    rows = rows.select("t", "key", "i", "j", "own", "node", "root", "least", "text")
 
-    def pairs(group: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def connect(group: list[tuple]) -> pa.RecordBatch:
         own, node, root = (np.array([r[k] for r in group], np.int64) for k in (4, 5, 6))
         low = np.frombuffer(b"".join(r[7] for r in group), np.uint8).reshape(-1, HASHES)
-        crossing = group[0][2] != group[0][3]
+        crossing, found = group[0][2] != group[0][3], []
         for k in range(len(group)):
             at = np.arange(k + 1, len(group))
-            at = at[(root[at] != root[k]) & (own[at] != own[k])] if crossing else at[root[at] != root[k]]
-            at = at[(low[at] == low[k]).sum(axis=1) >= AGREE]
-            yield np.minimum(node[at], node[k]), np.maximum(node[at], node[k])
+            at = at[(root[at] != root[k]) & ((own[at] != own[k]) | (not crossing))]
+            agree = (low[at] == low[k]).sum(axis=1)
+            use = np.flatnonzero(agree >= AGREE)
+            found.append(np.stack([-agree[use], np.full(len(use), k), at[use]]))
+        found = np.concatenate(found, axis=1)
+        up = {r: r for r in root.tolist()}
+
+        def top(r: int) -> int:
+            while up[r] != r:
+                up[r] = r = up[up[r]]
+            return r
+
+        pairs, sets = [], shingle_sets(pa.array([r[8] for r in group])) if found.shape[1] else []
+        for k in np.lexsort(found[::-1]).tolist():
+            i, j = int(found[1, k]), int(found[2, k])
+            x, y = top(int(root[i])), top(int(root[j]))
+            if x != y and is_similar(sets[i], sets[j]):
+                up[x] = y
+                pairs.append((int(min(node[i], node[j])), int(max(node[i], node[j]))))
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
-
-        def done() -> pa.RecordBatch:
-            a, b = (np.concatenate(x) for x in zip(*pairs(group)))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns)):
                 if group and group[0][:4] != r[:4]:
-                    yield done()
+                    yield connect(group)
                     group = []
                 group.append(r)
         if group:
-            yield done()
+            yield connect(group)
 
     keys = ["t", "key", "i", "j"]
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
@@ -142,22 +175,11 @@ def agreeing(left: DataFrame, nodes: DataFrame) -> DataFrame:
 def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts, of (node, text), are similar."""
 
-    def sets(column: pa.Array) -> list[np.ndarray]:
-        """Of each row; a text that stands in many rows of a batch is worked on once."""
-        d = column.dictionary_encode()
-        each = [g[i:j] for _, _, g, cut in shingles(d.dictionary) for i, j in zip(cut[:-1], cut[1:])]
-        each = [np.sort(x) for x in each]
-        return [each[i] for i in d.indices.to_pylist()]
-
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            use = np.zeros(b.num_rows, bool)
-            for k, (x, y) in enumerate(zip(sets(b.column(2)), sets(b.column(3)))):
-                if min(len(x), len(y)) >= (MIN_SIMILARITY - 1e-9) * max(len(x), len(y)):
-                    both = len(np.intersect1d(x, y, True))
-                    use[k] = both >= (MIN_SIMILARITY - 1e-9) * (len(x) + len(y) - both)
-            yield b.select(["a", "b"]).filter(pa.array(use))
+            use = [is_similar(x, y) for x, y in zip(shingle_sets(b.column(2)), shingle_sets(b.column(3)))]
+            yield b.select(["a", "b"]).filter(pa.array(use, pa.bool_()))
 
     text = F.coalesce("text", F.lit(""))
     one, two = (texts.select(F.col("node").alias(c), text.alias(x)) for c, x in (("a", "x"), ("b", "y")))
@@ -190,8 +212,8 @@ def roots(rows: DataFrame) -> DataFrame:
     left = saved(rooted(met), "left")
     crowded = left.where(F.col("size") > CROWD).select("node").distinct()
     again = rooted(buckets(nodes.join(crowded, "node", "left_semi"), "wide"))
-    pairs = agreeing(left.where(F.col("size") <= CROWD).unionByName(again.select(*left.columns).withColumn("t", F.col("t") + BANDS)), nodes)
-    more = saved(similar(saved(pairs.distinct(), "candidates"), texts), "similar")
+    both = left.where(F.col("size") <= CROWD).unionByName(again.select(*left.columns).withColumn("t", F.col("t") + BANDS))
+    more = saved(linked(both, nodes, texts), "similar")
     if not more.isEmpty():
         out = saved(components(found.unionByName(more)), "roots")
     discard(nodes, texts, met, left)
