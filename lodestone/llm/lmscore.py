@@ -2,21 +2,24 @@
 
 Counting: the n-grams (n up to ORDER) of all training texts are hashed, sorted and summed in each task, shuffled as packed
 runs to the bin of their leading hash bits, and summed there. A count is quantised to a level; the filter holds an n-gram
-together with every level up to its own, so that a count is read back by asking for one level after another until one is
-missing. Each bin has its own stretch of the filter, so no two tasks write the same bits. The filter is broadcast; its
-size is at most MAX_FILTER_BYTES: if not all n-grams fit, the least level that is kept rises, found from the level
-histogram of all n-grams.
+together with every level up to its own, from a count of one on, so that a count is read back by asking for one level after
+another until one is missing. All levels of an n-gram lie in one line of LINE bits. Each bin has its own stretch of the filter,
+so no two tasks write the same bits.
+
+The filter grows with the n-grams. Up to BLOCK_BYTES it is broadcast whole. Beyond that its bins are broadcast in blocks of so
+many bytes, one pass over the documents for each block, which fills in the levels of its n-grams; the last pass scores. So a
+text's score does not depend on the size of the corpus but through the counts.
 
 Scoring: P(w | u v) = a c(uvw)/c(uv) + (1-a) (b c(vw)/c(v) + (1-b) P1(w)), where a term whose history is not in the filter
 is left out, P1(w) = (c(w)+0.5) / (N+0.5(V+1)), and a count is never taken to be above its history's.
 
 The base score needs exact counts of words: they are summed in another shuffle of packed postings by word hash, whose bins
 answer each chunk of documents with its words' part of the sums; nothing is broadcast there. Words are told apart by 64-bit
-hashes.
+hashes, and so are texts of one id.
 
 Defined cases: a null or empty text is its end token; a null doc_id has the crc32 of the empty string; rows alike in id and
 text get equal results and count in training each; without training rows N and V are 0 and every token is unknown; an
-empty table gives an empty result; other columns are not read.
+empty table gives an empty result; other columns are not read; a very long text is a chunk of its own.
 """
 
 from __future__ import annotations
@@ -35,10 +38,10 @@ from .common import saved, table
 from .textarrays import LOWER, frugal, mix64, text_chunks, word_hashes, words
 
 ORDER = 3
-#: From this count on an n-gram of two or more words is in the filter; words are from the first time on.
-MIN_COUNT = 2
 TRIGRAM, BIGRAM = 0.5, 0.25
-MAX_FILTER_BYTES, BITS_PER_ENTRY, PROBES = 192 << 20, 10, 5
+BLOCK_BYTES, BITS_PER_ENTRY, PROBES, LINE = 192 << 20, 8, 5, 512
+#: Bytes that a task of a shuffle should read.
+TASK_BYTES = 8 << 20
 #: Bytes of text that are counted at once, bytes of text for each bin of words, n-grams for each bin of the filter.
 CHUNK, WORD_BIN_BYTES, NGRAM_BIN = 4 << 20, 32 << 20, 1 << 20
 END = np.uint64(0xD6E8FEB86659FD93)
@@ -114,7 +117,7 @@ def _out(names: list[str], kinds: list, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names)
 
 
-def word_sums(docs: DataFrame, bins: int) -> tuple[DataFrame, int, int]:
+def word_sums(docs: DataFrame, bins: int, parts: int) -> tuple[DataFrame, int, int]:
     """docs: doc_id, text_hash, held, text. (doc_id, text_hash, n_tokens, n_known, log_sum), the words' N and V.
 
     log_sum is of log10(c + 0.5) over words; the end token is left to the caller. Of each word a chunk of texts sends one
@@ -142,8 +145,8 @@ def word_sums(docs: DataFrame, bins: int) -> tuple[DataFrame, int, int]:
                 size = np.diff(np.append(fresh, len(h))).astype(np.uint32)
                 h = h[fresh]
                 trained = np.add.reduceat(tf * ~held[lo:hi][doc], fresh).astype(np.uint32) if len(h) else tf
-                cut = np.append(np.searchsorted(h, np.arange(bins, dtype=np.uint64) << np.uint64(64 - bins.bit_length() + 1)), len(h))
-                rows = [(int(k), chunk, _squeeze(h[cut[k] : cut[k + 1]], trained[cut[k] : cut[k + 1]]), None, None) for k in np.flatnonzero(np.diff(cut))]
+                some, cut = np.unique(h >> np.uint64(64 - bins.bit_length() + 1), return_index=True)
+                rows = [(int(k), chunk, _squeeze(h[i:j], trained[i:j]), None, None) for k, i, j in zip(some, cut, [*cut[1:], len(h)])]
                 ids = b.column(0).slice(lo, hi - lo)
                 about = _squeeze(np.asarray(ids.fill_null(0), np.int64), np.asarray(b.column(1).slice(lo, hi - lo), np.int64), np.array(ids.is_valid()).astype(np.uint8), n.astype(np.int64))
                 rows.append((-1, chunk, about, _squeeze(size), _squeeze(doc, tf)))
@@ -175,57 +178,56 @@ def word_sums(docs: DataFrame, bins: int) -> tuple[DataFrame, int, int]:
 
     rows = docs.select("doc_id", "text_hash", "held", "text").mapInArrow(postings, "bin long, chunk long, a binary, b binary, c binary")
     rows = saved(rows, "postings")
-    sent = rows.where("bin >= 0").select("bin", "chunk", "a").repartition("bin").sortWithinPartitions("bin", "chunk")
+    sent = rows.where("bin >= 0").select("bin", "chunk", "a").repartition(parts, "bin").sortWithinPartitions("bin", "chunk")
     back = saved(sent.mapInArrow(answers, "bin long, chunk long, a binary, n long, v long"), "counts")
     total = back.where("chunk = -1").agg(F.sum("n"), F.sum("v")).first()
     both = rows.where("bin = -1").unionByName(back.where("chunk >= 0").select("chunk", "bin", "a"), allowMissingColumns=True)
-    both = both.select("chunk", "bin", "a", "b", "c").repartition("chunk").sortWithinPartitions("chunk", "bin")
+    both = both.select("chunk", "bin", "a", "b", "c").repartition(parts, "chunk").sortWithinPartitions("chunk", "bin")
     sums = both.mapInArrow(together, "doc_id long, text_hash long, n_tokens long, n_known long, log_sum double")
     return saved(sums, "word-sums"), total[0] or 0, total[1] or 0
 
 
 class LogFrequencyFilter:
-    """Quantised counts of hashed n-grams; bins hold separate stretches of bits."""
+    """Quantised counts of hashed n-grams, of the bins first_bin, first_bin + 1, ...; bins hold separate stretches of bits."""
 
-    def __init__(self, bits: np.ndarray, bin_bits: int, least: tuple[int, int]):
-        self.bits, self.bin_bits = bits, bin_bits
-        #: First level that is stored for words and for longer n-grams.
-        self.least = least
-        self.stretch = len(bits) * 8 >> bin_bits
+    def __init__(self, bits: np.ndarray, bin_bits: int, stretch: int, first_bin: int = 0):
+        self.bits, self.bin_bits, self.stretch, self.first_bin = bits, bin_bits, stretch, first_bin
 
     @staticmethod
-    def keys(ids: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes of an entry. ids: the 32 hash bits after those of the bin."""
-        a = mix64(ids.astype(np.uint64) + np.uint64(level * 0xA0761D6478BD642F % (1 << 64)))
-        return a, (a >> np.uint64(32)) | np.uint64(1)
+    def line(ids: np.ndarray, stretch: int) -> np.ndarray:
+        """First bit of the line, inside its bin's stretch, of an n-gram. ids: the 32 hash bits after those of the bin."""
+        return (mix64(ids.astype(np.uint64)) & np.uint64(0xFFFFFFFF)) * np.uint64(stretch // LINE) >> np.uint64(32) << np.uint64(9)
 
     @staticmethod
-    def place(a: np.ndarray, b: np.ndarray, probe: int, stretch: int) -> np.ndarray:
-        """Bit of an entry's probe inside its bin's stretch: 32 bits of hash, scaled."""
-        return ((a + np.uint64(probe) * b) & np.uint64(0xFFFFFFFF)) * np.uint64(stretch) >> np.uint64(32)
+    def probes(ids: np.ndarray, level: int) -> list[np.ndarray]:
+        """Bits of a level inside the line."""
+        a = mix64(ids.astype(np.uint64) + np.uint64(level * 0xA0761D6478BD642F % (1 << 64)))
+        return [a >> np.uint64(9 * k) & np.uint64(LINE - 1) for k in range(PROBES)]
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        """Whether an n-gram's bin is here."""
+        k = (h >> np.uint64(64 - self.bin_bits)).astype(np.int64) - self.first_bin
+        return (k >= 0) & (k < len(self.bits) * 8 // self.stretch)
 
-    def level(self, h: np.ndarray, n: int) -> np.ndarray:
+    def level(self, h: np.ndarray) -> np.ndarray:
         """Level of each n-gram's count by repeated membership probes; 0: it isn't there."""
-        low = self.least[n > 1]
-        out = np.zeros(len(h), np.int64)
-        base = (h >> np.uint64(64 - self.bin_bits)) * np.uint64(self.stretch)
+        out = np.zeros(len(h), np.uint8)
         ids = (h >> np.uint64(32 - self.bin_bits)) & np.uint64(0xFFFFFFFF)
-        live, level = np.arange(len(h)), low
+        line = ((h >> np.uint64(64 - self.bin_bits)) - np.uint64(self.first_bin)) * np.uint64(self.stretch) + self.line(ids, self.stretch)
+        live, level = np.arange(len(h)), 1
         while len(live) and level <= len(LEVELS):
-            a, b = self.keys(ids[live], level)
-            for k in range(PROBES):
-                at = base[live] + self.place(a, b, k, self.stretch)
-                there = np.flatnonzero((self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)
-                live, a, b = live[there], a[there], b[there]
-                if not len(live):
-                    break
+            at_line, found = line[live], np.ones(len(live), bool)
+            for probe in self.probes(ids[live], level):
+                at = at_line + probe
+                found &= (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+            live = live[found]
             out[live] = level
             level += 1
         return out
 
 
-def ngram_levels(train: DataFrame, bin_bits: int) -> DataFrame:
-    """(bin, n, ids, hist): n-grams of each bin with their levels, packed, and how many there are of each level."""
+def ngram_levels(train: DataFrame, bin_bits: int, parts: int) -> DataFrame:
+    """(bin, n, ids, entries): n-grams of each bin with their levels, packed, and how many entries of the filter they take."""
 
     @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,10 +243,10 @@ def ngram_levels(train: DataFrame, bin_bits: int) -> DataFrame:
                     new = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
                     c = np.diff(np.append(new, len(x))).astype(np.uint32)
                     x = x[new]
-                    cut = np.append(np.searchsorted(x, np.arange(1 << bin_bits, dtype=np.uint64) << np.uint64(32)), len(x))
-                    for k in np.flatnonzero(np.diff(cut)):
-                        ids = (x[cut[k] : cut[k + 1]] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                        rows.append((int(k), n, _squeeze(np.diff(ids, prepend=np.uint32(0)), c[cut[k] : cut[k + 1]])))
+                    some, cut = np.unique(x >> np.uint64(32), return_index=True)
+                    for k, i, j in zip(some, cut, [*cut[1:], len(x)]):
+                        ids = (x[i:j] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                        rows.append((int(k), n, _squeeze(np.diff(ids, prepend=np.uint32(0)), c[i:j])))
                 yield _out(["bin", "n", "ids"], [pa.int32(), pa.int32(), pa.binary()], rows)
 
     @frugal
@@ -258,33 +260,23 @@ def ngram_levels(train: DataFrame, bin_bits: int) -> DataFrame:
             new = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
             ids, c = ids[new], np.add.reduceat(c, new)
             level = np.searchsorted(LEVELS, c, "right").astype(np.uint8)
-            hist = np.bincount(level, minlength=len(LEVELS) + 1)
-            keep = c >= (MIN_COUNT if n > 1 else 1)
-            ids = ids[keep]
-            yield _out(["bin", "n", "ids", "hist"], [pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())], [(k, n, _squeeze(np.diff(ids, prepend=np.uint32(0)), level[keep]), hist.tolist())])
+            # A level takes an entry for each level up to it.
+            yield _out(["bin", "n", "ids", "entries"], [pa.int32(), pa.int32(), pa.binary(), pa.int64()], [(k, n, _squeeze(np.diff(ids, prepend=np.uint32(0)), level), int(level.sum(dtype=np.int64)))])
 
     rows = train.select("text").mapInArrow(count, "bin int, n int, ids binary")
-    return saved(rows.repartition("bin").sortWithinPartitions("bin", "n").mapInArrow(add_up, "bin int, n int, ids binary, hist array<bigint>"), "ngrams")
+    rows = rows.repartition(parts, "bin").sortWithinPartitions("bin", "n")
+    return saved(rows.mapInArrow(add_up, "bin int, n int, ids binary, entries long"), "ngrams")
 
 
-def build_filter(train: DataFrame, n_tokens: int, max_bytes: int = MAX_FILTER_BYTES) -> LogFrequencyFilter:
+def build_filter(train: DataFrame, n_tokens: int, block_bytes: int = BLOCK_BYTES) -> Iterator[LogFrequencyFilter]:
+    """The filter, in blocks of bins."""
     bin_bits = max(8, (n_tokens // NGRAM_BIN).bit_length())
-    levels = ngram_levels(train, bin_bits)
-    hist = np.zeros((2, len(LEVELS) + 1), np.int64)
-    for r in levels.select(F.when(F.col("n") > 1, 1).otherwise(0).alias("long"), F.posexplode("hist")).groupBy("long", "pos").agg(F.sum("col").alias("n")).collect():
-        hist[r["long"], r["pos"]] = r["n"]
-
-    def entries(low: int, k: int) -> int:
-        x = np.arange(len(LEVELS) + 1) - low + 1
-        return int((hist[k] * np.maximum(0, x)).sum())
-
-    least = [1, int(np.searchsorted(LEVELS, MIN_COUNT, "right"))]
-    most = max_bytes * 8 // BITS_PER_ENTRY
-    while entries(least[0], 0) + entries(least[1], 1) > most:
-        k = 1 if least[1] < least[0] + 12 else 0
-        least[k] += 1
-    size = min(max_bytes * 8, max(1 << bin_bits + 9, (entries(least[0], 0) + entries(least[1], 1)) * BITS_PER_ENTRY * 9 // 8))
-    stretch = (size >> bin_bits) // 8 * 8
+    parts = tasks(train.sparkSession, 12 * n_tokens)
+    levels = ngram_levels(train, bin_bits, parts)
+    # Bins are dealt by hash: they are alike in size, and all get the same stretch.
+    entries = levels.agg(F.sum("entries")).first()[0] or 0
+    stretch = max(1, -(-(entries * BITS_PER_ENTRY >> bin_bits) // LINE)) * LINE
+    per_block = max(1, min(1 << bin_bits, block_bytes * 8 // stretch))
 
     @frugal
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,62 +285,102 @@ def build_filter(train: DataFrame, n_tokens: int, max_bytes: int = MAX_FILTER_BY
             for _, n, blob in rows:
                 d, level = _unsqueeze(blob, np.uint32, np.uint8)
                 ids = np.cumsum(d, dtype=np.uint32)
-                for x in range(least[n > 1], int(level.max(initial=0)) + 1):
-                    a, b = LogFrequencyFilter.keys(ids[level >= x], x)
-                    for probe in range(PROBES):
-                        bits[LogFrequencyFilter.place(a, b, probe, stretch)] = True
+                line = LogFrequencyFilter.line(ids, stretch)
+                for x in range(1, int(level.max(initial=0)) + 1):
+                    some = np.flatnonzero(level >= x)
+                    for probe in LogFrequencyFilter.probes(ids[some], x):
+                        bits[line[some] + probe] = True
             yield _out(["bin", "bits"], [pa.int32(), pa.binary()], [(k, np.packbits(bits, bitorder="little").tobytes())])
 
-    rows = levels.select("bin", "n", "ids").repartition("bin").sortWithinPartitions("bin", "n").mapInArrow(fill, "bin int, bits binary")
-    out = np.zeros((1 << bin_bits, stretch // 8), np.uint8)
-    for r in rows.toLocalIterator():  # max_bytes in all
-        out[r["bin"]] = np.frombuffer(r["bits"], np.uint8)
-    return LogFrequencyFilter(out.ravel(), bin_bits, (least[0], least[1]))
+    for first in range(0, 1 << bin_bits, per_block):
+        here = levels.where((F.col("bin") >= first) & (F.col("bin") < first + per_block)).select("bin", "n", "ids")
+        rows = here.repartition("bin").sortWithinPartitions("bin", "n").mapInArrow(fill, "bin int, bits binary")
+        out = np.zeros((min(per_block, (1 << bin_bits) - first), stretch // 8), np.uint8)
+        for r in rows.toLocalIterator():  # block_bytes in all
+            out[r["bin"] - first] = np.frombuffer(r["bits"], np.uint8)
+        yield LogFrequencyFilter(out.ravel(), bin_bits, stretch, first)
 
 
-def model_scores(docs: DataFrame, model: LogFrequencyFilter, n: int, v: int) -> DataFrame:
-    """docs: doc_id, text_hash, held, text -> doc_id, text_hash, held, score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    denominator = n + 0.5 * (v + 1)
+def tasks(spark: SparkSession, n_bytes: int) -> int:
+    """Partitions for so many bytes: the session's number, or more."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // TASK_BYTES)
 
-    @frugal
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = shared.value
-        for b in batches:
-            for lo, hi, buf, off in text_chunks(b.column(3)):
-                h, first = tokens(buf, off)
-                counts, there = [], [ngrams(h, first, k)[1] for k in range(1, ORDER + 1)]
-                for k in (1, 2):
-                    distinct, at = np.unique(ngrams(h, first, k)[0], return_inverse=True)
-                    counts.append(np.where(there[k - 1], VALUES[f.level(distinct, k)][at], 0.0))
-                one, two = counts
-                # A trigram can only be there if both of its bigrams are.
-                three = np.zeros(len(h))
-                maybe = np.flatnonzero(there[2] & (two > 0) & (np.concatenate([[0.0], two[:-1]]) > 0))
-                three[maybe] = VALUES[f.level(ngrams(h, first, 3)[0][maybe], 3)]
-                p = (one + 0.5) / denominator
-                before = lambda c, k: np.where(there[k], np.concatenate([[0.0], c[:-1]]), 0.0)
-                past = before(one, 1)
-                share = np.minimum(1.0, np.divide(two, past, out=np.zeros_like(p), where=past > 0))
-                p = np.where(past > 0, BIGRAM * share + (1 - BIGRAM) * p, p)
-                past = before(two, 2)
-                share = np.minimum(1.0, np.divide(three, past, out=np.zeros_like(p), where=past > 0))
-                p = np.where(past > 0, TRIGRAM * share + (1 - TRIGRAM) * p, p)
-                total = np.add.reduceat(np.log10(np.minimum(p, 1.0)), first[:-1])
-                yield pa.RecordBatch.from_arrays([*[b.column(c).slice(lo, hi - lo) for c in range(3)], pa.array(total)], ["doc_id", "text_hash", "held", "score"])
-
-    return docs.select("doc_id", "text_hash", "held", "text").mapInArrow(run, "doc_id long, text_hash long, held boolean, score double")
+
+def possible(shorter: np.ndarray, ok: np.ndarray) -> np.ndarray:
+    """Where an n-gram can be: both of its shorter n-grams are there too."""
+    return ok & (shorter > 0) & (np.concatenate([[0], shorter[:-1]]) > 0)
+
+
+def probabilities(levels: list[np.ndarray], there: list[np.ndarray], denominator: float) -> np.ndarray:
+    """P of each token, given the levels of the n-grams that end there and whether its text has them."""
+    levels = list(levels)
+    for k in range(1, ORDER):
+        levels[k] = np.where(possible(levels[k - 1], there[k]), levels[k], 0)
+    one, two, three = (VALUES[x] for x in levels)
+    p = (one + 0.5) / denominator
+    for share, count, past in ((BIGRAM, two, one), (TRIGRAM, three, two)):
+        past = np.where(there[1 if past is one else 2], np.concatenate([[0.0], past[:-1]]), 0.0)
+        seen = np.minimum(1.0, np.divide(count, past, out=np.zeros_like(p), where=past > 0))
+        p = np.where(past > 0, share * seen + (1 - share) * p, p)
+    return np.minimum(p, 1.0)
+
+
+def model_scores(docs: DataFrame, model: Iterator[LogFrequencyFilter], n: int, v: int) -> DataFrame:
+    """docs: doc_id, text_hash, held, text -> doc_id, text_hash, held, score."""
+    spark, denominator = docs.sparkSession, n + 0.5 * (v + 1)
+    rows = docs.select("doc_id", "text_hash", "held", "text")
+    blocks = iter(model)
+    block, more = next(blocks), True
+    whole = True
+    while more:
+        shared = spark.sparkContext.broadcast(block)
+        block = next(blocks, None)
+        more = block is not None
+        whole &= not more
+
+        @frugal
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, more=more, whole=whole) -> Iterator[pa.RecordBatch]:
+            f = shared.value
+            for b in batches:
+                known = b.column(4).to_pylist() if b.num_columns > 4 else None
+                for lo, hi, buf, off in text_chunks(b.column(3)):
+                    h, first = tokens(buf, off)
+                    grams = [ngrams(h, first, k) for k in range(1, ORDER + 1)]
+                    there = [ok for _, ok in grams]
+                    if known is None:
+                        levels = [np.zeros(len(h), np.uint8) for _ in grams]
+                    else:
+                        each = [np.frombuffer(known[d], np.uint8).reshape(ORDER, -1) for d in range(lo, hi)]
+                        levels = list(np.concatenate(each, axis=1))
+                    for k, (g, ok) in enumerate(grams):
+                        at = np.flatnonzero(possible(levels[k - 1], ok) if whole and k else ok if whole else ok & f.has(g))
+                        distinct, back = np.unique(g[at], return_inverse=True)
+                        levels[k][at] = f.level(distinct)[back]
+                    same = [b.column(c).slice(lo, hi - lo) for c in range(3)]
+                    if more:
+                        out = [np.stack([x[i:j] for x in levels]).tobytes() for i, j in zip(first[:-1], first[1:])]
+                        yield pa.RecordBatch.from_arrays([*same, b.column(3).slice(lo, hi - lo), pa.array(out, pa.binary())], ["doc_id", "text_hash", "held", "text", "levels"])
+                    else:
+                        total = np.add.reduceat(np.log10(probabilities(levels, there, denominator)), first[:-1])
+                        yield pa.RecordBatch.from_arrays([*same, pa.array(total)], ["doc_id", "text_hash", "held", "score"])
+
+        about = "doc_id long, text_hash long, held boolean, "
+        if more:
+            rows = saved(rows.mapInArrow(run, about + "text string, levels binary"), "levels")
+            shared.unpersist()
+    return rows.mapInArrow(run, about + "score double")
 
 
 def scores(docs: DataFrame) -> DataFrame:
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), held_out(F.col("doc_id")).alias("held"), "text")
     about = keyed.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count_if(~F.col("held")).alias("ends")).first()
     bins = 1 << max(4, ((about["bytes"] or 0) // WORD_BIN_BYTES).bit_length())
-    sums, n, v = word_sums(keyed, bins)
+    sums, n, v = word_sums(keyed, bins, tasks(keyed.sparkSession, about["bytes"] or 0))
     ends = about["ends"]
     n, v = n + ends, v + (ends > 0)
     model = build_filter(keyed.where("not held"), n)
     out = model_scores(keyed, model, n, v)
+    # A row for each document on both sides.
     one = sums.dropDuplicates(["doc_id", "text_hash"]).withColumnRenamed("doc_id", "id")
     out = out.join(one, out["doc_id"].eqNullSafe(one["id"]) & (out["text_hash"] == one["text_hash"]))
     base = F.col("log_sum") + F.lit(float(np.log10(ends + 0.5))) - F.col("n_tokens") * F.lit(float(np.log10(n + 0.5 * (v + 1))))

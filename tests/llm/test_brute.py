@@ -177,17 +177,50 @@ def test_op9_filter_counts():
     from lodestone.llm import lmscore as L
 
     assert L.LEVELS[:5].tolist() == [1, 2, 3, 4, 5] and (np.diff(L.LEVELS) > 0).all()
-    model = L.LogFrequencyFilter(np.zeros(1 << 12, np.uint8), 0, (1, 2))
     h = L.mix64(np.arange(1, 200, dtype=np.uint64))
-    bits = np.zeros(model.stretch, bool)
-    level = np.arange(1, 200) % 6
+    ids, level, stretch = (h >> np.uint64(24)) & np.uint64(0xFFFFFFFF), np.arange(1, 200) % 6, L.LINE * 8
+    bits = np.zeros((256, stretch), bool)
     for x in range(1, 6):
-        a, b = model.keys(((h >> np.uint64(32)) & np.uint64(0xFFFFFFFF))[level >= x], x)
-        for k in range(L.PROBES):
-            bits[model.place(a, b, k, model.stretch)] = True
-    model.bits = np.packbits(bits, bitorder="little")
-    found = model.level(h, 1)
-    assert (found >= level).all() and (found == level).mean() > 0.98
+        some = np.flatnonzero(level >= x)
+        for probe in L.LogFrequencyFilter.probes(ids[some], x):
+            bits[(h[some] >> np.uint64(56)).astype(int), (L.LogFrequencyFilter.line(ids[some], stretch) + probe).astype(int)] = True
+    model = L.LogFrequencyFilter(np.packbits(bits, bitorder="little"), 8, stretch)
+    found = model.level(h)
+    assert model.has(h).all() and (found >= level).all() and (found == level).mean() > 0.98
+
+
+def trigram_score(t, c, n, v):
+    """The model's formula with counts in place of the filter."""
+    from lodestone.llm import lmscore as L
+
+    def value(gram):
+        return 0.0 if not c[gram] else float(L.VALUES[sum(int(x) <= c[gram] for x in L.LEVELS)])
+
+    total = 0.0
+    for k in range(len(t)):
+        p = (value((t[k],)) + 0.5) / (n + 0.5 * (v + 1))
+        for size, share in ((2, L.BIGRAM), (3, L.TRIGRAM)):
+            if k >= size - 1 and value(tuple(t[k - size + 1 : k])) > 0:
+                p = share * min(1.0, value(tuple(t[k - size + 1 : k + 1])) / value(tuple(t[k - size + 1 : k]))) + (1 - share) * p
+        total += math.log10(min(p, 1.0))
+    return total
+
+
+@pytest.mark.parametrize("block_bytes", [None, 20_000])
+def test_op9_score(spark, awkward, rows, block_bytes, monkeypatch):
+    """Against a trigram model by exact counts; a false positive of the filter can only add to a count."""
+    from lodestone.llm import lmscore as L
+
+    if block_bytes:
+        monkeypatch.setattr(L.build_filter, "__defaults__", (block_bytes,))
+    toks = [WORD.findall(lower(r[1])) + ["\0end"] for r in rows]
+    held = [zlib.crc32(str("" if r[0] is None else r[0]).encode()) % 5 == 1 for r in rows]
+    c = Counter(tuple(t[k : k + n]) for t, h in zip(toks, held) if not h for n in (1, 2, 3) for k in range(len(t) - n + 1))
+    n, v = sum(x for g, x in c.items() if len(g) == 1), sum(len(g) == 1 for g in c)
+    want = in_order((r[0], len(t), trigram_score(t, c, n, v)) for r, t in zip(rows, toks))
+    mine = in_order((r["doc_id"], r["n_tokens"], r["score"]) for r in got(spark, "op9", awkward).collect())
+    apart = [abs(a[2] - b[2]) / a[1] for a, b in zip(mine, want)]
+    assert [a[:2] for a in mine] == [b[:2] for b in want] and max(apart) < 0.2 and sorted(apart)[len(apart) // 2] < 0.01
 
 
 def test_op1_lines(spark, awkward, rows):
