@@ -20,32 +20,41 @@ class SnapshotTable:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    LOG = "batch long, snapshot string, stream string, stream_batch long"
+
     def _log(self) -> DataFrame | None:
         try:
-            return self.spark.read.schema("batch long, snapshot string").json(f"{self.path}/log")
+            return self.spark.read.schema(self.LOG).json(f"{self.path}/log")
         except Exception as e:
             if "PATH_NOT_FOUND" in str(e):
                 return None
             raise
 
     def current(self) -> tuple[int, DataFrame | None]:
+        """Number of the last commit, whoever wrote it, and the table as of then."""
         log = self._log()
         last = log.orderBy(F.desc("batch")).first() if log is not None else None
         return (-1, None) if last is None else (last["batch"], self.spark.read.parquet(f"{self.path}/{last['snapshot']}"))
 
-    def commit(self, batch: int, rows: DataFrame) -> None:
+    def has(self, stream: str, n: int) -> bool:
+        """Whether a stream's batch was committed before."""
+        log = self._log()
+        return log is not None and not log.where((F.col("stream") == stream) & (F.col("stream_batch") == n)).isEmpty()
+
+    def commit(self, batch: int, rows: DataFrame, stream: str | None = None, n: int | None = None) -> None:
         name = f"snapshot-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.path}/{name}")
-        self.spark.createDataFrame([(batch, name)], "batch long, snapshot string").coalesce(1).write.mode("append").json(f"{self.path}/log")
+        self.spark.createDataFrame([(batch, name, stream, n)], self.LOG).coalesce(1).write.mode("append").json(f"{self.path}/log")
 
 
 def upsert_stream(rows: DataFrame, table: SnapshotTable, checkpoint: str, key: str = "source") -> StreamingQuery:
-    """Replace each micro-batch's keys in the table. A batch that was committed before is left out when it comes again."""
+    """Replace each micro-batch's keys in the table. A batch that this stream, named by its checkpoint, has committed before is
+    left out when it comes again; other writers' commits don't count. One stream at a time may write a table."""
 
     def apply(batch: DataFrame, n: int) -> None:
-        done, old = table.current()
-        if n > done:
-            table.commit(n, batch if old is None else upsert(old, batch, key))
+        if not table.has(checkpoint, n):
+            last, old = table.current()
+            table.commit(last + 1, batch if old is None else upsert(old, batch, key), checkpoint, n)
 
     return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

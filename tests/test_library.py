@@ -64,3 +64,17 @@ def test_sinks(spark, tmp_path):
     hits = spark.createDataFrame([(1, 1, "a", "s", "t" * 900, 0.123456)], "query_id long, rank long, id string, source string, raw_text string, score double")
     assert '"score":0.1235' in sinks.answers(hits).first()["json"]
     assert "| n | 3 |" in sinks.report(batches.agg(F.count("*").alias("n")))
+
+
+def test_two_streams_fill_one_table(spark, tmp_path):
+    from lodestone.streaming.ingest import SnapshotTable, upsert_stream
+
+    table = SnapshotTable(spark, f"{tmp_path}/table")
+    for name in ("a", "b"):
+        spark.createDataFrame([(name, 1)], "source string, n int").write.json(f"{tmp_path}/in-{name}")
+        rows = spark.readStream.schema("source string, n int").json(f"{tmp_path}/in-{name}")
+        for _ in range(2):
+            upsert_stream(rows, table, f"{tmp_path}/check-{name}").awaitTermination()
+    last, out = table.current()
+    assert last == 1 and sorted(map(tuple, out.collect())) == [("a", 1), ("b", 1)]
+    assert table.has(f"{tmp_path}/check-a", 0) and not table.has(f"{tmp_path}/check-a", 1)
