@@ -1,23 +1,24 @@
 """Operator 4: toxicity by a character n-gram linear classifier whose features are scaled by naive Bayes log-count ratios.
 
-Features are hashed byte n-grams of lower-cased letters, with one blank for each run of anything else; a text has a feature
-or it hasn't. Each is scaled by r = log(P(feature | toxic) / P(feature | clean)) of the labelled documents; features whose r
-is within MIN_Z standard errors of zero are left out, so that long texts don't gather noise, and at most MAX_FEATURES
-stay; a logistic regression over
-the scaled features is fitted with numpy on the driver, whose input is bounded by TRAIN_ROWS. Scoring reads every text
-whole, in the executors.
+Features are hashed n-grams of characters (code points) of lower-cased letters, with one blank for each run of anything else;
+a text has a feature or it hasn't. Each is scaled by r = log(P(feature | toxic) / P(feature | clean)) of the labelled
+documents; features whose r is within MIN_Z standard errors of zero are left out, so that long texts don't gather noise, and
+all others are kept. A logistic regression over the scaled features is fitted with numpy on the driver, whose input is bounded
+by TRAIN_ROWS, in passes over blocks of rows. Scoring reads every text whole, in the executors.
 
 Labels come only from rows whose crc32(doc_id as text) modulo 3 is not 1. About TRAIN_ROWS of them, those of small hash, are
 used, and only as many bytes of text reach the driver as the selected features of these rows take.
 
 Defined cases: null and empty texts have no feature and get the score of the intercept; a null doc_id has the crc32 of
 the empty string; labels without a document or that are null are not used; a document that is labelled twice counts
-twice; without labels of both kinds every score is 0; equal texts get equal scores; an empty table gives an empty result;
-other columns are not read.
+twice; without labels of both kinds every score is 0; equal texts get equal scores, so ties stay ties; a very long text is
+worked on by itself, whole; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,50 +28,77 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import saved, table
-from .textarrays import LOWER, frugal, mix64, text_chunks
+from .textarrays import frugal, mix64, text_chunks
 
 TRAIN_ROWS = 16_000
-#: Features of the classifier, those whose ratio is the most standard errors from zero.
-MAX_FEATURES = 4000
 SIZES, BITS = (4, 5, 6), 20
 SMOOTHING, MIN_Z, L2, THRESHOLD = 0.5, 3.0, 1e-4, 0.7
-
-_LETTER = np.zeros(256, bool)
-_LETTER[97:123] = True
-_LETTER[128:] = True
+#: Rows of a step of the fit, and how often all rows are gone through.
+STEP_ROWS, EPOCHS, RATE = 500, 12, 0.05
+
+_BASE = 0x9E3779B97F4A7C15
+
+
+@functools.cache
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """Lower case of each code point below 2**16, where it is one such too, and which are letters or marks of letters."""
+    low = np.arange(1 << 16, dtype=np.uint32)
+    letter = np.zeros(1 << 16, bool)
+    for c in range(1 << 16):
+        x = chr(c).lower()
+        if len(x) == 1:
+            low[c] = ord(x)
+        letter[c] = unicodedata.category(x[0])[0] in "LM"
+    return low, letter
+
+
+def _code_points(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 texts, and the offsets in them."""
+    if not (buf >= 128).any():
+        return buf.astype(np.uint32), off
+    first = np.flatnonzero((buf & 0xC0) != 0x80)
+    lead = buf[first]
+    size = 1 + (lead >= 0xC0).astype(np.int64) + (lead >= 0xE0) + (lead >= 0xF0)
+    code = (lead & np.array([0, 0x7F, 0x1F, 0x0F, 0x07], np.uint8)[size]).astype(np.uint32)
+    for k in (1, 2, 3):
+        more = np.flatnonzero(size > k)
+        code[more] = code[more] << np.uint32(6) | (buf[np.minimum(first[more] + k, len(buf) - 1)] & 0x3F)
+    return code, np.searchsorted(first, off)
 
 
 def _features(buf: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(document, bucket) of each n-gram, repeats included, for each n. Every text is set between two blanks."""
-    low = LOWER[buf]
-    letter = _LETTER[low]
-    low = np.where(letter, low, 32).astype(np.uint8)
+    """(document, bucket) of each n-gram, repeats included, for each n. A blank is set before every text."""
+    code, off = _code_points(buf, off)
+    lower, letters = _characters()
+    # Characters from 2**16 on are letters without case.
+    near = np.minimum(code, 0xFFFF)
+    letter = letters[near] | (code > 0xFFFF)
+    low = np.where(letter, np.where(code > 0xFFFF, code, lower[near]), 32).astype(np.uint32)
     n = len(off) - 1
-    # One blank before the first byte of each text, which may be empty.
+    # One blank before the first character of each text, which may be empty.
     padded = np.insert(low, off[:-1], 32)
     is_letter = np.insert(letter, off[:-1], False)
+    starts = off[:-1] + np.arange(n)
+    # Of a run of anything else the first stays.
     keep = is_letter.copy()
-    keep[:-1] |= is_letter[1:]
     keep[1:] |= is_letter[:-1]
-    blank = ~is_letter
-    keep[1:] &= ~(blank[1:] & blank[:-1] & ~np.concatenate([is_letter[2:], [False]]))
-    starts = off[:-1] + np.arange(n)
+    keep[starts] = True
     at = np.flatnonzero(keep)
     x = padded[at].astype(np.uint64)
     cut = np.append(np.searchsorted(at, starts), len(at))
     doc = np.repeat(np.arange(n), np.diff(cut))
-    g, done = np.zeros(len(x), np.uint64), 0
+    g, done, scale = np.zeros(len(x), np.uint64), 0, 1
     for size in SIZES:
         for k in range(done, size):
             if k < len(x):
-                g[: len(x) - k] |= x[k:] << np.uint64(8 * k)
+                g[: len(x) - k] += x[k:] * np.uint64(scale)
+            scale = scale * _BASE % (1 << 64)
         done = size
         m = len(x) - size + 1
         if m <= 0:
             continue
         same = doc[:m] == doc[size - 1 :]
-        key = g[:m] & np.uint64((1 << 8 * size) - 1)
-        yield doc[:m][same], (mix64(key[same] + np.uint64(size)) >> np.uint64(64 - BITS)).astype(np.int64)
+        yield doc[:m][same], (mix64(g[:m][same] + np.uint64(size)) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def _distinct(doc: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,12 +119,13 @@ def held_out(doc_id) -> F.Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """(doc_id, text, toxic) of about so many labelled documents that are not held out."""
-    usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "toxic")
+    """(doc_id, text, toxic, n) of about so many labelled documents that are not held out; n: how often it has this label."""
+    usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    usable = usable.groupBy("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n"))
     share = rows / max(1, usable.count())
     if share < 1:
         usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    return docs.select("doc_id", "text").join(F.broadcast(usable), "doc_id")  # about ``rows`` rows
+    return docs.select("doc_id", "text").join(F.broadcast(usable), "doc_id")  # about ``rows`` rows, however often one is labelled
 
 
 def log_count_ratios(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -106,16 +135,17 @@ def log_count_ratios(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, docs = np.zeros((2, 1 << BITS), np.int64), np.zeros(2, np.int64)
         for b in batches:
-            label = (b.column(1).to_numpy(zero_copy_only=False) > 0).astype(np.int64)
-            docs += np.bincount(label, minlength=2)
+            label, times = np.asarray(b.column(1), np.int64), np.asarray(b.column(2), np.int64)
+            docs += np.bincount(label, times, minlength=2).astype(np.int64)
             for lo, hi, buf, off in text_chunks(b.column(0)):
                 d, k = _all_features(buf, off)
                 for y in (0, 1):
-                    c[y] += np.bincount(k[label[lo:hi][d] == y], minlength=1 << BITS)
+                    of = label[lo:hi][d] == y
+                    c[y] += np.bincount(k[of], times[lo:hi][d[of]], minlength=1 << BITS).astype(np.int64)
         at = np.flatnonzero(c.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(c[0][at], docs[0])), pa.array(np.append(c[1][at], docs[1]))], ["bucket", "clean", "toxic"])
 
-    counts = train.select("text", "toxic").mapInArrow(run, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = train.select("text", "toxic", "n").mapInArrow(run, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     counts = saved(counts, "features")
     n = counts.where("bucket = -1").first()  # this bucket counts documents
     r, used = np.zeros(1 << BITS), np.zeros(1 << BITS, bool)
@@ -125,24 +155,39 @@ def log_count_ratios(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     ratio = F.log((F.col("toxic") + a) / (n["toxic"] + 2 * a)) - F.log((F.col("clean") + a) / (n["clean"] + 2 * a))
     error = F.sqrt(1 / (F.col("toxic") + a) + 1 / (F.col("clean") + a))
     far = counts.where("bucket >= 0").select("bucket", ratio.alias("r"), error.alias("e")).where(F.abs("r") > MIN_Z * F.col("e"))
-    far = far.orderBy(F.desc(F.abs(F.col("r") / F.col("e"))), "bucket").limit(MAX_FEATURES).toPandas()
-    r[far["bucket"]], used[far["bucket"]] = far["r"], True
+    far = far.select(F.col("bucket").cast("int"), "r").toArrow()  # 2**BITS rows at most
+    at = np.asarray(far["bucket"])
+    r[at], used[at] = np.asarray(far["r"]), True
     return r, used
 
 
-def fit_logistic(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndarray, n_cols: int, steps: int = 300, rate: float = 0.05) -> tuple[np.ndarray, float]:
-    """Weights and intercept of an L2-regularised logistic regression over a sparse matrix, by Adam on the whole gradient."""
-    n = len(y)
+def fit_logistic(cut: np.ndarray, cols: np.ndarray, scale: np.ndarray, y: np.ndarray, times: np.ndarray, block: int = STEP_ROWS, epochs: int = EPOCHS, rate: float = RATE) -> tuple[np.ndarray, float]:
+    """Weights and intercept of an L2-regularised logistic regression, by Adam over blocks of rows.
+
+    Row i has the columns cols[cut[i]:cut[i + 1]], each with the value ``scale`` of its column, and counts times[i] times.
+    Only a block's values are worked out at once. The weights are the mean of those after each block of the second half.
+    """
+    n, n_cols = len(y), len(scale)
     w = np.zeros(n_cols + 1)
-    w[-1] = np.log((y.sum() + 0.5) / (n - y.sum() + 0.5))
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    for t in range(1, steps + 1):
-        z = np.bincount(rows, vals * w[cols], minlength=n) + w[-1]
-        e = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y
-        g = np.append(np.bincount(cols, vals * e[rows], minlength=n_cols) / n + L2 * w[:-1], e.mean())
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= rate * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w[:-1], float(w[-1])
+    w[-1] = np.log((times @ y + 0.5) / (times @ (1 - y) + 0.5))
+    m, v, mean = np.zeros_like(w), np.zeros_like(w), np.zeros_like(w)
+    starts = range(0, n, block)
+    steps, t = epochs * len(starts), 0
+    for _ in range(epochs):
+        for lo in starts:
+            t += 1
+            hi = min(n, lo + block)
+            row = np.repeat(np.arange(hi - lo), np.diff(cut[lo : hi + 1]))
+            col = cols[cut[lo] : cut[hi]]
+            val = scale[col]
+            z = np.bincount(row, val * w[col], minlength=hi - lo) + w[-1]
+            e = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[lo:hi]) * times[lo:hi] / times.mean()
+            g = np.append(np.bincount(col, val * e[row], minlength=n_cols) / (hi - lo) + L2 * w[:-1], e.mean())
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            w = w - rate * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+            if t > steps // 2:
+                mean += w / (steps - steps // 2)
+    return mean[:-1], float(mean[-1])
 
 
 def train_model(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float | None]:
@@ -160,19 +205,22 @@ def train_model(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float |
                 d, k = _all_features(buf, off, shared.value)
                 cut = np.searchsorted(d, np.arange(hi - lo + 1))
                 lists = [k[i:j] for i, j in zip(cut[:-1], cut[1:])]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo).cast(pa.int32()), pa.array(lists, pa.list_(pa.int32()))], ["doc_id", "toxic", "k"])
+                yield pa.RecordBatch.from_arrays([b.column(c).slice(lo, hi - lo) for c in (0, 2, 3)] + [pa.array(lists, pa.list_(pa.int32()))], ["doc_id", "toxic", "n", "k"])
 
-    got = train.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, k array<int>").toArrow()  # TRAIN_ROWS rows
-    # The same order of sums in every run.
-    got = got.take(np.lexsort((np.asarray(got["toxic"]), np.asarray(got["doc_id"])))).combine_chunks()
-    y = (np.asarray(got["toxic"]) > 0).astype(float)
+    got = train.select(F.col("doc_id").cast("long"), "text", "toxic", "n").mapInArrow(run, "doc_id long, toxic int, n long, k array<int>").toArrow()  # TRAIN_ROWS rows
+    y, ids, times = np.asarray(got["toxic"]).astype(float), np.asarray(got["doc_id"]), np.asarray(got["n"])
     if not len(y) or y.min() == y.max():
         return weights, None
-    lists = got["k"].combine_chunks()
-    rows = np.repeat(np.arange(len(y), dtype=np.int32), np.asarray(pa.compute.list_value_length(lists)))
-    at = np.asarray(lists.flatten())
+    # Blocks of rows are mixed, and the same in every run.
+    order = np.lexsort((y, ids, mix64(ids.astype(np.uint64))))
     index = np.flatnonzero(used)
-    w, b = fit_logistic(rows, np.searchsorted(index, at).astype(np.int32), r[at], y, len(index))
+    size = np.asarray(pa.compute.list_value_length(got["k"]))[order]
+    cut = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    cols = np.empty(cut[-1], np.int32)
+    for i, r_i in enumerate(order):
+        cols[cut[i] : cut[i + 1]] = np.searchsorted(index, got["k"][int(r_i)].values.to_numpy())
+    del got
+    w, b = fit_logistic(cut, cols, r[index], y[order], times[order])
     weights[index] = w * r[index]
     return weights, float(b)
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -100,6 +101,54 @@ def test_op4_reads_no_held_out_label(spark, small, tmp_path):
     assert both[0] == both[1]
 
 
+def test_op4_features_are_characters():
+    """Hashed n-grams of code points against plain Python, letters of more than one byte included; case aside."""
+    texts = ["Straße ÀÉÎ, 12 ñandú!", "机器学习与深度学习 model", "नमस्ते दुनिया", "😀😀😀😀 ok", "", "É"]
+    raw = [t.encode() for t in texts]
+    buf, off = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+    doc, bucket = toxicity._all_features(buf, off)
+    for i, t in enumerate(texts):
+        low = "".join(c.lower() if ord(c) > 0xFFFF or unicodedata.category(c)[0] in "LM" else " " for c in t)
+        low = re.sub(" +", " ", " " + low)
+        grams = {low[k : k + n] for n in toxicity.SIZES for k in range(len(low) - n + 1)}
+        hashes = set()
+        for g in grams:
+            h = sum(ord(c) * toxicity._BASE ** k for k, c in enumerate(g)) + len(g)
+            hashes.add(int(toxicity.mix64(np.array([h % (1 << 64)], np.uint64))[0] >> np.uint64(64 - toxicity.BITS)))
+        assert set(bucket[doc == i].tolist()) == hashes
+
+
+def test_op4_fit_against_a_dense_one():
+    """The fit by blocks is a logistic regression: it comes to the least of the loss that a dense fit comes to; weights count."""
+    rng = np.random.default_rng(3)
+    x = rng.random((400, 12)) < 0.3
+    scale = rng.normal(size=12)
+    y = (x @ (scale * rng.normal(size=12)) + rng.normal(size=400) > 0).astype(float)
+    times = rng.integers(1, 4, 400)
+    cut = np.concatenate([[0], np.cumsum(x.sum(1))])
+    w, b = toxicity.fit_logistic(cut, np.nonzero(x)[1].astype(np.int32), scale, y, times, block=100, epochs=400)
+    dense, at = np.c_[x * scale, np.ones(400)], np.zeros(13)
+    for _ in range(60):  # Newton's steps
+        p = 1 / (1 + np.exp(-dense @ at))
+        ridge = toxicity.L2 * np.r_[np.ones(12), 0] * times.mean() * 400 / times.sum()
+        g = dense.T @ ((p - y) * times) / times.sum() + ridge * at
+        at = at - np.linalg.solve((dense * (times * p * (1 - p))[:, None]).T @ dense / times.sum() + np.diag(ridge + 1e-9), g)
+
+    def loss(v):
+        z = dense @ v
+        return ((np.logaddexp(0, z) - y * z) * times).sum() / times.sum() + (ridge * v * v).sum() / 2
+
+    assert loss(at) <= loss(np.append(w, b)) < loss(at) + 1e-3
+
+
+def test_op4_labels_count_as_often_as_they_come(spark, small):
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    some = labels.where("not doc_id <=> 3 and pmod(crc32(cast(doc_id as string)), 3) <> 1")
+    thrice = some.unionByName(some).unionByName(some)
+    rows = {r["doc_id"]: r for r in toxicity.training_rows(docs, thrice).collect()}
+    assert len(rows) == some.join(docs, "doc_id", "left_semi").count() and {r["n"] for r in rows.values()} == {3}
+
+
 def test_op4_awkward(spark, awkward, rows):
     out = QUERIES["op4_toxicity_nbsvm"](spark, awkward).collect()
     assert len(out) == len(rows) and all(0 <= r["score"] <= 1 for r in out)
