@@ -18,24 +18,45 @@ def markdown_table(headers: Column, rows: Column) -> Column:
 REPLY = "type string, description string, headers array<string>, rows array<array<string>>, insights array<string>, confidence double"
 
 
+#: The kinds of an image that a plain reply may name, and its labels of kind and description.
+KINDS, KIND_LABEL, DESCRIPTION_LABEL = ("chart", "table", "diagram", "photo", "other"), "类型", "描述"
+
+
 def described(reply: Column) -> Column:
     """struct<type, description, text, confidence> of a vision model's reply.
 
-    A JSON object, fenced or bare, gives its fields; a table in it becomes Markdown, with insights as bullets. Else type
-    and description are sought by name, and else all of it is the description. Confidence is 0.95, 0.9 and 0.7 for these.
+    A JSON object in a fenced block gives its fields (0.95); a table in it becomes Markdown, with insights as bullets. Else kind
+    and description are sought by their labels, where a known kind gives 0.9, and else all of it is the description (0.7).
     """
-    j = F.from_json(json_block(reply), REPLY)
-    named = value(strip(F.regexp_extract(reply, r"(?im)^\W*description\W*[:：]\s*(.+)$", 1)))
-    kind = value(F.lower(F.regexp_extract(reply, r"(?im)^\W*type\W*[:：]\s*(\w+)", 1)))
+    j = F.from_json(F.regexp_extract(reply, r"(?s)```json\s*(.*?)\s*```", 1), REPLY)
+    ok = F.regexp_like(reply, F.lit(r"(?s)```json\s*\{.*?\}\s*```")) & F.coalesce(*[j[k].cast("string") for k in ("type", "description", "headers", "rows", "insights", "confidence")]).isNotNull()
+    found = F.lower(F.regexp_extract(reply, rf"(?U){KIND_LABEL}[：:]\s*(\w+)", 1))
+    kind = F.when(found.isin(*KINDS), found)
+    named = F.when(F.regexp_like(reply, F.lit(rf"(?sU){DESCRIPTION_LABEL}[：:]\s*.+")), strip(F.regexp_extract(reply, rf"(?s){DESCRIPTION_LABEL}[：:](.+)$", 1)))
     table = F.when(F.size(F.coalesce(j["headers"], F.array().cast("array<string>"))) > 0, markdown_table(j["headers"], F.coalesce(j["rows"], F.array().cast("array<array<string>>"))))
     points = F.when(F.size(F.coalesce(j["insights"], F.array().cast("array<string>"))) > 0, bullets(j["insights"]))
-    ok = value(j["description"]).isNotNull()
-    description = F.when(ok, j["description"]).otherwise(F.coalesce(named, strip(reply)))
+    description = F.when(ok, F.coalesce(j["description"], reply)).otherwise(F.coalesce(named, reply))
     return F.struct(
-        F.coalesce(F.when(ok, value(j["type"])), kind, F.lit("figure")).alias("type"),
+        F.when(ok, F.coalesce(j["type"], F.lit("other"))).otherwise(F.coalesce(kind, F.lit("other"))).alias("type"),
         description.alias("description"),
         F.concat_ws("\n\n", description, F.when(ok, table), F.when(ok, points)).alias("text"),
-        F.when(ok, F.coalesce(j["confidence"], F.lit(0.95))).when(named.isNotNull(), 0.9).otherwise(0.7).alias("confidence"),
+        F.when(ok, 0.95).when(kind.isNotNull(), 0.9).otherwise(0.7).alias("confidence"),
+    )
+
+
+ANSWER = "answer string, sources array<string>, confidence double"
+
+
+def answered(reply: Column) -> Column:
+    """struct<answer, sources, confidence> of a searching model's reply: a JSON object's fields, by default the reply's first 300
+    characters, none and 0.9; a reply without one is its own answer, with 0.5."""
+    j = F.from_json(json_block(reply), ANSWER)
+    ok = F.coalesce(j["answer"], j["sources"].cast("string"), j["confidence"].cast("string")).isNotNull()
+    start = F.substring(F.coalesce(reply, F.lit("")), 1, 300)
+    return F.struct(
+        F.when(ok, F.coalesce(j["answer"], start)).otherwise(F.coalesce(value(start), F.lit("搜索失败"))).alias("answer"),
+        F.when(ok, F.coalesce(j["sources"], F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")).alias("sources"),
+        F.when(ok, F.coalesce(j["confidence"], F.lit(0.9))).otherwise(0.5).alias("confidence"),
     )
 
 

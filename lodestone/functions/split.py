@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,15 +65,16 @@ def hard_cuts(text: Column, most: int, back: int = 20) -> Column:
     return F.aggregate(rounds, start, step, lambda a: a["out"])
 
 
-def packed(parts: Column, most: int, sep: str = "\n\n") -> Column:
-    """Greedy packing: a part that would take the buffer above ``most`` starts a new one; longer parts are cut hard."""
+def packed(parts: Column, most: int, sep: str = "\n\n", cut: bool = True) -> Column:
+    """Greedy packing: a part that would take the buffer above ``most`` starts a new one; longer parts are cut hard, or with
+    ``cut`` off are a buffer of their own."""
     state = "struct<buf:array<string>,len:int,out:array<string>>"
     empty = F.array().cast("array<string>")
     flush = lambda a: F.when(F.size(a["buf"]) > 0, F.concat(a["out"], F.array(F.array_join(a["buf"], sep)))).otherwise(a["out"])
 
     def step(a, p):
         n = F.length(p)
-        over, long = (a["len"] + n > most) & (F.size(a["buf"]) > 0), n > most
+        over, long = (a["len"] + n > most) & (F.size(a["buf"]) > 0), (n > most) & F.lit(cut)
         return F.struct(
             F.when(long, empty).when(over, F.array(p)).otherwise(F.concat(a["buf"], F.array(p))).alias("buf"),
             F.when(long, 0).when(over, n).otherwise(a["len"] + n).cast("int").alias("len"),
@@ -82,31 +85,33 @@ def packed(parts: Column, most: int, sep: str = "\n\n") -> Column:
     return F.aggregate(parts, start, step, flush)
 
 
-def merged_short(chunks: Column, least: int) -> Column:
-    """A chunk under ``least`` characters joins the one before it if their headings agree."""
+def merged_short(chunks: Column, least: int, may: Callable[[Column], Column] = lambda _: F.lit(True)) -> Column:
+    """A chunk under ``least`` characters joins the one before it if their headings agree and it may."""
     arr = f"array<{CHUNK}>"
 
     def step(out, c):
         last = F.try_element_at(out, F.lit(-1))
-        join = (F.size(out) > 0) & (F.length(c["body"]) < least) & (last["h1"] == c["h1"]) & (last["h2"] == c["h2"])
+        join = (F.size(out) > 0) & may(c) & (F.length(c["body"]) < least) & (last["h1"] == c["h1"]) & (last["h2"] == c["h2"])
         one = F.struct(last["h1"].alias("h1"), last["h2"].alias("h2"), F.concat_ws("\n\n", last["body"], c["body"]).alias("body"))
-        return F.when(join, F.concat(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), F.array(one))).otherwise(F.concat(out, F.array(c))).cast(arr)
+        return F.when(join, F.concat(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), F.array(one))).otherwise(F.concat(out, F.array(F.struct(c["h1"].alias("h1"), c["h2"].alias("h2"), c["body"].alias("body"))))).cast(arr)
 
     return F.aggregate(chunks, F.array().cast(arr), step)
 
 
+#: Fixed value: the body of a chunk without text.
+BLANK = "(空)"
+
+
 def chunks(content: Column, title: Column, most: int = max_chars(), least: int = 100) -> Column:
-    """The whole splitter: headings, then paragraphs where a section is too long, then merges of short chunks."""
-    sections = by_headings(content, title)
-    cut = F.flatten(
-        F.transform(
-            sections,
-            lambda s: F.when(F.length(s["body"]) <= most, F.array(s)).otherwise(
-                F.transform(packed(paragraphs(s["body"]), most), lambda b: F.struct(s["h1"].alias("h1"), s["h2"].alias("h2"), b.alias("body")))
-            ),
-        )
-    )
-    return merged_short(F.filter(cut, lambda c: c["body"] != ""), least)
+    """The whole splitter: headings; a text that is one section too long in all is taken by paragraphs instead, under its title;
+    what is still too long is cut; of the rest short ones join the chunk before. Pieces of a cut section join nothing."""
+    one = lambda h1, h2, body, whole: F.struct(h1.alias("h1"), h2.alias("h2"), body.alias("body"), F.lit(whole).alias("whole"))
+    plain = F.transform(packed(paragraphs(content), most, cut=False), lambda b: F.struct(title.alias("h1"), F.lit("").alias("h2"), b.alias("body")))
+    # An array of one binds the sections, which are then worked out once.
+    sections = F.flatten(F.transform(F.array(by_headings(content, title)), lambda s: F.when((F.size(s) == 1) & (F.length(F.get(s, 0)["body"]) > most), plain).otherwise(s)))
+    pieces = lambda s: F.transform(packed(paragraphs(s["body"]), most), lambda b: one(s["h1"], s["h2"], F.when(b == "", BLANK).otherwise(b), False))
+    cut = F.flatten(F.transform(sections, lambda s: F.when(F.length(s["body"]) <= most, F.array(one(s["h1"], s["h2"], s["body"], True))).otherwise(pieces(s))))
+    return merged_short(cut, least, lambda c: c["whole"])
 
 
 def prefix(filename: Column, h1: Column, h2: Column, category: Column, tags: Column) -> Column:

@@ -76,15 +76,32 @@ def is_scanned(c: Column) -> Column:
 
 
 #: What may part the pages of an OCR result, tried in this order.
-PAGE_BREAKS = (r"\n---\s*page\s*\d+\s*---\n", r"\n<!--\s*page\s*\d+\s*-->\n", r"\f", r"\n-{5,}\n", r"\n\* \* \*\n")
+PAGE_BREAKS = (r"\n---+\s*Page\s*\d+\s*---+\n", r"\n---+\s*第\s*\d+\s*页\s*---+\n", r"\n##\s*Page\s*\d+\s*\n", r"\n##\s*第\s*\d+\s*页\s*\n", r"\n\\\\newpage\n")
 
 
 def ocr_pages(c: Column) -> Column:
-    """Pages by the first separator that is there."""
-    parts = F.array(c)
+    """Pages, stripped, by the first separator that is there; a text without one is one page as it is, a blank one none."""
+    pages = F.when(strip(c) != "", F.array(c)).otherwise(F.array().cast("array<string>"))
     for sep in reversed(PAGE_BREAKS):
-        parts = F.when(F.regexp_like(c, F.lit("(?i)" + sep)), F.split(c, "(?i)" + sep)).otherwise(parts)
-    return F.filter(F.transform(parts, strip), lambda x: x != "")
+        parts = F.filter(F.transform(F.split(c, "(?iU)" + sep), strip), lambda x: x != "")
+        pages = F.when(F.regexp_like(c, F.lit("(?iU)" + sep)), parts).otherwise(pages)
+    return pages
+
+
+def overlaid(left: Column, right: Column) -> Column:
+    """Two maps in one; where both have a key, the right one's value stays. A NULL map is an empty one."""
+    return F.when(left.isNull(), right).when(right.isNull(), left).otherwise(F.map_concat(F.map_filter(left, lambda k, _: ~F.map_contains_key(right, k)), right))
+
+
+#: What marks a note as a paper, in the first PAPER_HEAD characters, which begin with front matter.
+PAPER_MARKS, PAPER_HEAD = ("arxiv.org", "arxiv_id", "type: paper"), 1024
+
+
+def is_paper(c: Column) -> Column:
+    head, marked = F.substring(F.coalesce(c, F.lit("")), 1, PAPER_HEAD), F.lit(False)
+    for m in PAPER_MARKS:
+        marked = marked | head.contains(m)
+    return head.startswith("---") & marked
 
 
 def frontmatter(c: Column) -> Column:

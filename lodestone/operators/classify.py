@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Technical words of the topic filter; a parameter's default.
-TOPICS = ("ai", "llm", "gpt", "model", "agent", "python", "github", "open source", "chip", "robot", "data", "cloud")
+#: Technical words of the topic filter, and what marks a body as a video's transcript. Both are defaults.
+TOPICS = ("AI", "LLM", "GPT", "DeepSeek", "模型", "架构", "芯片", "GPU", "开源", "智能", "机器人", "Agent")
+VIDEO_MARKERS = ("type: video_distill", "## 📹 原始信息", "asr_source:", "[📹 原始信息]", "video_duration:", "platform: 抖音", "platform: B站")
 
 
 def holds_any(c: Column, words: tuple[str, ...] | list[str]) -> Column:
@@ -17,7 +18,7 @@ def holds_any(c: Column, words: tuple[str, ...] | list[str]) -> Column:
     return out
 
 
-def isolated(rag: Column, kind: Column, body: Column, filename: Column, markers: list[str], kinds: tuple[str, ...] = ("video_distill",), prefix: str = "VIDEO_") -> Column:
+def isolated(rag: Column, kind: Column, body: Column, filename: Column, markers: list[str] | tuple[str, ...] = VIDEO_MARKERS, kinds: tuple[str, ...] = ("video_distill",), prefix: str = "VIDEO_") -> Column:
     """Whether a note stays out of the index.
 
     An explicit false flag keeps it out, an explicit true one in; else its kind, a marker in its body or its file name's

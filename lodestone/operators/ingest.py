@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import split as S
 from ..functions import text as T
 from ..schema import CHUNKS
-from .classify import isolated
+from .classify import VIDEO_MARKERS, isolated
 from .vector import hashed_embeddings
 
 
@@ -26,7 +26,7 @@ def notes(files: DataFrame) -> DataFrame:
 
 def chunk_rows(files: DataFrame, prefix: str = "", markers: list[str] | None = None, max_tokens: int = 480, least: int = 100, dim: int = 64) -> DataFrame:
     """Rows of the chunk table for all notes that aren't isolated. Ids are prefix + source + '#' + position in the file."""
-    n = notes(files).where(~isolated(F.col("rag"), F.col("kind"), F.col("body"), F.col("filename"), markers or []))
+    n = notes(files).where(~isolated(F.col("rag"), F.col("kind"), F.col("body"), F.col("filename"), VIDEO_MARKERS if markers is None else markers))
     c = n.select("source", "filename", "category", "tags", F.posexplode(S.chunks(F.col("body"), F.col("filename"), S.max_chars(max_tokens), least)).alias("pos", "c"))
     head = S.prefix(F.col("filename"), F.col("c.h1"), F.col("c.h2"), F.col("category"), F.col("tags"))
     rows = c.select(

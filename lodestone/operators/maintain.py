@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import stem
 from .common import small
 
 
@@ -28,6 +29,19 @@ def duplicate_summary(rows: DataFrame, key: str = "id") -> DataFrame:
     return duplicates(rows, key).agg(F.count("*").alias("n_keys"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_surplus"))
 
 
+def first_of_content(rows: DataFrame, content: str, key: str) -> DataFrame:
+    """Rows whose content, text or bytes, no row of a lower key has; content is told apart by its SHA-256."""
+    digest = F.sha2(F.col(content).cast("binary"), 256)
+    first = rows.where(F.col(content).isNotNull()).groupBy(digest.alias("__digest")).agg(F.min(key).alias(key)).select(key)
+    return rows.join(first, key, "left_semi")
+
+
+def companions(files: DataFrame, others: DataFrame, path: str = "path") -> DataFrame:
+    """(path, companion): of each file the first among ``others`` that has its name but for the ending."""
+    names = others.select(stem(F.col(path)).alias("__stem"), F.col(path).alias("companion")).groupBy("__stem").agg(F.min("companion").alias("companion"))
+    return files.select(path, stem(F.col(path)).alias("__stem")).join(names, "__stem").select(path, "companion")
+
+
 def sources_of_duplicates(rows: DataFrame, key: str = "id", source: str = "source") -> DataFrame:
     return rows.join(duplicates(rows, key).select(key), key, "left_semi").select(source).distinct()
 

@@ -121,6 +121,57 @@ def chunk_prefix(spark, d):
     return p.select("p_partkey", S.prefix(F.col("p_brand"), F.col("p_name"), F.lit(""), F.col("p_type"), F.array().cast("array<string>")).alias("prefix"))
 
 
+@query("select conv_id, turn, trim(text, ' ' || chr(10) || chr(9)) as page from conversations where trim(text, ' ' || chr(10) || chr(9)) <> ''")
+def ocr_pages(spark, d):
+    """A parser's output for each conversation, a page a turn, taken apart again."""
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))  # of one conversation each
+    whole = F.array_join(F.transform("t", lambda x: F.concat(F.lit("\n## Page "), x["turn"].cast("string"), F.lit("\n"), x["text"])), "")
+    p = turns.select("conv_id", F.posexplode(T.ocr_pages(whole)).alias("turn", "page"))
+    return p.select("conv_id", F.col("turn").cast("long").alias("turn"), "page")
+
+
+@query("""select conv_id, turn, case turn % 3 when 0 then 'other' when 1 then 'chart' else 'table' end as kind, text as description,
+    case turn % 3 when 0 then 0.7 when 1 then 0.9 else 0.95 end::double as confidence from conversations""")
+def described_replies(spark, d):
+    """Turns as a vision model's replies: plain, labelled, and JSON in a fence."""
+    c = table(spark, d, "conversations")
+    labelled = F.concat(F.lit("类型：Chart\n描述："), "text")
+    fenced = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.lit("table").alias("type"), F.col("text").alias("description"))), F.lit("\n```"))
+    r = R.described(F.when(F.col("turn") % 3 == 0, F.col("text")).when(F.col("turn") % 3 == 1, labelled).otherwise(fenced))
+    return c.select("conv_id", "turn", r.alias("r")).select("conv_id", "turn", F.col("r.type").alias("kind"), "r.description", "r.confidence")
+
+
+@query("""select conv_id, turn, case when turn % 2 = 0 then substr(text, 1, 300) else text end as answer, case when turn % 2 = 0 then 0 else 1 end::bigint as n_sources,
+    case when turn % 2 = 0 then 0.5 else 0.9 end::double as confidence from conversations""")
+def answered_replies(spark, d):
+    """Turns as a searching model's replies: plain, and JSON without a confidence."""
+    c = table(spark, d, "conversations")
+    r = R.answered(F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise(F.to_json(F.struct(F.col("text").alias("answer"), F.array("role").alias("sources")))))
+    return c.select("conv_id", "turn", r.alias("r")).select("conv_id", "turn", "r.answer", F.size("r.sources").cast("long").alias("n_sources"), "r.confidence")
+
+
+@query("select o_orderkey, case when o_totalprice > 100000 then 'large' else o_orderstatus end as status, o_orderpriority as priority, case when o_totalprice > 100000 then 3 else 2 end::bigint as n_keys from orders")
+def overlaid_fields(spark, d):
+    """Fields of an order, and others over them for large ones."""
+    o = table(spark, d, "orders")
+    over = F.when(F.col("o_totalprice") > 100000, F.create_map(F.lit("status"), F.lit("large"), F.lit("flag"), F.lit("yes")))
+    m = T.overlaid(F.create_map(F.lit("status"), "o_orderstatus", F.lit("priority"), "o_orderpriority"), over)
+    return o.select("o_orderkey", m.alias("m")).select("o_orderkey", F.col("m")["status"].alias("status"), F.col("m")["priority"].alias("priority"), F.size("m").cast("long").alias("n_keys"))
+
+
+@query("select min(doc_id) as doc_id from documents where text is not null group by text")
+def first_of_content(spark, d):
+    return maintain.first_of_content(table(spark, d, "documents"), "text", "doc_id").select("doc_id")
+
+
+@query(r"""select page_id, min(url) over (partition by regexp_replace(string_split(url, '/')[-1], '\.[^.]*$', '')) as companion, url as path from pages where url is not null""")
+def companions(spark, d):
+    """For each page the first address with its file name but for the ending."""
+    p = table(spark, d, "pages")
+    pairs = maintain.companions(p.select(F.col("url").alias("path")).distinct(), p.select(F.col("url").alias("path")))
+    return p.select("page_id", F.col("url").alias("path")).join(pairs, "path").select("page_id", "companion", "path")
+
+
 # --- Maintenance: documents are the files, labelled ones are the index
 
 

@@ -13,10 +13,16 @@ def one(spark, column, *values, kind="string"):
 
 
 def test_replies(spark):
-    got = one(spark, R.described, '```json\n{"type": "table", "description": "d", "headers": ["a", "b"], "rows": [["1", null]], "insights": ["x"]}\n```', "Type: chart\nDescription: bars", "plain words", '{"broken": ')
-    assert [r["type"] for r in got] == ["table", "chart", "figure", "figure"]
-    assert [r["confidence"] for r in got] == [0.95, 0.9, 0.7, 0.7]
-    assert got[0]["text"] == "d\n\n| a | b |\n| --- | --- |\n| 1 |  |\n\n- x" and got[1]["description"] == "bars"
+    fenced = '```json\n{"type": "table", "description": "d", "headers": ["a", "b"], "rows": [["1", null]], "insights": ["x"]}\n```'
+    got = one(spark, R.described, fenced, "类型: Chart\n描述：bars\nand more ", "plain words", '{"type": "photo", "description": "bare"}', "类型：picture\n描述: p", '```json\n{"broken": \n```', '```json\n{"insights": []}\n```')
+    assert [r["type"] for r in got] == ["table", "chart", "other", "other", "other", "other", "other"]
+    assert [r["confidence"] for r in got] == [0.95, 0.9, 0.7, 0.7, 0.7, 0.7, 0.95]
+    assert got[0]["text"] == "d\n\n| a | b |\n| --- | --- |\n| 1 |  |\n\n- x" and got[1]["description"] == "bars\nand more" and got[4]["description"] == "p"
+
+
+def test_answers(spark):
+    got = one(spark, R.answered, '```json\n{"answer": "a", "sources": ["s"]}\n```', 'so: {"confidence": 0.2}', "x" * 400, "")
+    assert [(r["answer"], r["sources"], r["confidence"]) for r in got] == [("a", ["s"], 0.9), ('so: {"confidence": 0.2}', [], 0.2), ("x" * 300, [], 0.5), ("搜索失败", [], 0.5)]
 
 
 def test_summary_defaults(spark):

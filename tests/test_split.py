@@ -72,6 +72,32 @@ def test_short_chunks_join_the_one_before(spark):
     assert [c["body"] for c in got] == ["long enough text\n\nshort", "short"]
 
 
+def test_one_long_section_goes_by_paragraphs(spark):
+    """Its title is the file's then, and headings are text; a paragraph that is too long by itself is cut."""
+    paras = ["# A", "p" * 200, "q" * 200, "short", "r" * 700]
+    got = run(spark, lambda c: S.chunks(c, F.lit("n")), "\n\n".join(paras))[0]
+    assert [(c["h1"], c["h2"]) for c in got] == [("n", "")] * len(got)
+    assert [c["body"] for c in got] == ["# A\n\n" + "p" * 200, "q" * 200 + "\n\nshort", "r" * 320, "r" * 320, "r" * 60]
+
+
+def test_pieces_of_a_cut_section_join_nothing(spark):
+    """A short section joins what is before; the short last piece of a long one stays."""
+    long = "x" * 300 + "\n\n" + "y" * 50
+    got = run(spark, lambda c: S.chunks(c, F.lit("n")), f"# A\n{long}\n# A\nshort\n# B\nalone\n# B\n{'z' * 330}")[0]
+    assert [(c["h1"], c["body"]) for c in got] == [("A", "x" * 300), ("A", "y" * 50 + "\n\nshort"), ("B", "alone"), ("B", "z" * 320), ("B", "z" * 10)]
+
+
+def test_blank_pieces_have_a_mark(spark):
+    got = run(spark, lambda c: S.chunks(c, F.lit("n")), "# A\n" + "a" * 320 + " " * 320 + "b\n# B\nc")[0]
+    assert [c["body"] for c in got] == ["a" * 320, S.BLANK, "b", "c"]
+
+
+def test_papers_and_overlays(spark):
+    assert run(spark, T.is_paper, "---\narxiv_id: 1", "arxiv.org", "---" + " " * 1100 + "arxiv.org", "---\ntype: paper\n---", None) == [True, False, False, True, False]
+    maps = spark.createDataFrame([({"a": 1, "b": 2}, {"b": 3, "c": 4}), (None, {"a": 1}), ({"a": 1}, None), ({}, {})], "l map<string,int>, r map<string,int>")
+    assert [r[0] for r in maps.select(T.overlaid(F.col("l"), F.col("r"))).collect()] == [{"a": 1, "b": 3, "c": 4}, {"a": 1}, {"a": 1}, {}]
+
+
 def test_long_text_is_cut(spark):
     got = run(spark, lambda c: S.chunks(c, F.lit("n")), "# A\n" + "A sentence of some words. " * 200)[0]
     assert len(got) > 1 and max(len(c["body"]) for c in got) <= 1.5 * S.max_chars()
@@ -106,7 +132,9 @@ def test_replies(spark):
 
 def test_tables_pages_and_scans(spark):
     assert run(spark, T.html_tables, "a <table x><tr></tr></table> b <TABLE>c</TABLE>") == [["<table x><tr></tr></table>", "<TABLE>c</TABLE>"]]
-    assert run(spark, T.ocr_pages, "a\n-----\nb\n-----\n c ", "one") == [["a", "b", "c"], ["one"]]
+    texts = ["a\n--- page 1 ---\nb\n-- Page 2 ---\n c", "a\n---- 第 3 页 ---\n\n---第4页---\nb", "a\n## page 9 \nb\n## 第 1 页\nc", "a\n## 第1页\nb", "a\n\\\\newpage\nb", " one\n-----\n", " \n"]
+    want = [["a", "b\n-- Page 2 ---\n c"], ["a", "b"], ["a", "b\n## 第 1 页\nc"], ["a", "b"], ["a", "b"], [" one\n-----\n"], []]
+    assert run(spark, T.ocr_pages, *texts) == want
     assert run(spark, T.is_scanned, "![](a.png)" * 9, "text " * 50) == [True, False]
 
 
