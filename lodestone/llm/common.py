@@ -27,10 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one of our own only where the session names none."""
-    conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, else what the context's checkpoints were set to.
+
+    A local folder of our own stands in only where all run on one machine; on a cluster without either this raises.
+    """
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if base is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = getattr(shared_dir, "own", None)
         if base is None:
             base = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="lodestone-")

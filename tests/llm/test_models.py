@@ -5,6 +5,7 @@ import re
 import unicodedata
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lodestone.llm import jpegcodec, langid, media, rans, suffixdedup, toxicity
+from lodestone.llm.common import shared_dir
 from lodestone.llm.queries import ORACLES, QUERIES
 
 
@@ -82,6 +84,19 @@ def test_other_files_are_refused():
         media.parse_avi(b"RIFF\0\0\0\0WAVE")
 
 
+def test_shared_folder():
+    """The setting comes first, then the context's own; a cluster without either is an error."""
+
+    def session(master, setting=None, own=None):
+        context = SimpleNamespace(master=master, getConf=lambda: {"spark.checkpoint.dir": setting} if setting else {}, getCheckpointDir=lambda: own)
+        return SimpleNamespace(sparkContext=context)
+
+    assert shared_dir(session("spark://a:1", "hdfs://x/", "hdfs://y")) == "hdfs://x" and shared_dir(session("spark://a:1", None, "hdfs://y")) == "hdfs://y"
+    assert shared_dir(session("local[2]")).startswith("file://")
+    with pytest.raises(RuntimeError):
+        shared_dir(session("spark://a:1"))
+
+
 def test_op4_held_out(spark):
     d = "/root/testdata/sf0.01"
     out = QUERIES["op4_toxicity_nbsvm"](spark, d)
