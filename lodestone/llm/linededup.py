@@ -2,17 +2,20 @@
 
 A line goes down a tree of fixed depth: by its number of words, then by its first LEAD words. Words with a digit are
 variable ("<*>") from the start. In a leaf a word is constant at its place if lines of MIN_DOCS documents have it there,
-variable otherwise; what is left is the line's template. A template that is constant in MIN_SHARE of its places at least
-and that occurs in MIN_DOCS documents is recurring, and its lines are dropped from all documents.
-
-Leaves that fewer documents reach than MIN_DOCS cannot have such a template; their lines are left out early, by a bitmap of
-2**LEAF_BITS leaf slots whose size does not depend on the input. Of lines alike one row travels for each batch, with the
-number of documents; all sums combine before they are shuffled. Texts meet their dropped lines by id.
-
-Defined cases: a null or empty text has no lines; lines without words or with fewer than MIN_WORDS stay; lines end at a line
-feed, and white space at their ends and between words does not matter; each row is a document, so repeated rows count each
-and lose the same lines; an empty table gives an empty result; other columns are not read by ``dropped_lines`` and carried
-through by ``drop_lines`` untouched.
+variable otherwise; what is left is the line's template. A template with MIN_CONSTANT constant words at least, which are
+MIN_SHARE of its words without digits at least, is recurring if MIN_DOCS different texts have it. A line without variable
+words is a template of its own; with LONG_WORDS words or more it is recurring from REPEAT_DOCS different texts on. The lines
+of recurring templates are dropped from all documents. Copies of a text count once, so that a text is not lost because it has
+copies: these are for the operators on whole documents.
+
+Leaves that fewer documents reach cannot have such a template; their lines are left out early, by two bitmaps (one for each
+bound) of 2**LEAF_BITS leaf slots whose size does not depend on the input. Of lines alike one row travels for each batch, with
+the number of documents; all sums combine before they are shuffled. Texts meet their dropped lines by id.
+
+Defined cases: a null or empty text has no lines; lines with fewer than MIN_WORDS words stay; lines end at a line feed, and
+white space at their ends and between words does not matter; repeated rows lose the same lines; an empty table gives an empty
+result; a very long text is a chunk of its own; other columns are not read by ``dropped_lines`` and carried through by
+``drop_lines`` untouched.
 """
 
 from __future__ import annotations
@@ -29,7 +32,8 @@ from pyspark.sql import functions as F
 from .common import join_small, saved, table
 from .textarrays import frugal, mix64, powers, text_chunks, word_hashes, words
 
-LEAD, MIN_WORDS, MIN_DOCS, MIN_SHARE = 2, 3, 10, 0.6
+LEAD, MIN_WORDS, MIN_DOCS, MIN_SHARE, MIN_CONSTANT = 2, 2, 10, 0.6, 2
+LONG_WORDS, REPEAT_DOCS = 8, 3
 LEAF_BITS, BUCKET_BITS = 26, 8
 VARIABLE = np.uint64(0x2545F4914F6CDD1D)
 NULL_ID = -(1 << 63)
@@ -65,10 +69,13 @@ class Lines:
         for k in range(LEAD):
             leaf = mix64(leaf * np.uint64(0x9E3779B97F4A7C15) + h[self.at + k])
         self.leaf = leaf
+        variable = np.concatenate([[0], np.cumsum(h == VARIABLE)])
+        #: Long lines without variable words.
+        self.plain = (self.size >= LONG_WORDS) & (variable[self.at + self.size] == variable[self.at])
 
 
 def leaf_bitmap(docs: DataFrame) -> np.ndarray:
-    """Leaf slots that MIN_DOCS documents reach at least."""
+    """Two bitmaps of leaf slots: those that MIN_DOCS documents reach at least, and those that REPEAT_DOCS do."""
     rest = LEAF_BITS - BUCKET_BITS
 
     @frugal
@@ -91,62 +98,68 @@ def leaf_bitmap(docs: DataFrame) -> np.ndarray:
                 c = n.setdefault(bucket, np.zeros(1 << rest, np.int32))
                 c += np.bincount(np.frombuffer(blob, np.uint32) & np.uint32((1 << rest) - 1), minlength=1 << rest).astype(np.int32)
         keys = sorted(n)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([np.packbits(n[k] >= MIN_DOCS, bitorder="little").tobytes() for k in keys], pa.binary())], ["bucket", "bits"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *[pa.array([np.packbits(n[k] >= bound, bitorder="little").tobytes() for k in keys], pa.binary()) for bound in (MIN_DOCS, REPEAT_DOCS)]], ["bucket", "often", "some"])
 
-    rows = docs.select("text").mapInArrow(slots, "bucket int, slots binary").repartition("bucket").mapInArrow(count, "bucket int, bits binary")
-    out = np.zeros((1 << BUCKET_BITS, 1 << rest >> 3), np.uint8)
-    for r in rows.collect():  # 8 MB in all
-        out[r["bucket"]] = np.frombuffer(r["bits"], np.uint8)
-    return out.ravel()
+    rows = docs.select("text").mapInArrow(slots, "bucket int, slots binary").repartition("bucket").mapInArrow(count, "bucket int, often binary, some binary")
+    out = np.zeros((2, 1 << BUCKET_BITS, 1 << rest >> 3), np.uint8)
+    for r in rows.toLocalIterator():  # 16 MB in all
+        for k in range(2):
+            out[k, r["bucket"]] = np.frombuffer(r[k + 1], np.uint8)
+    return out.reshape(2, -1)
 
 
 def _in(bitmap: np.ndarray, leaf: np.ndarray) -> np.ndarray:
     s = (leaf >> np.uint64(64 - LEAF_BITS)).astype(np.int64)
-    return np.flatnonzero(bitmap[s >> 3] >> (s & 7) & 1)
+    return (bitmap[s >> 3] >> (s & 7) & 1).astype(bool)
 
 
 def candidate_lines(keyed: DataFrame, bitmap: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """(id, text_hash, line) of lines in leaves that matter, and (line, leaf, n_docs, words) once for each batch."""
+    """(id, text_hash, line) of lines in leaves that matter, and (line, leaf, n_docs, words, plain) once for each batch; words only where templates can be."""
     shared = keyed.sparkSession.sparkContext.broadcast(bitmap)
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "text_hash", "line", "leaf", "n_docs", "words"]
+        names = ["id", "text_hash", "line", "leaf", "n_docs", "words", "plain"]
         for b in batches:
             ids, hashes = np.asarray(b.column(0), np.int64), np.asarray(b.column(1), np.int64)
             seen: dict[int, list] = {}
             for lo, hi, buf, off in text_chunks(b.column(2)):
                 x = Lines(buf, off)
-                use = _in(shared.value, x.leaf)
+                deep = _in(shared.value[0], x.leaf)
+                use = np.flatnonzero(deep | x.plain & _in(shared.value[1], x.leaf))
                 both = np.unique(np.stack([x.doc[use].astype(np.int64), x.hash[use].view(np.int64)]), axis=1) if len(use) else np.zeros((2, 0), np.int64)
                 none = pa.nulls(both.shape[1], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo + both[0]]), pa.array(hashes[lo + both[0]]), pa.array(both[1]), none, none, pa.nulls(len(none), pa.list_(pa.int64()))], names)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo + both[0]]), pa.array(hashes[lo + both[0]]), pa.array(both[1]), none, none, pa.nulls(len(none), pa.list_(pa.int64())), pa.nulls(len(none), pa.bool_())], names)
                 line, first = np.unique(x.hash[use].view(np.int64), return_index=True)
                 n = np.unique(both[1], return_counts=True)[1]
                 for h, k, c in zip(line.tolist(), use[first].tolist(), n.tolist()):
                     if h in seen:
                         seen[h][1] += c
                     else:
-                        seen[h] = [x.leaf[k : k + 1].view(np.int64)[0], c, x.words[x.at[k] : x.at[k] + x.size[k]].view(np.int64)]
+                        seen[h] = [x.leaf[k : k + 1].view(np.int64)[0], c, x.words[x.at[k] : x.at[k] + x.size[k]].view(np.int64) if deep[k] else None, bool(x.plain[k])]
             none = pa.nulls(len(seen), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.array(list(seen), pa.int64()), *[pa.array([v[k] for v in seen.values()], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64())))]], names)
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(list(seen), pa.int64()), *[pa.array([v[k] for v in seen.values()], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_()))]], names)
 
-    rows = keyed.select("id", "text_hash", "text").mapInArrow(run, "id long, text_hash long, line long, leaf long, n_docs long, words array<long>")
+    rows = keyed.select("id", "text_hash", "text").mapInArrow(run, "id long, text_hash long, line long, leaf long, n_docs long, words array<long>, plain boolean")
     rows = saved(rows, "lines")
-    return rows.where("id is not null").select("id", "text_hash", "line"), rows.where("id is null").select("line", "leaf", "n_docs", "words")
+    return rows.where("id is not null").select("id", "text_hash", "line"), rows.where("id is null").select("line", "leaf", "n_docs", "words", "plain")
 
 
 def dropped_lines(keyed: DataFrame) -> DataFrame:
     """(id, text_hash, lines): for each document that loses any, the hashes of its lines with recurring templates."""
     lines, shapes = candidate_lines(keyed, leaf_bitmap(keyed))
-    shapes = saved(shapes.groupBy("line").agg(F.first("leaf").alias("leaf"), F.sum("n_docs").alias("n_docs"), F.first("words").alias("words")), "shapes")
-    at = shapes.select("line", "leaf", "n_docs", F.posexplode("words").alias("place", "word"))
-    constant = at.groupBy("leaf", "place", "word").agg(F.sum("n_docs").alias("n")).where(f"n >= {MIN_DOCS} and word <> {int(VARIABLE.view(np.int64))}").drop("n")
+    first = [F.first(c).alias(c) for c in ("leaf", "words", "plain")]
+    shapes = saved(shapes.groupBy("line").agg(F.sum("n_docs").alias("n_docs"), *first), "shapes")
+    variable = int(VARIABLE.view(np.int64))
+    at = shapes.select("line", "leaf", "n_docs", F.posexplode("words").alias("place", "word")).where(f"word <> {variable}")
+    constant = at.groupBy("leaf", "place", "word").agg(F.sum("n_docs").alias("n")).where(f"n >= {MIN_DOCS}").drop("n")
     kept = join_small(at, saved(constant, "constants"), ["leaf", "place", "word"], "inner").groupBy("line").agg(F.bit_xor(F.xxhash64("place", "word")).alias("template"), F.count("*").alias("n_kept"))
-    fixed = shapes.select("line", "leaf", F.size("words").alias("n_words")).join(kept, "line").where(F.col("n_kept") >= MIN_SHARE * F.col("n_words"))
-    fixed = saved(fixed.select("line", F.xxhash64("leaf", "template").alias("template")), "templates")
-    placed = saved(join_small(lines, fixed, ["line"], "inner"), "placed")
-    recurring = placed.select("template", "id", "text_hash").distinct().groupBy("template").count().where(f"count >= {MIN_DOCS}").select("template")
+    n_words = F.size(F.filter("words", lambda w: w != variable))
+    fixed = shapes.select("line", "leaf", n_words.alias("n_words")).join(kept, "line").where((F.col("n_kept") >= MIN_CONSTANT) & (F.col("n_kept") >= MIN_SHARE * F.col("n_words")))
+    fixed = fixed.select("line", F.xxhash64("leaf", "template").alias("template"), F.lit(MIN_DOCS).alias("bound"))
+    plain = shapes.where(f"plain and n_docs >= {REPEAT_DOCS}").select("line", F.xxhash64("line", F.lit("plain")).alias("template"), F.lit(REPEAT_DOCS).alias("bound"))
+    placed = saved(join_small(lines, saved(fixed.unionByName(plain), "templates"), ["line"], "inner"), "placed")
+    recurring = placed.select("template", "bound", "text_hash").distinct().groupBy("template", "bound").count().where("count >= bound").select("template")
     return join_small(placed, saved(recurring, "recurring"), ["template"], "left_semi").groupBy("id", "text_hash").agg(F.collect_set("line").alias("lines"))  # of one document each
 
 

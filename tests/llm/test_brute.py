@@ -229,17 +229,19 @@ def test_op1_lines(spark, awkward, rows):
         mine = [tuple("<*>" if re.search("[0-9]", w) else w for w in WORD.findall(x)) for x in (r[1] or "").split("\n")]
         per.append(mine)
         for w in set(mine):
-            if len(w) >= 3:
+            if len(w) >= 2:
                 support[len(w), w[:2]].update((p, x) for p, x in enumerate(w) if x != "<*>")
     template = lambda w: (w[:2], tuple(x if x != "<*>" and support[len(w), w[:2]][p, x] >= 10 else "<*>" for p, x in enumerate(w)))
-    docs = defaultdict(set)
+    docs, whole = defaultdict(set), defaultdict(set)
     for r, mine in zip(rows, per):
         for w in mine:
-            if len(w) >= 3 and sum(x != "<*>" for x in template(w)[1]) >= 0.6 * len(w):
-                docs[template(w)].add((r[0], r[1]))
+            if len(w) >= 2 and (n := sum(x != "<*>" for x in template(w)[1])) >= 2 and n >= 0.6 * sum(x != "<*>" for x in w):
+                docs[template(w)].add(r[1])
+            if len(w) >= 8 and "<*>" not in w:
+                whole[w].add(r[1])
     want = []
     for r, mine in zip(rows, per):
-        drop = [len(w) >= 3 and len(docs.get(template(w), ())) >= 10 for w in mine]
+        drop = [len(w) >= 2 and (len(docs.get(template(w), ())) >= 10 or len(whole.get(w, ())) >= 3) for w in mine]
         kept = "\n".join(x for x, y in zip((r[1] or "").split("\n"), drop) if not y).encode()
         want.append((r[0], sum(bool(w) for w in mine), sum(drop), len(kept), hashlib.sha256(kept).hexdigest()))
     mine = got(spark, "op1", awkward).select("doc_id", "n_lines", "n_dropped", "kept_bytes", "kept_sha256").collect()
@@ -317,3 +319,16 @@ def test_op5_matches_come_from_the_fingerprints(small, monkeypatch):
     index.build()
     monkeypatch.setattr(D, "fingerprints", lambda sums, width: np.full(max(0, len(sums) - width), (1 << 64) - 1, np.uint64))
     assert not list(index.search(docs["text"]))
+
+
+def test_op1_lines_of_few_documents(spark):
+    """A long line of three different texts goes, one of two stays, and so does every line of a text that only has copies; short ones with fields go."""
+    from lodestone.llm.linededup import drop_lines
+
+    passage, pair = " ".join(f"word{chr(97 + k % 26)}{'x' * (k // 26)}" for k in range(60)), "a line of two texts that nobody else in here has"
+    rows = [(k, f"own {chr(97 + k)} text\n{passage}\n" + (pair if k < 2 else "")) for k in range(3)] + [(10 + k, "only copies of this one line with eight words or more") for k in range(12)]
+    rows += [(30 + k, f"Page {k} of 40\nbody {chr(97 + k)}{chr(98 + k)}") for k in range(10)]
+    out = {r["doc_id"]: r["text"] for r in drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(passage not in out[k] and f"own {chr(97 + k)} text" in out[k] for k in range(3)) and pair in out[0]
+    assert all(out[10 + k].startswith("only copies") for k in range(12))
+    assert all(out[30 + k] == f"body {chr(97 + k)}{chr(98 + k)}" for k in range(10))
