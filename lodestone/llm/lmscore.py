@@ -6,9 +6,10 @@ together with every level up to its own, from a count of one on, so that a count
 another until one is missing. All levels of an n-gram lie in one line of LINE bits. Each bin has its own stretch of the filter,
 so no two tasks write the same bits.
 
-The filter grows with the n-grams. Up to BLOCK_BYTES it is broadcast whole. Beyond that its bins are broadcast in blocks of so
-many bytes, one pass over the documents for each block, which fills in the levels of its n-grams; the last pass scores. So a
-text's score does not depend on the size of the corpus but through the counts.
+The filter grows with the n-grams. Up to BLOCK_BYTES it is broadcast whole. Beyond that the bins stay apart and the questions
+travel: each chunk of texts sends its distinct n-grams to their bins, a bin fills its stretch, answers with levels by the same
+probes, and the levels meet the chunk's text again. That is two more shuffles in proportion to the texts, whatever the filter's
+size, and the same levels. So a text's score does not depend on the size of the corpus but through the counts.
 
 Scoring: P(w | u v) = a c(uvw)/c(uv) + (1-a) (b c(vw)/c(v) + (1-b) P1(w)), where a term whose history is not in the filter
 is left out, P1(w) = (c(w)+0.5) / (N+0.5(V+1)), and a count is never taken to be above its history's.
@@ -34,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import discard, saved, table
 from .textarrays import LOWER, frugal, mix64, text_chunks, word_hashes, words
 
 ORDER = 3
@@ -44,6 +45,7 @@ BLOCK_BYTES, BITS_PER_ENTRY, PROBES, LINE = 192 << 20, 8, 5, 512
 TASK_BYTES = 8 << 20
 #: Bytes of text that are counted at once, bytes of text for each bin of words, n-grams for each bin of the filter.
 CHUNK, WORD_BIN_BYTES, NGRAM_BIN = 4 << 20, 32 << 20, 1 << 20
+SCORES = "doc_id long, text_hash long, held boolean, score double"
 END = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -184,7 +186,9 @@ def word_sums(docs: DataFrame, bins: int, parts: int) -> tuple[DataFrame, int, i
     both = rows.where("bin = -1").unionByName(back.where("chunk >= 0").select("chunk", "bin", "a"), allowMissingColumns=True)
     both = both.select("chunk", "bin", "a", "b", "c").repartition(parts, "chunk").sortWithinPartitions("chunk", "bin")
     sums = both.mapInArrow(together, "doc_id long, text_hash long, n_tokens long, n_known long, log_sum double")
-    return saved(sums, "word-sums"), total[0] or 0, total[1] or 0
+    sums = saved(sums, "word-sums")
+    discard(rows, back)
+    return sums, total[0] or 0, total[1] or 0
 
 
 class LogFrequencyFilter:
@@ -204,11 +208,6 @@ class LogFrequencyFilter:
         a = mix64(ids.astype(np.uint64) + np.uint64(level * 0xA0761D6478BD642F % (1 << 64)))
         return [a >> np.uint64(9 * k) & np.uint64(LINE - 1) for k in range(PROBES)]
 
-    def has(self, h: np.ndarray) -> np.ndarray:
-        """Whether an n-gram's bin is here."""
-        k = (h >> np.uint64(64 - self.bin_bits)).astype(np.int64) - self.first_bin
-        return (k >= 0) & (k < len(self.bits) * 8 // self.stretch)
-
     def level(self, h: np.ndarray) -> np.ndarray:
         """Level of each n-gram's count by repeated membership probes; 0: it isn't there."""
         out = np.zeros(len(h), np.uint8)
@@ -268,37 +267,37 @@ def ngram_levels(train: DataFrame, bin_bits: int, parts: int) -> DataFrame:
     return saved(rows.mapInArrow(add_up, "bin int, n int, ids binary, entries long"), "ngrams")
 
 
-def build_filter(train: DataFrame, n_tokens: int, block_bytes: int = BLOCK_BYTES) -> Iterator[LogFrequencyFilter]:
-    """The filter, in blocks of bins."""
-    bin_bits = max(8, (n_tokens // NGRAM_BIN).bit_length())
-    parts = tasks(train.sparkSession, 12 * n_tokens)
-    levels = ngram_levels(train, bin_bits, parts)
-    # Bins are dealt by hash: they are alike in size, and all get the same stretch.
+def stretch_bits(levels: DataFrame, bin_bits: int) -> int:
+    """Bits of each bin's stretch. Bins are dealt by hash: they are alike in size, and all get the same."""
     entries = levels.agg(F.sum("entries")).first()[0] or 0
-    stretch = max(1, -(-(entries * BITS_PER_ENTRY >> bin_bits) // LINE)) * LINE
-    per_block = max(1, min(1 << bin_bits, block_bytes * 8 // stretch))
+    return max(1, -(-(entries * BITS_PER_ENTRY >> bin_bits) // LINE)) * LINE
+
+
+def stretch_of(blobs: list[bytes], stretch: int) -> np.ndarray:
+    """A bin's stretch of the filter, eight bits a byte, from its packed n-grams and levels."""
+    bits = np.zeros(stretch, bool)
+    for blob in blobs:
+        d, level = _unsqueeze(blob, np.uint32, np.uint8)
+        ids = np.cumsum(d, dtype=np.uint32)
+        line = LogFrequencyFilter.line(ids, stretch)
+        for x in range(1, int(level.max(initial=0)) + 1):
+            some = np.flatnonzero(level >= x)
+            for probe in LogFrequencyFilter.probes(ids[some], x):
+                bits[line[some] + probe] = True
+    return np.packbits(bits, bitorder="little")
+
 
+def whole_filter(levels: DataFrame, bin_bits: int, stretch: int) -> LogFrequencyFilter:
     @frugal
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (k,), rows in _by_key(batches, 1):
-            bits = np.zeros(stretch, bool)
-            for _, n, blob in rows:
-                d, level = _unsqueeze(blob, np.uint32, np.uint8)
-                ids = np.cumsum(d, dtype=np.uint32)
-                line = LogFrequencyFilter.line(ids, stretch)
-                for x in range(1, int(level.max(initial=0)) + 1):
-                    some = np.flatnonzero(level >= x)
-                    for probe in LogFrequencyFilter.probes(ids[some], x):
-                        bits[line[some] + probe] = True
-            yield _out(["bin", "bits"], [pa.int32(), pa.binary()], [(k, np.packbits(bits, bitorder="little").tobytes())])
-
-    for first in range(0, 1 << bin_bits, per_block):
-        here = levels.where((F.col("bin") >= first) & (F.col("bin") < first + per_block)).select("bin", "n", "ids")
-        rows = here.repartition("bin").sortWithinPartitions("bin", "n").mapInArrow(fill, "bin int, bits binary")
-        out = np.zeros((min(per_block, (1 << bin_bits) - first), stretch // 8), np.uint8)
-        for r in rows.toLocalIterator():  # block_bytes in all
-            out[r["bin"] - first] = np.frombuffer(r["bits"], np.uint8)
-        yield LogFrequencyFilter(out.ravel(), bin_bits, stretch, first)
+            yield _out(["bin", "bits"], [pa.int32(), pa.binary()], [(k, stretch_of([r[2] for r in rows], stretch).tobytes())])
+
+    rows = levels.select("bin", "n", "ids").repartition("bin").sortWithinPartitions("bin", "n").mapInArrow(fill, "bin int, bits binary")
+    out = np.zeros((1 << bin_bits, stretch // 8), np.uint8)
+    for r in rows.toLocalIterator():  # BLOCK_BYTES at most
+        out[r["bin"]] = np.frombuffer(r["bits"], np.uint8)
+    return LogFrequencyFilter(out.ravel(), bin_bits, stretch)
 
 
 def tasks(spark: SparkSession, n_bytes: int) -> int:
@@ -325,50 +324,103 @@ def probabilities(levels: list[np.ndarray], there: list[np.ndarray], denominator
     return np.minimum(p, 1.0)
 
 
-def model_scores(docs: DataFrame, model: Iterator[LogFrequencyFilter], n: int, v: int) -> DataFrame:
+def broadcast_scores(docs: DataFrame, model: LogFrequencyFilter, denominator: float) -> DataFrame:
+    """docs: doc_id, text_hash, held, text -> doc_id, text_hash, held, score; the filter goes to every worker."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, buf, off in text_chunks(b.column(3)):
+                h, first = tokens(buf, off)
+                grams = [ngrams(h, first, k) for k in range(1, ORDER + 1)]
+                levels: list[np.ndarray] = []
+                for k, (g, ok) in enumerate(grams):
+                    at = np.flatnonzero(possible(levels[k - 1], ok) if k else ok)
+                    distinct, back = np.unique(g[at], return_inverse=True)
+                    levels.append(np.zeros(len(h), np.uint8))
+                    levels[k][at] = shared.value.level(distinct)[back]
+                total = np.add.reduceat(np.log10(probabilities(levels, [ok for _, ok in grams], denominator)), first[:-1])
+                yield pa.RecordBatch.from_arrays([*[b.column(c).slice(lo, hi - lo) for c in range(3)], pa.array(total)], ["doc_id", "text_hash", "held", "score"])
+
+    return docs.select("doc_id", "text_hash", "held", "text").mapInArrow(run, SCORES)
+
+
+def asked(h: np.ndarray, first: np.ndarray, bin_bits: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Distinct n-grams of a chunk (bin and 32 more hash bits), where each order has one, and which of the distinct each is."""
+    grams = [ngrams(h, first, k) for k in range(1, ORDER + 1)]
+    distinct, back = np.unique(np.concatenate([g[ok] for g, ok in grams]) >> np.uint64(32 - bin_bits), return_inverse=True)
+    return distinct, [ok for _, ok in grams], back
+
+
+def routed_scores(docs: DataFrame, levels: DataFrame, bin_bits: int, stretch: int, parts: int, denominator: float) -> DataFrame:
+    """As ``broadcast_scores``, with the n-grams sent to the bins of the filter instead."""
+
+    @frugal
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, seq = TaskContext.get().partitionId(), 0
+        for b in batches:
+            for lo, hi, buf, off in text_chunks(b.column(3), CHUNK):
+                chunk = task << 32 | seq
+                seq += 1
+                x = asked(*tokens(buf, off), bin_bits)[0]
+                some, cut = np.unique(x >> np.uint64(32), return_index=True)
+                ids = (x & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                rows = [(int(k), chunk, _squeeze(np.diff(ids[i:j], prepend=np.uint32(0))), None) for k, i, j in zip(some, cut, [*cut[1:], len(x)])]
+                keys, hashes, held = (b.column(c).slice(lo, hi - lo) for c in range(3))
+                valid, held = np.array(keys.is_valid()).astype(np.uint8), np.asarray(held.to_numpy(zero_copy_only=False), np.uint8)
+                about = _squeeze(np.asarray(keys.fill_null(0), np.int64), np.asarray(hashes, np.int64), valid, held, np.diff(off).astype(np.int64))
+                rows.append((-1, chunk, about, _squeeze(buf[off[0] : off[-1]])))
+                yield _out(["bin", "chunk", "a", "b"], [pa.int32(), pa.int64(), pa.binary(), pa.binary()], rows)
+
+    @frugal
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key,), rows in _by_key(batches, 1):
+            # The bin's own n-grams come first.
+            f = LogFrequencyFilter(stretch_of([r[2] for r in rows if r[1] < 0], stretch), bin_bits, stretch, key)
+            out = []
+            for _, chunk, blob in rows:
+                if chunk >= 0:
+                    ids = np.cumsum(_unsqueeze(blob, np.uint32)[0], dtype=np.uint32).astype(np.uint64)
+                    out.append((key, chunk, _squeeze(f.level((ids | np.uint64(key) << np.uint64(32)) << np.uint64(32 - bin_bits)))))
+            yield _out(["bin", "chunk", "a"], [pa.int32(), pa.int64(), pa.binary()], out)
+
+    @frugal
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by_key(batches, 1):
+            # The chunk's own row is first, then the levels of its n-grams, in their order.
+            ids, hashes, valid, held, n = _unsqueeze(rows[0][2], np.int64, np.int64, np.uint8, np.uint8, np.int64)
+            h, first = tokens(_unsqueeze(rows[0][3], np.uint8)[0], np.concatenate([[0], np.cumsum(n)]))
+            _, there, back = asked(h, first, bin_bits)
+            found, at, by_order = np.concatenate([_unsqueeze(r[2], np.uint8)[0] for r in rows[1:]])[back], 0, []
+            for ok in there:
+                by_order.append(np.zeros(len(h), np.uint8))
+                by_order[-1][ok] = found[at : at + ok.sum()]
+                at += ok.sum()
+            total = np.add.reduceat(np.log10(probabilities(by_order, there, denominator)), first[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=valid == 0), pa.array(hashes), pa.array(held.astype(bool)), pa.array(total)], ["doc_id", "text_hash", "held", "score"])
+
+    rows = saved(docs.select("doc_id", "text_hash", "held", "text").mapInArrow(ask, "bin int, chunk long, a binary, b binary"), "questions")
+    own = levels.select("bin", F.lit(-1).cast("long").alias("chunk"), F.col("ids").alias("a"))
+    sent = own.unionByName(rows.where("bin >= 0").select("bin", "chunk", "a")).repartition(parts, "bin").sortWithinPartitions("bin", "chunk")
+    back = sent.mapInArrow(answers, "bin int, chunk long, a binary")
+    both = back.unionByName(rows.where("bin < 0"), allowMissingColumns=True).select("chunk", "bin", "a", "b")
+    scored = saved(both.repartition(parts, "chunk").sortWithinPartitions("chunk", "bin").mapInArrow(together, SCORES), "scores")
+    discard(rows)
+    return scored
+
+
+def model_scores(docs: DataFrame, n: int, v: int) -> DataFrame:
     """docs: doc_id, text_hash, held, text -> doc_id, text_hash, held, score."""
-    spark, denominator = docs.sparkSession, n + 0.5 * (v + 1)
-    rows = docs.select("doc_id", "text_hash", "held", "text")
-    blocks = iter(model)
-    block, more = next(blocks), True
-    whole = True
-    while more:
-        shared = spark.sparkContext.broadcast(block)
-        block = next(blocks, None)
-        more = block is not None
-        whole &= not more
-
-        @frugal
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, more=more, whole=whole) -> Iterator[pa.RecordBatch]:
-            f = shared.value
-            for b in batches:
-                known = b.column(4).to_pylist() if b.num_columns > 4 else None
-                for lo, hi, buf, off in text_chunks(b.column(3)):
-                    h, first = tokens(buf, off)
-                    grams = [ngrams(h, first, k) for k in range(1, ORDER + 1)]
-                    there = [ok for _, ok in grams]
-                    if known is None:
-                        levels = [np.zeros(len(h), np.uint8) for _ in grams]
-                    else:
-                        each = [np.frombuffer(known[d], np.uint8).reshape(ORDER, -1) for d in range(lo, hi)]
-                        levels = list(np.concatenate(each, axis=1))
-                    for k, (g, ok) in enumerate(grams):
-                        at = np.flatnonzero(possible(levels[k - 1], ok) if whole and k else ok if whole else ok & f.has(g))
-                        distinct, back = np.unique(g[at], return_inverse=True)
-                        levels[k][at] = f.level(distinct)[back]
-                    same = [b.column(c).slice(lo, hi - lo) for c in range(3)]
-                    if more:
-                        out = [np.stack([x[i:j] for x in levels]).tobytes() for i, j in zip(first[:-1], first[1:])]
-                        yield pa.RecordBatch.from_arrays([*same, b.column(3).slice(lo, hi - lo), pa.array(out, pa.binary())], ["doc_id", "text_hash", "held", "text", "levels"])
-                    else:
-                        total = np.add.reduceat(np.log10(probabilities(levels, there, denominator)), first[:-1])
-                        yield pa.RecordBatch.from_arrays([*same, pa.array(total)], ["doc_id", "text_hash", "held", "score"])
-
-        about = "doc_id long, text_hash long, held boolean, "
-        if more:
-            rows = saved(rows.mapInArrow(run, about + "text string, levels binary"), "levels")
-            shared.unpersist()
-    return rows.mapInArrow(run, about + "score double")
+    bin_bits, parts, denominator = max(8, (n // NGRAM_BIN).bit_length()), tasks(docs.sparkSession, 12 * n), n + 0.5 * (v + 1)
+    levels = ngram_levels(docs.where("not held"), bin_bits, parts)
+    stretch = stretch_bits(levels, bin_bits)
+    if stretch // 8 << bin_bits > BLOCK_BYTES:
+        out = routed_scores(docs, levels, bin_bits, stretch, parts, denominator)
+    else:
+        out = broadcast_scores(docs, whole_filter(levels, bin_bits, stretch), denominator)
+    discard(levels)
+    return out
 
 
 def scores(docs: DataFrame) -> DataFrame:
@@ -378,8 +430,7 @@ def scores(docs: DataFrame) -> DataFrame:
     sums, n, v = word_sums(keyed, bins, tasks(keyed.sparkSession, about["bytes"] or 0))
     ends = about["ends"]
     n, v = n + ends, v + (ends > 0)
-    model = build_filter(keyed.where("not held"), n)
-    out = model_scores(keyed, model, n, v)
+    out = model_scores(keyed, n, v)
     # A row for each document on both sides.
     one = sums.dropDuplicates(["doc_id", "text_hash"]).withColumnRenamed("doc_id", "id")
     out = out.join(one, out["doc_id"].eqNullSafe(one["id"]) & (out["text_hash"] == one["text_hash"]))
