@@ -91,7 +91,7 @@ class Frame:
 
     def __init__(self, data: bytes | memoryview):
         self.data, self.tables, self.quant = memoryview(data), {}, {}
-        self.restart, i = 0, 2
+        self.restart, self.kind, i = 0, 0, 2
         if bytes(self.data[:2]) != b"\xff\xd8":
             raise ValueError("not a JPEG frame")
         while True:
@@ -122,6 +122,8 @@ class Frame:
                 break
             elif kind in (0xC2, *range(0xC5, 0xD0)):
                 raise ValueError("neither baseline nor lossless JPEG")
+        if not self.kind:
+            raise ValueError("a scan without a frame header")
         end = len(self.data) - 2 if bytes(self.data[-2:]) == b"\xff\xd9" else len(self.data)
         self.scan = self.data[i:end]
 

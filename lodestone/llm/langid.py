@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, join_small, saved, table
+from .common import bounded_batches, join_small, saved, table, unused
 from .textarrays import LOWER, frugal, mix64, text_chunks
 
 #: Of each language about so many labelled documents, those of small hash, are what its likelihood model is fitted on.
@@ -220,7 +220,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose language is known."""
     bounded_batches(spark)
-    key = F.struct(F.xxhash64("doc_id", "text", "lang", "source"), F.xxhash64("source", "text", F.lit(1), "lang", "doc_id"))
-    rows = document_rows(docs.withColumn("__key", F.to_json(key)), "__key")
-    bad = saved(fuse(rows, *train(docs)).where("rejected").select("__key").distinct(), "rejected")
-    return join_small(docs.withColumn("__key", F.to_json(key)), bad, ["__key"], "left_anti").select(*docs.columns)
+    key = F.to_json(F.struct(F.xxhash64("doc_id", "text", "lang", "source"), F.xxhash64("source", "text", F.lit(1), "lang", "doc_id")))
+    (name,) = unused(docs, "__key")
+    keyed = docs.withColumn(name, key)
+    bad = saved(fuse(document_rows(keyed, name), *train(docs)).where("rejected").select(name).distinct(), "rejected")
+    return join_small(keyed, bad, [name], "left_anti").select(*docs.columns)

@@ -29,7 +29,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_small, saved, table
+from .common import join_small, saved, table, unused
 from .textarrays import frugal, mix64, powers, text_chunks, word_hashes, words
 
 LEAD, MIN_WORDS, MIN_DOCS, MIN_SHARE, MIN_CONSTANT = 2, 2, 10, 0.6, 2
@@ -167,10 +167,11 @@ def drop_lines(docs: DataFrame) -> DataFrame:
     """The documents without their recurring lines; columns n_lines and n_dropped, which replace any of that name, say how many there were and went."""
     docs = docs.drop("n_lines", "n_dropped")
     cols = docs.columns
-    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID).cast("long")), "__hash": F.xxhash64("text")})
-    gone = dropped_lines(keyed.select(F.col("__id").alias("id"), F.col("__hash").alias("text_hash"), "text"))
-    gone = saved(gone, "dropped").select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("lines").alias("__lines"))
-    rows = keyed.join(gone, ["__id", "__hash"], "left").select(*cols, "__lines")
+    key, mark, gone_lines = unused(docs, "__id", "__hash", "__lines")
+    keyed = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID).cast("long")), mark: F.xxhash64("text")})
+    gone = dropped_lines(keyed.select(F.col(key).alias("id"), F.col(mark).alias("text_hash"), "text"))
+    gone = saved(gone, "dropped").select(F.col("id").alias(key), F.col("text_hash").alias(mark), F.col("lines").alias(gone_lines))
+    rows = keyed.join(gone, [key, mark], "left").select(*cols, gone_lines)
     text_at = cols.index("text")
 
     @frugal

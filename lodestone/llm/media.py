@@ -7,9 +7,11 @@ column; ``read`` parses the RIFF chunks and the idx1 index, decodes the frames t
 A shot ends before a frame whose 16-bin grey histogram differs from the one before by more than the mean and twice the
 deviation of the differences around it, and by a tenth at least.
 
-Defined cases: a null or empty text is one frame of one row of 64 zero bytes; equal texts give equal files; media that are
-null have no clips; files by other writers need MJPG video with an index, baseline or lossless frames, else a ValueError
-says what is missing; an empty table gives an empty result; other columns are not read.
+Defined cases: a null or empty text is one frame of one row of 64 zero bytes; equal texts give equal files; a very long text
+has many frames and is encoded by itself; media that are null or cannot be read (no MJPG video with an index, neither baseline
+nor lossless frames, damaged bytes) have no clips, and in ``digest_rows`` nulls and the reason in ``error``; files that do not
+say how many bytes they hold have a null n_bytes and all samples as payload; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from .textarrays import frugal, text_chunks
 
 FRAME_ROWS, FRAME_MS = 64, 40
 BINS, AROUND, DEVIATIONS, LEAST = 16, 8, 2.0, 0.1
+#: What parsing damaged bytes can raise.
+BROKEN = (ValueError, IndexError, KeyError, struct.error)
 
 
 def _chunk(name: bytes, body: bytes) -> bytes:
@@ -115,22 +119,43 @@ def parse_avi(data: bytes) -> tuple[list[memoryview], dict]:
     return frames, meta
 
 
-def samples_of(media: list[bytes]) -> Iterator[tuple[list[np.ndarray], dict]]:
-    """Decoded frames and headers of each file. Frames of nine-bit scans are decoded together."""
-    parsed = [parse_avi(m) for m in media]
-    jpegs = [[Frame(f) for f in frames] for frames, _ in parsed]
-    fast = [f for fs in jpegs for f in fs if f.nine_bits]
-    rows = decode_scans([f.scan for f in fast], [f.height for f in fast]) if fast else np.zeros((0, WIDTH), np.uint8)
+def _read(data: bytes | None) -> tuple[list[Frame], dict]:
+    if data is None:
+        return [], {"error": "no media"}
+    try:
+        frames, meta = parse_avi(data)
+        jpegs = [Frame(f) for f in frames]
+    except BROKEN as e:
+        return [], {"error": str(e) or type(e).__name__}
+    return (jpegs, meta) if jpegs else ([], {"error": "no frames"})
+
+
+def _decoded(frames: list[Frame], meta: dict) -> tuple[list[np.ndarray], dict]:
+    try:
+        return [f.grey() for f in frames], meta
+    except BROKEN as e:
+        return [], {"error": str(e) or type(e).__name__}
+
+
+def samples_of(media: list[bytes | None]) -> Iterator[tuple[list[np.ndarray], dict]]:
+    """Decoded frames and headers of each file; no frames and an "error" where it can't be read. Frames of nine-bit scans are decoded together."""
+    files = [_read(m) for m in media]
+    fast = [f for frames, _ in files for f in frames if f.nine_bits]
+    try:
+        rows = decode_scans([f.scan for f in fast], [f.height for f in fast]) if fast else np.zeros((0, WIDTH), np.uint8)
+    except BROKEN:
+        # One of these files is damaged; each is read by itself.
+        yield from (_decoded(frames, meta) for frames, meta in files)
+        return
     at = 0
-    for (_, meta), fs in zip(parsed, jpegs):
-        out = []
-        for f in fs:
-            if f.nine_bits:
-                out.append(rows[at : at + f.height])
-                at += f.height
-            else:
-                out.append(f.grey())
-        yield out, meta
+    for frames, meta in files:
+        if all(f.nine_bits for f in frames):
+            cut = np.cumsum([at, *[f.height for f in frames]])
+            at = int(cut[-1])
+            yield [rows[i:j] for i, j in zip(cut[:-1], cut[1:])], meta
+        else:
+            at += sum(f.height for f in frames if f.nine_bits)
+            yield _decoded(frames, meta)
 
 
 def shots(frames: list[np.ndarray]) -> tuple[list[int], np.ndarray]:
@@ -203,18 +228,23 @@ def digest_rows(media: DataFrame) -> DataFrame:
             for ids, files in _files(b):
                 rows = []
                 for m, (frames, meta) in zip(files, samples_of(files)):
-                    size = max(1, -(-meta["bytes"] // WIDTH)) * WIDTH
-                    payload = (frames[0] if len(frames) == 1 else np.concatenate(frames)).tobytes()[:size]
+                    if not frames:
+                        whole = (None, None) if m is None else (len(m), hashlib.sha256(m).hexdigest())
+                        rows.append((None, None, None, None, *whole, None, meta["error"]))
+                        continue
+                    payload = b"".join(f.astype(np.uint8).tobytes() for f in frames)
+                    size = len(payload) if meta["bytes"] is None else max(1, -(-meta["bytes"] // WIDTH)) * WIDTH
+                    payload = payload[:size]
                     cut, d = shots(frames)
                     clips = "|".join(f"{s * meta['ms']:g}-{e * meta['ms']:g}" for s, e in zip(cut, [*cut[1:], len(frames)]))
                     feature = f"{frames[0].shape[1]}x{frames[0].shape[0]};frames={len(frames)};clips={clips};change={d.max():.4f}"
-                    rows.append((meta["bytes"], size, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature))
-                cols = list(zip(*rows)) if rows else [[]] * 7
-                types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+                    rows.append((meta["bytes"], size, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature, None))
+                cols = list(zip(*rows)) if rows else [[]] * 8
+                types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+                names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"]
                 yield pa.RecordBatch.from_arrays([ids, *[pa.array(list(c), t) for c, t in zip(cols, types)]], names)
 
-    kinds = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    kinds = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
     return media.select("doc_id", "media").mapInArrow(run, kinds)
 
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, saved, table
+from .common import bounded_batches, components, saved, table, unused
 from .neardup import roots
 from .textarrays import LOWER, frugal, text_chunks, words
 
@@ -133,11 +133,14 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (see ``neardup``) stays: the row of least id, null last (of rows alike in id and text, one)."""
     bounded_batches(spark)
     cols = docs.columns
-    marked = docs.withColumn("__node", F.xxhash64(F.coalesce("text", F.lit(""))))
-    group = roots(marked.select(F.col("__node").alias("node"), "text"))
-    ids = marked.select(F.col("__node").alias("node"), "doc_id").join(group, "node", "left")
+    mark, knode, kid, nth = unused(docs, "__node", "__knode", "__id", "__n")
+    marked = docs.withColumn(mark, F.xxhash64(F.coalesce("text", F.lit(""))))
+    group = roots(marked.select(F.col(mark).alias("node"), "text"))
+    ids = marked.select(F.col(mark).alias("node"), "doc_id").join(group, "node", "left")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("m")
-    keep = saved(ids.groupBy(F.coalesce("root", "node").alias("root")).agg(first).select(F.col("m.node").alias("__knode"), F.col("m.doc_id").alias("__id")), "kept")
-    kept = marked.join(keep, (F.col("__node") == F.col("__knode")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    n = Window.partitionBy("__node", "doc_id").orderBy("text", *[c for c in cols if c not in ("doc_id", "text")])
-    return kept.withColumn("__n", F.row_number().over(n)).where("__n = 1").select(*cols)
+    keep = saved(ids.groupBy(F.coalesce("root", "node").alias("root")).agg(first).select(F.col("m.node").alias(knode), F.col("m.doc_id").alias(kid)), "kept")
+    kept = marked.join(keep, (F.col(mark) == F.col(knode)) & F.col("doc_id").eqNullSafe(F.col(kid)), "left_semi")
+    # Maps have no order: of rows alike in the columns that have one, any is the first.
+    other = [f.name for f in docs.schema.fields if f.name not in ("doc_id", "text") and "map<" not in f.dataType.simpleString()]
+    n = Window.partitionBy(mark, "doc_id").orderBy("text", *[F.col(f"`{c}`") for c in other])
+    return kept.withColumn(nth, F.row_number().over(n)).where(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in cols])

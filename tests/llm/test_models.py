@@ -339,3 +339,32 @@ def test_pipeline_runs(spark, small, empty):
     out = corpus_pipeline.run(spark, small).orderBy("start").collect()
     assert out[0]["start"] == 0 and all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(out, out[1:]))
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_op3_media_that_cannot_be_read(spark):
+    import numpy as np
+
+    from lodestone.llm import media
+
+    good = media.store_texts(np.frombuffer(b"some text" * 40, np.uint8), np.array([0, 360]))[0]
+    at = good.index(b"\xff\xda")
+    plain = good.replace(b"bytes=360", b"wrote=360")
+    files = [good, None, b"", b"no film", good[: len(good) // 2], good[: at + 20] + b"\xff" * 9 + good[at + 29 :], plain]
+    df = spark.createDataFrame(list(enumerate(map(lambda m: m and bytearray(m), files))), "doc_id long, media binary").coalesce(1)
+    out = {r["doc_id"]: r for r in media.digest_rows(df).collect()}
+    assert len(out) == len(files) and out[0]["error"] is None and out[0]["n_bytes"] == 360
+    assert all(out[k]["error"] and out[k]["payload_sha256"] is None for k in (1, 2, 3, 4))
+    assert out[6]["error"] is None and out[6]["n_bytes"] is None and out[6]["payload_bytes"] % 64 == 0
+    assert {r["doc_id"] for r in media.clip_rows(df).collect()} >= {0, 6} and 1 not in {r["doc_id"] for r in media.clip_rows(df).collect()}
+
+
+def test_stages_with_columns_named_like_their_own(spark, small):
+    from lodestone.llm import langid, linededup, simhash
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(40)
+    odd = docs.selectExpr("*", "1 as __key", "2 as __node", "3 as __n", "4 as __id", "5 as __hash", "map('a', 1) as m", "6 as __lines")
+    for f in (lambda d: langid.stage(spark, d, small), lambda d: simhash.stage(spark, d, small), linededup.drop_lines):
+        one, two = f(docs), f(odd)
+        assert two.columns[: len(odd.columns)] == odd.columns
+        assert sorted(r["doc_id"] for r in one.select("doc_id").collect()) == sorted(r["doc_id"] for r in two.collect())
+        assert {tuple(r) for r in two.select("__key", "__node", "__n", "__id", "__hash", "__lines").collect()} <= {(1, 2, 3, 4, 5, 6)}
