@@ -20,7 +20,7 @@ def strip(c: Column) -> Column:
 
 def tokens(c: Column, cjk_bigrams: bool = False) -> Column:
     """Lower-cased runs of letters and digits; with ``cjk_bigrams`` runs of Han characters as overlapping pairs."""
-    words = F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    words = F.array_remove(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
     if not cjk_bigrams:
         return words
     pairs = lambda w: F.when(

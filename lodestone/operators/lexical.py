@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from .common import small
+from .common import BROADCAST_ROWS, small
 
 K1, B = 1.2, 0.75
 
@@ -38,10 +38,12 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, k: int = 10, text: str =
     lens = docs.select(key, words.alias("words"), F.size(words).cast("long").alias("doc_len"))
     stats = docs.agg(F.count("*").alias("n_docs"), F.avg(F.size(words).cast("double")).alias("avg_len"))
     terms = wanted.select("term").distinct()
-    hits = lens.select(key, "doc_len", F.explode("words").alias("term")).join(small(terms), "term")
+    few = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    hits = lens.select(key, "doc_len", F.explode("words").alias("term")).join(F.broadcast(terms) if few else terms, "term")
     tf = hits.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    rows = tf.join(small(df), "term").crossJoin(F.broadcast(stats))  # one row
+    # Of the query terms df has a row each at most, so their number bounds it too.
+    rows = tf.join(F.broadcast(df) if few else df, "term").crossJoin(F.broadcast(stats))  # one row
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
     scored = rows.withColumn("part", part).join(small(wanted), "term").groupBy("query_id", key).agg(F.round(F.sum("part"), 6).alias("score"))
