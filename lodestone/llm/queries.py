@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators and, where SQL can express one, its SQL."""
 
-from . import decontam, langid, linededup, lmscore, media, mixing, simhash, suffixdedup, tokenids, toxicity
+from . import decontam, langid, linededup, lmscore, media, merkle, mixing, simhash, suffixdedup, tokenids, toxicity
 
 QUERIES = {
     "op1_line_dedup": linededup.op1,
@@ -13,8 +13,10 @@ QUERIES = {
     "op8_simhash_covering": simhash.op8,
     "op9_lm_scoring": lmscore.op9,
     "op10_language_id": langid.op10,
+    "op11_merkle_manifest": merkle.op11,
 }
 
 ORACLES = {
     "op2_mixing": mixing.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
 }
