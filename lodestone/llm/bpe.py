@@ -30,14 +30,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import join_small, saved, table
-from .textarrays import frugal
+from .textarrays import Rows, frugal
 
 #: Characters of a chunk, and of its overlap with the next.
 CHUNK, OVERLAP = 1 << 15, 1 << 8
 #: No match of the pattern looks further ahead than this, but for runs, which end at the character that ends them.
 MARGIN = 3
-#: Bytes of rows in a batch that leaves a task, and pieces that a worker remembers.
-BATCH_BYTES, REMEMBERED = 1 << 20, 400_000
+#: Pieces that a worker remembers.
+REMEMBERED = 400_000
 
 PARTS = "part int, ids binary"
 
@@ -107,30 +107,12 @@ def _texts(column: pa.Array) -> Iterator[str]:
         yield (x or b"").decode("utf-8", "replace")
 
 
-class _Rows:
-    """Gathers rows and hands them out in batches of bounded size."""
-
-    def __init__(self, schema: pa.Schema):
-        self.schema, self.rows, self.size = schema, [], 0
-
-    def add(self, *row) -> Batches:
-        self.rows.append(row)
-        self.size += 64 + sum(len(x) for x in row if isinstance(x, (str, bytes, list)))
-        if self.size >= BATCH_BYTES:
-            yield from self.rest()
-
-    def rest(self) -> Batches:
-        if self.rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*self.rows), self.schema)], schema=self.schema)
-        self.rows, self.size = [], 0
-
-
 def encoder(path: str, pattern: str) -> Callable[[Batches], Batches]:
     """Batches (doc_id, text) of texts of one chunk -> (doc_id, part, ids)."""
 
     def run(batches: Batches) -> Batches:
         v = Vocabulary.of(path, pattern)
-        out = _Rows(pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("ids", pa.binary())]))
+        out = Rows(("doc_id", pa.int64()), ("part", pa.int32()), ("ids", pa.binary()))
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), _texts(b.column(1))):
                 yield from out.add(i, 0, _packed(v.encode(t)))
@@ -161,7 +143,7 @@ def digested(key: str) -> Callable[[Batches], Batches]:
         out, now, n, a, d = None, None, 0, None, None
         for b in batches:
             if out is None:
-                out = _Rows(pa.schema([(key, b.schema.field(key).type), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]))
+                out = Rows((key, b.schema.field(key).type), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()))
             for k, part, ids, raw in zip(*[b.column(c).to_pylist() for c in (key, "part", "ids", "bytes")]):
                 if part == 0:
                     if a is not None:
@@ -192,7 +174,7 @@ def cut(docs: DataFrame, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFram
 
     @frugal
     def run(batches: Batches) -> Batches:
-        out = _Rows(pa.schema([("key", pa.binary()), ("no", pa.int32()), ("last", pa.bool_()), ("text", pa.string())]))
+        out = Rows(("key", pa.binary()), ("no", pa.int32()), ("last", pa.bool_()), ("text", pa.string()))
         for b in batches:
             for key, t in zip(b.column(0).to_pylist(), _texts(b.column(1))):
                 starts = range(0, max(1, len(t) - overlap), chunk)
@@ -242,7 +224,7 @@ def _encoded_stretches(pre: DataFrame, cuts: DataFrame, path: str, pattern: str,
     @frugal
     def run(batches: Batches) -> Batches:
         v = Vocabulary.of(path, pattern)
-        out = _Rows(pa.schema([("key", pa.binary()), ("part", pa.int32()), ("ids", pa.binary())]))
+        out = Rows(("key", pa.binary()), ("part", pa.int32()), ("ids", pa.binary()))
         held: list[str] = []
         for b in batches:
             for key, no, stretch, first, start, end, last, t in zip(*[c.to_pylist() for c in b.columns]):

@@ -164,7 +164,7 @@ _CRC = f"xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_
 
 #: Levels by recursion; a run's nodes are hashed while its tree has more than one.
 ORACLE = f"""with recursive
-t as (select *, row_number() over () as row, case when {_CRC} % 2 = 0 then replace(text, chr(10), '') else text end as other from documents),
+t as (select *, row_number() over () as row, case when doc_id is not null and {_CRC} % 2 = 0 then replace(text, chr(10), '') else text end as other from documents),
 l as (select row, doc_id, source, {_H.format(_LEAF + " || " + _FIELD.format("text"))} as leaf, {_H.format(_LEAF + " || " + _FIELD.format("other"))} as changed from t),
 r as (select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as rank, count(*) over (partition by source) as n from l),
 lv as (select source, 0 as level, rank as idx, leaf as h, n from r

@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators and, where SQL can express one, its SQL."""
 
-from . import bpe, decontam, langid, linededup, lmscore, media, merkle, mixing, simhash, suffixdedup, tokenids, toxicity
+from . import bpe, decontam, langid, linededup, lmscore, media, merkle, mixing, periods, simhash, suffixdedup, tokenids, toxicity
 
 QUERIES = {
     "op1_line_dedup": linededup.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_language_id": langid.op10,
     "op11_merkle_manifest": merkle.op11,
     "op12_byte_bpe": bpe.op12,
+    "op13_periodic_runs": periods.op13,
 }
 
 ORACLES = {

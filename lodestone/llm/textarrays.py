@@ -37,6 +37,26 @@ def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return wrapped
 
 
+class Rows:
+    """Gathers rows and hands them out in record batches of about a megabyte, whatever a row's size."""
+
+    BYTES = 1 << 20
+
+    def __init__(self, *fields: tuple[str, pa.DataType]):
+        self.schema, self.rows, self.size = pa.schema(fields), [], 0
+
+    def add(self, *row) -> Iterator[pa.RecordBatch]:
+        self.rows.append(row)
+        self.size += 64 + sum(100 * len(x) if isinstance(x, list) else len(x) for x in row if isinstance(x, (str, bytes, list)))
+        if self.size >= self.BYTES:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*self.rows), self.schema)], schema=self.schema)
+        self.rows, self.size = [], 0
+
+
 def text_chunks(column: pa.Array | pa.ChunkedArray, max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, UTF-8 bytes, offsets) for runs of whole texts; null is the empty text."""
     if isinstance(column, pa.ChunkedArray):
