@@ -42,11 +42,11 @@ class Library:
 
     def index(self, root: str, skip_dirs: list[str] | None = None, prefix: str = "") -> None:
         """Replace the chunks of every note below ``root``; notes of other folders stay."""
-        from .operators.maintain import upsert
+        self.table.upsert(ingest.chunk_rows(files.markdown(self.spark, root, skip_dirs), prefix, dim=self.settings.dim))
 
-        new = ingest.chunk_rows(files.markdown(self.spark, root, skip_dirs), prefix, dim=self.settings.dim)
-        batch, old = self.table.current()
-        self.table.commit(batch + 1, new if old is None else upsert(old, new))
+    def clear(self) -> None:
+        """Leave no chunk; earlier versions can be read until a vacuum."""
+        self.table.clear()
 
     def count(self) -> int:
         return self.chunks().count()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import context, evaluate, fusion, lexical, rerank, vector
-from .tables import hybrid_queries, item_queries, table, vector_queries
+from .tables import document_index, hybrid_queries, item_queries, table, vector_queries
 
 
 def _docs(spark, d):
@@ -35,7 +35,7 @@ def idf_by_language(spark, d):
 
 
 def bm25_topk(spark, d):
-    return lexical.bm25(_docs(spark, d), item_queries(spark, d), "doc_id")
+    return document_index(spark, d).search(item_queries(spark, d))
 
 
 def bm25_filtered(spark, d):
@@ -67,7 +67,7 @@ def _hits(spark, d):
     q = hybrid_queries(spark, d)
     docs = _docs(spark, d)
     near = vector.knn(table(spark, d, "embeddings"), q, "vec_id", "embedding").select("query_id", F.col("vec_id").alias("doc_id"), "score", "rank", F.lit("vector").alias("track"))
-    text = lexical.bm25(docs, q, "doc_id").select("query_id", "doc_id", lexical.normalised(F.col("score")).alias("score"), "rank", F.lit("fts").alias("track"))
+    text = document_index(spark, d).search(q.select("query_id", "query")).select("query_id", "doc_id", lexical.normalised(F.col("score")).alias("score"), "rank", F.lit("fts").alias("track"))
     body = docs.select("doc_id", F.col("text").alias("raw_text"), "source")
     hits = fusion.tracks(near, text)
     return hits.join(body, "doc_id").withColumn("id", F.col("doc_id").cast("string")), q
@@ -115,7 +115,7 @@ def eval_metrics(spark, d):
     """Self-retrieval: does the full-text search of a document's first 60 characters find it among ten?"""
     q = _docs(spark, d).where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 60).alias("query"))
     golden = q.select("query_id", F.col("query_id").cast("string").alias("expected_id"), F.lit("none").alias("expected_source"))
-    got = lexical.bm25(_docs(spark, d), q, "doc_id").select("query_id", "rank", F.col("doc_id").cast("string").alias("id"), F.lit("").alias("source"))
+    got = document_index(spark, d).search(q).select("query_id", "rank", F.col("doc_id").cast("string").alias("id"), F.lit("").alias("source"))
     s = evaluate.summary(evaluate.judged(golden, got))
     return s.withColumns({"hit_band": evaluate.band(F.col("hit_rate"), 0.8, 0.6), "mrr_band": evaluate.band(F.col("mrr"), 0.6, 0.4)})
 

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.fulltext import TextIndex
+from ..sources.shared import new_folder
+
+_indexes: dict[tuple[str, str], TextIndex] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,3 +29,13 @@ def hybrid_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every twentieth document that has a vector (vec_id = doc_id): its first 60 characters and its vector."""
     docs = table(spark, sf_dir, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 60).alias("query"))
     return docs.join(vector_queries(spark, sf_dir), "query_id")
+
+
+def document_index(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """The full-text index of the documents: built by the first query of an application that asks for it, read by all later ones."""
+    name = spark.sparkContext.applicationId, sf_dir
+    if name not in _indexes:
+        index = TextIndex(spark, new_folder(spark, "documents-index"), "doc_id")
+        index.add(table(spark, sf_dir, "documents"))
+        _indexes[name] = index
+    return _indexes[name]

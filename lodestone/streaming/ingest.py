@@ -2,59 +2,42 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.classify import TOPICS, holds_any
-from ..operators.maintain import upsert
+from ..sources.versions import Conflict, VersionedTable
 
 
-class SnapshotTable:
-    """A table of Parquet snapshots with a small table that names the current one; nothing that is read is overwritten."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    LOG = "batch long, snapshot string, stream string, stream_batch long"
-
-    def _log(self) -> DataFrame | None:
-        try:
-            return self.spark.read.schema(self.LOG).json(f"{self.path}/log")
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
+class SnapshotTable(VersionedTable):
+    """A versioned table that streams and folders of notes are put into; see ``sources.versions``."""
 
     def current(self) -> tuple[int, DataFrame | None]:
-        """Number of the last commit, whoever wrote it, and the table as of then."""
-        log = self._log()
-        last = log.orderBy(F.desc("batch")).first() if log is not None else None
-        return (-1, None) if last is None else (last["batch"], self.spark.read.parquet(f"{self.path}/{last['snapshot']}"))
-
-    def has(self, stream: str, n: int) -> bool:
-        """Whether a stream's batch was committed before."""
-        log = self._log()
-        return log is not None and not log.where((F.col("stream") == stream) & (F.col("stream_batch") == n)).isEmpty()
-
-    def commit(self, batch: int, rows: DataFrame, stream: str | None = None, n: int | None = None) -> None:
-        name = f"snapshot-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.path}/{name}")
-        self.spark.createDataFrame([(batch, name, stream, n)], self.LOG).coalesce(1).write.mode("append").json(f"{self.path}/log")
+        """Number of the last version, whoever wrote it, and the table as of then."""
+        v = self.version()
+        return v.number, None if v.schema is None else self.read(v.number)
 
 
-def upsert_stream(rows: DataFrame, table: SnapshotTable, checkpoint: str, key: str = "source") -> StreamingQuery:
-    """Replace each micro-batch's keys in the table. A batch that this stream, named by its checkpoint, has committed before is
-    left out when it comes again; other writers' commits don't count. One stream at a time may write a table."""
+def upsert_stream(rows: DataFrame, table: VersionedTable, checkpoint: str, tries: int = 5) -> StreamingQuery:
+    """Replace each micro-batch's keys in the table, rewriting only their buckets. A batch that this stream, named by its checkpoint, has
+    put there before is left out when it comes again: the version that holds it says so. Streams can share a table: the one that is
+    second to a version begins its batch anew upon the other's."""
 
     def apply(batch: DataFrame, n: int) -> None:
-        if not table.has(checkpoint, n):
-            last, old = table.current()
-            table.commit(last + 1, batch if old is None else upsert(old, batch, key), checkpoint, n)
+        for k in range(tries):
+            base = table.version()
+            if base.streams.get(checkpoint, -1) >= n:
+                return
+            try:
+                table.upsert(batch, (checkpoint, n), base)
+                return
+            except Conflict:
+                if k == tries - 1:
+                    raise
 
     return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
