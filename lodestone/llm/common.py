@@ -75,19 +75,23 @@ def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "le
     a salt, so that a key with a third of all rows is spread over ``salts`` tasks.
     """
     n = small.count() if rows is None else rows
-    right = small.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in small.columns if c not in keys])
+    named = dict(zip(keys, unused(big, *[f"__{k}" for k in keys])))
+    right = small.select(*[F.col(f"`{k}`").alias(named[k]) for k in keys], *[c for c in small.columns if c not in keys])
     same = None
     for k in keys:
-        cond = big[k].eqNullSafe(right[f"__{k}"])
+        cond = big[f"`{k}`"].eqNullSafe(right[f"`{named[k]}`"])
         same = cond if same is None else same & cond
     if n <= BROADCAST_ROWS:
-        return big.join(F.broadcast(right), same, how).drop(*[f"__{k}" for k in keys])
-    left = big.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
-    right = right.withColumn("__salt_r", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    same = left["__salt"] == right["__salt_r"]
+        return big.join(F.broadcast(right), same, how).drop(*named.values())
+    salt, other = unused(big, "__salt", "__salt_r")
+    # A hash of the row, so that a task that runs again salts its rows as before. Maps have no hash.
+    plain = [F.col(f"`{f.name}`") for f in big.schema.fields if "map<" not in f.dataType.simpleString()]
+    left = big.withColumn(salt, F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int"))
+    right = right.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    same = left[f"`{salt}`"] == right[f"`{other}`"]
     for k in keys:
-        same = same & left[k].eqNullSafe(right[f"__{k}"])
-    return left.join(right, same, how).drop("__salt", "__salt_r", *[f"__{k}" for k in keys])
+        same = same & left[f"`{k}`"].eqNullSafe(right[f"`{named[k]}`"])
+    return left.join(right, same, how).drop(salt, other, *named.values())
 
 
 def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:

@@ -124,9 +124,22 @@ class Frame:
                 raise ValueError("neither baseline nor lossless JPEG")
         if not self.kind:
             raise ValueError("a scan without a frame header")
+        self._check()
         end = len(self.data) - 2 if bytes(self.data[-2:]) == b"\xff\xd9" else len(self.data)
         self.scan = self.data[i:end]
 
+    def _check(self) -> None:
+        """Every sample, or block of samples, takes a bit at least: a header that promises more than the bytes hold is damaged."""
+        if not self.height or not self.width or not self.parts:
+            raise ValueError("a frame without samples")
+        if any(not 1 <= p[1] <= 4 or not 1 <= p[2] <= 4 for p in self.parts) or not 2 <= self.precision <= 16:
+            raise ValueError("no such sampling or precision")
+        units = self.height * self.width if self.kind == 0xC3 else self.height * self.width / 64
+        if units > 8 * len(self.data):
+            raise ValueError("the frame's size is more than its bytes hold")
+        if any(name not in self.select for name, *_ in self.parts):
+            raise ValueError("a component that no scan holds")
+
     @property
     def nine_bits(self) -> bool:
         return self.kind == 0xC3 and self.width == WIDTH and self.precision == 8 and len(self.parts) == 1 and self.predictor == 1 and not self.shift and not self.restart and self.tables.get(0) == NINE_BITS
@@ -211,6 +224,8 @@ class _Bits:
         self.bits, self.at = np.unpackbits(np.frombuffer(data, np.uint8)).tolist(), 0
 
     def take(self, n: int) -> int:
+        if self.at + n > len(self.bits):
+            raise ValueError("the scan ends early")
         v = 0
         for b in self.bits[self.at : self.at + n]:
             v = v << 1 | b

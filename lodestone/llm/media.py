@@ -9,7 +9,8 @@ deviation of the differences around it, and by a tenth at least.
 
 Defined cases: a null or empty text is one frame of one row of 64 zero bytes; equal texts give equal files; a very long text
 has many frames and is encoded by itself; media that are null or cannot be read (no MJPG video with an index, neither baseline
-nor lossless frames, damaged bytes) have no clips, and in ``digest_rows`` nulls and the reason in ``error``; files that do not
+nor lossless frames, damaged bytes, headers that promise more than the bytes hold) have no clips, and in ``digest_rows`` nulls and the reason
+in ``error``; repeated rows have files of their own; files that do not
 say how many bytes they hold have a null n_bytes and all samples as payload; an empty table gives an empty result; other
 columns are not read.
 """
@@ -31,8 +32,8 @@ from .textarrays import frugal, text_chunks
 
 FRAME_ROWS, FRAME_MS = 64, 40
 BINS, AROUND, DEVIATIONS, LEAST = 16, 8, 2.0, 0.1
-#: What parsing damaged bytes can raise.
-BROKEN = (ValueError, IndexError, KeyError, struct.error)
+#: What parsing damaged bytes can raise; sizes are held against the bytes there are before anything is set aside for them.
+BROKEN = (ValueError, ArithmeticError, LookupError, TypeError, struct.error)
 
 
 def _chunk(name: bytes, body: bytes) -> bytes:
@@ -101,6 +102,8 @@ def parse_avi(data: bytes) -> tuple[list[memoryview], dict]:
                 codec = data[body + 4 : body + 8]
             elif name == b"ICMT" and data[body : body + 6] == b"bytes=":
                 meta["bytes"] = int(data[body + 6 : body + size].rstrip(b"\0"))
+                if not 0 <= meta["bytes"] <= len(data):
+                    raise ValueError("more bytes than the file has")
             elif name == b"idx1":
                 index = (body, size)
             at = body + size + (size & 1)
@@ -199,6 +202,12 @@ def _files(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[tuple[pa.Arra
         size += n
 
 
+def _clips(frames: list[np.ndarray], ms: float) -> list[dict]:
+    """A clip for each shot: start_ms, end_ms, frames, and the difference that begins it."""
+    cut, d = shots(frames)
+    return [{"start_ms": s * ms, "end_ms": e * ms, "frames": e - s, "difference": float(d[s])} for s, e in zip(cut, [*cut[1:], len(frames)])]
+
+
 def clip_rows(media: DataFrame) -> DataFrame:
     """(doc_id, clip, start_ms, end_ms, frames, difference): a row for each shot of (doc_id, media)."""
 
@@ -209,9 +218,7 @@ def clip_rows(media: DataFrame) -> DataFrame:
                 there = [(i, m) for i, m in zip(ids.to_pylist(), files) if m is not None]
                 rows = []
                 for (i, _), (frames, meta) in zip(there, samples_of([m for _, m in there])):
-                    cut, d = shots(frames)
-                    for c, (s, e) in enumerate(zip(cut, [*cut[1:], len(frames)])):
-                        rows.append((i, c, s * meta["ms"], e * meta["ms"], e - s, float(d[s])))
+                    rows += [(i, k, *c.values()) for k, c in enumerate(_clips(frames, meta.get("ms", 0)))]
                 cols = list(zip(*rows)) if rows else [[]] * 6
                 types = [pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], ["doc_id", "clip", "start_ms", "end_ms", "frames", "difference"])
@@ -219,6 +226,9 @@ def clip_rows(media: DataFrame) -> DataFrame:
     return media.select("doc_id", "media").mapInArrow(run, "doc_id long, clip int, start_ms double, end_ms double, frames int, difference double")
 
 
+_CLIPS = pa.list_(pa.struct([("start_ms", pa.float64()), ("end_ms", pa.float64()), ("frames", pa.int32()), ("difference", pa.float64())]))
+
+
 def digest_rows(media: DataFrame) -> DataFrame:
     """What the stored bytes say of each row."""
 
@@ -230,21 +240,22 @@ def digest_rows(media: DataFrame) -> DataFrame:
                 for m, (frames, meta) in zip(files, samples_of(files)):
                     if not frames:
                         whole = (None, None) if m is None else (len(m), hashlib.sha256(m).hexdigest())
-                        rows.append((None, None, None, None, *whole, None, meta["error"]))
+                        rows.append((None, None, None, None, *whole, None, meta["error"], None))
                         continue
                     payload = b"".join(f.astype(np.uint8).tobytes() for f in frames)
                     size = len(payload) if meta["bytes"] is None else max(1, -(-meta["bytes"] // WIDTH)) * WIDTH
                     payload = payload[:size]
-                    cut, d = shots(frames)
-                    clips = "|".join(f"{s * meta['ms']:g}-{e * meta['ms']:g}" for s, e in zip(cut, [*cut[1:], len(frames)]))
-                    feature = f"{frames[0].shape[1]}x{frames[0].shape[0]};frames={len(frames)};clips={clips};change={d.max():.4f}"
-                    rows.append((meta["bytes"], size, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature, None))
-                cols = list(zip(*rows)) if rows else [[]] * 8
-                types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
-                names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"]
+                    clips = _clips(frames, meta["ms"])
+                    spans = "|".join(f"{c['start_ms']:g}-{c['end_ms']:g}" for c in clips)
+                    feature = f"{frames[0].shape[1]}x{frames[0].shape[0]};frames={len(frames)};clips={spans};change={shots(frames)[1].max():.4f}"
+                    rows.append((meta["bytes"], size, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature, None, clips))
+                cols = list(zip(*rows)) if rows else [[]] * 9
+                types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), _CLIPS]
+                names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error", "clips"]
                 yield pa.RecordBatch.from_arrays([ids, *[pa.array(list(c), t) for c, t in zip(cols, types)]], names)
 
     kinds = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
+    kinds += ", clips array<struct<start_ms:double,end_ms:double,frames:int,difference:double>>"
     return media.select("doc_id", "media").mapInArrow(run, kinds)
 
 

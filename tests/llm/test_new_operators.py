@@ -210,3 +210,60 @@ def test_op13_against_plain_python(spark, tmp_path, monkeypatch, rows, long, til
     monkeypatch.setattr(periods, "find_runs", lambda docs: find(docs, long, tile))
     got = ordered(QUERIES["op13_periodic_runs"](spark, str(tmp_path)).collect())
     assert got == ordered(plain_row(*r) for r in data) and sum(r[1] > 0 for r in got) > 10
+
+
+# Mends
+
+
+def test_damaged_media_are_rows_with_an_error(spark):
+    """Files with changed or missing bytes never end a job, and do nothing to the files beside them."""
+    from lodestone.llm import media
+
+    rng = random.Random(1)
+    texts = [b"", b"hello world " * 40, bytes(range(256)) * 60]
+    whole = media.store_texts(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    bad = []
+    for _ in range(5000):
+        d = bytearray(rng.choice(whole))
+        for _ in range(rng.choice([1, 3, 10])):
+            d[rng.randrange(min(len(d), 700)) if rng.random() < 0.8 else rng.randrange(len(d))] = rng.randrange(256)
+        bad.append(bytes(d[: rng.randrange(len(d))] if rng.random() < 0.1 else d))
+    bad.append(whole[1].replace(b"bytes=480", b"bytes=999"))
+    for b in bad:
+        (frames, meta), (good, _) = media.samples_of([b, whole[1]])
+        assert frames or meta["error"]
+        assert b"".join(f.astype(np.uint8).tobytes() for f in good)[:480] == texts[1]
+    rows = [(k, b) for k, b in enumerate(bad[:400])] + [(1000, whole[2]), (1001, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, media binary").repartition(3)
+    got = {r["doc_id"]: r for r in media.digest_rows(frame).collect()}
+    assert len(got) == 402 and got[1000]["error"] is None and got[1000]["payload_sha256"] == sha(texts[2]) and got[1001]["error"]
+    clips = [(r["doc_id"], r["start_ms"], r["end_ms"], r["frames"], r["difference"]) for r in media.clip_rows(frame).collect()]
+    assert ordered(clips) == ordered((i, *c) for i, r in got.items() for c in r["clips"] or [])
+
+
+@pytest.mark.parametrize("bound", [0, 200_000])
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
+def test_join_small(spark, monkeypatch, bound, how):
+    """Both ways of the join, with null keys, a hot key and columns named as its own."""
+    from lodestone.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", bound)
+    rows = [(None if k % 7 == 0 else k % 3, k % 2, k, k, k) for k in range(200)]
+    big = spark.createDataFrame(rows, "k long, m long, __k long, __salt long, ____k long").repartition(4)
+    small = spark.createDataFrame([(None, 0, "a"), (1, 1, "b"), (2, 0, "c")], "k long, m long, v string")
+    find = {(None, 0): "a", (1, 1): "b", (2, 0): "c"}
+    want = []
+    for r in rows:
+        v = find.get(r[:2])
+        want += {"left": [(*r, v)], "inner": [(*r, v)] if v else [], "left_semi": [r] if v else [], "left_anti": [] if v else [r]}[how]
+    got = common.join_small(big, small, ["k", "m"], how)
+    assert ordered(got.collect()) == ordered(want) and got.columns[:5] == big.columns
+
+
+def test_language_stage_with_odd_columns(spark):
+    from lodestone.llm import langid
+
+    rows = [(k, f"the words of number {k} are here and there", "en", "s", 0, "x", 1, 2) for k in range(60)] + [(99, "12 !", "en", "s", 0, "x", 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, ____key string, __key int, __salt int")
+    out = langid.stage(spark, docs, "")
+    assert out.columns == docs.columns and {r["doc_id"] for r in out.collect()} == set(range(60))
