@@ -2,12 +2,13 @@
 
 Features are hashed n-grams of characters (code points) of lower-cased letters, with one blank for each run of anything else;
 a text has a feature or it hasn't. Each is scaled by r = log(P(feature | toxic) / P(feature | clean)) of the labelled
-documents; features whose r is within MIN_Z standard errors of zero are left out, so that long texts don't gather noise, and
-all others are kept. A logistic regression over the scaled features is fitted with numpy on the driver, whose input is bounded
-by TRAIN_ROWS, in passes over blocks of rows. Scoring reads every text whole, in the executors.
+documents; features whose r is within MIN_Z standard errors of zero are left out, so that long texts don't gather noise; that is most
+of them (README has figures). A logistic regression over the scaled features is fitted by L-BFGS: the training rows stay in the executors
+as a table of feature numbers, a pass over it gives each task's sum of gradients, and the driver holds weights and gradients, whose size is
+that of the features, 2**BITS at most. Its L2 penalty is the best of PENALTIES on a fifth of the training rows. Scoring reads every text
+whole, in the executors.
 
-Labels come only from rows whose crc32(doc_id as text) modulo 3 is not 1. About TRAIN_ROWS of them, those of small hash, are
-used, and only as many bytes of text reach the driver as the selected features of these rows take.
+Labels come only from rows whose crc32(doc_id as text) modulo 3 is not 1. About TRAIN_ROWS of them, those of small hash, are used.
 
 Defined cases: null and empty texts have no feature and get the score of the intercept; a null doc_id has the crc32 of
 the empty string; labels without a document or that are null are not used; a document that is labelled twice counts
@@ -27,14 +28,14 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import discard, saved, table
 from .textarrays import frugal, mix64, text_chunks
 
 TRAIN_ROWS = 16_000
 SIZES, BITS = (4, 5, 6), 20
-SMOOTHING, MIN_Z, L2, THRESHOLD = 0.5, 3.0, 1e-4, 0.7
-#: Rows of a step of the fit, and how often all rows are gone through.
-STEP_ROWS, EPOCHS, RATE = 500, 12, 0.05
+SMOOTHING, MIN_Z, THRESHOLD = 0.5, 3.0, 0.7
+#: L2 penalties that are tried, folds of the training rows (one tells which is best), most passes of a fit, tasks of a pass.
+PENALTIES, FOLDS, PASSES, FIT_TASKS = [1e-4, 1e-3, 1e-2], 5, 40, 6
 
 _BASE = 0x9E3779B97F4A7C15
 
@@ -161,33 +162,101 @@ def log_count_ratios(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return r, used
 
 
-def fit_logistic(cut: np.ndarray, cols: np.ndarray, scale: np.ndarray, y: np.ndarray, times: np.ndarray, block: int = STEP_ROWS, epochs: int = EPOCHS, rate: float = RATE) -> tuple[np.ndarray, float]:
-    """Weights and intercept of an L2-regularised logistic regression, by Adam over blocks of rows.
-
-    Row i has the columns cols[cut[i]:cut[i + 1]], each with the value ``scale`` of its column, and counts times[i] times.
-    Only a block's values are worked out at once. The weights are the mean of those after each block of the second half.
-    """
-    n, n_cols = len(y), len(scale)
-    w = np.zeros(n_cols + 1)
-    w[-1] = np.log((times @ y + 0.5) / (times @ (1 - y) + 0.5))
-    m, v, mean = np.zeros_like(w), np.zeros_like(w), np.zeros_like(w)
-    starts = range(0, n, block)
-    steps, t = epochs * len(starts), 0
-    for _ in range(epochs):
-        for lo in starts:
-            t += 1
-            hi = min(n, lo + block)
-            row = np.repeat(np.arange(hi - lo), np.diff(cut[lo : hi + 1]))
-            col = cols[cut[lo] : cut[hi]]
+class Lbfgs:
+    """Minimises a smooth convex function whose values and gradients are worked out elsewhere, at ``trial``."""
+
+    def __init__(self, w: np.ndarray, memory: int = 8):
+        self.w = self.trial = w
+        self.memory, self.pairs, self.f, self.g, self.done = memory, [], None, None, False
+
+    def tell(self, f: float, g: np.ndarray) -> None:
+        """Value and gradient at ``trial``: it is taken if it is low enough, else the next one is nearer."""
+        if self.f is not None and f > self.f + 1e-4 * self.step * self.slope:
+            self.step *= 0.3
+            self.done = self.step < 1e-6
+        else:
+            if self.f is not None:
+                s, y = self.trial - self.w, g - self.g
+                if s @ y > 1e-12:
+                    self.pairs = [*self.pairs, (s, y)][-self.memory :]
+                self.done = self.f - f < 1e-7 * max(1.0, abs(f))
+            self.w, self.f, self.g = self.trial, f, g
+            self.way = -self._times(g)
+            self.slope = float(self.way @ g)
+            self.step = 1.0 if self.pairs else min(1.0, 1 / (np.linalg.norm(g) + 1e-12))
+        self.trial = self.w + self.step * self.way
+
+    def _times(self, g: np.ndarray) -> np.ndarray:
+        """The inverse of the curvature that was met so far, times g."""
+        g, kept = g.copy(), []
+        for s, y in reversed(self.pairs):
+            a = s @ g / (s @ y)
+            kept.append(a)
+            g -= a * y
+        if self.pairs:
+            s, y = self.pairs[-1]
+            g *= s @ y / (y @ y)
+        for (s, y), a in zip(self.pairs, reversed(kept)):
+            g += s * (a - y @ g / (s @ y))
+        return g
+
+
+def gradients(rows: DataFrame, points: np.ndarray, scale: np.ndarray, fold: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Logistic loss and gradient of each point (weights, then the intercept), summed over rows (y, n, fold, k), and the loss of fold ``fold``,
+    which is not among them; and both sets' numbers of rows. A task sends one sum for each point."""
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast((points, scale))
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, scale = shared.value
+        g, loss, count = np.zeros_like(w), np.zeros((2, len(w))), np.zeros(2)
+        for b in batches:
+            y, n = np.asarray(b.column(0)).astype(float), np.asarray(b.column(1)).astype(float)
+            away = np.asarray(b.column(2)) == (-1 if fold is None else fold)
+            size = np.asarray(pa.compute.list_value_length(b.column(3)))
+            row, col = np.repeat(np.arange(len(y)), size), b.column(3).flatten().to_numpy()
             val = scale[col]
-            z = np.bincount(row, val * w[col], minlength=hi - lo) + w[-1]
-            e = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[lo:hi]) * times[lo:hi] / times.mean()
-            g = np.append(np.bincount(col, val * e[row], minlength=n_cols) / (hi - lo) + L2 * w[:-1], e.mean())
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            w = w - rate * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-            if t > steps // 2:
-                mean += w / (steps - steps // 2)
-    return mean[:-1], float(mean[-1])
+            count += [n[~away].sum(), n[away].sum()]
+            for i in range(len(w)):
+                z = np.clip(np.bincount(row, val * w[i][col], minlength=len(y)) + w[i][-1], -40, 40)
+                each = n * (np.log1p(np.exp(z)) - y * z)
+                loss[:, i] += [each[~away].sum(), each[away].sum()]
+                e = np.where(away, 0.0, n * (1 / (1 + np.exp(-z)) - y))
+                g[i][:-1] += np.bincount(col, val * e[row], minlength=len(scale))
+                g[i][-1] += e.sum()
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in (g, loss, count)], ["g", "loss", "count"])
+
+    got = rows.select("y", "n", "fold", "k").mapInArrow(run, "g binary, loss binary, count binary").collect()  # FIT_TASKS rows
+    shared.unpersist()
+    g, loss, count = (sum(np.frombuffer(r[c]) for r in got) for c in ("g", "loss", "count"))
+    return loss.reshape(2, -1)[0], g.reshape(points.shape), loss.reshape(2, -1)[1], count
+
+
+def fit(rows: DataFrame, scale: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a logistic regression with an L2 penalty, which is the one of PENALTIES that is best on fold 0 of the rows."""
+    low = [Lbfgs(np.zeros(len(scale) + 1)) for _ in PENALTIES]
+
+    def descend(low: list[Lbfgs], penalties: list[float], fold: int | None) -> np.ndarray:
+        """Passes over all rows; the loss of the fold left out at each end."""
+        away = np.full(len(low), np.inf)
+        for _ in range(PASSES):
+            loss, g, other, (n, m) = gradients(rows, np.stack([x.trial for x in low]), scale, fold)
+            for i, (x, p) in enumerate(zip(low, penalties)):
+                if not x.done:
+                    w = np.append(x.trial[:-1], 0.0)
+                    before = x.f
+                    x.tell(loss[i] / max(n, 1) + p / 2 * (w @ w), g[i] / max(n, 1) + p * w)
+                    if before is None or x.f != before:
+                        away[i] = other[i] / max(m, 1)
+            if all(x.done for x in low):
+                break
+        return away
+
+    best = int(np.argmin(descend(low, PENALTIES, 0)))
+    last = Lbfgs(low[best].w)
+    descend([last], [PENALTIES[best]], None)
+    return last.w[:-1], float(last.w[-1])
 
 
 def train_model(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float | None]:
@@ -195,34 +264,30 @@ def train_model(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float |
     train = training_rows(docs, labels)
     r, used = log_count_ratios(train)
     weights = np.zeros(1 << BITS, np.float32)
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(used)
+    index = np.flatnonzero(used)
+    shared = docs.sparkSession.sparkContext.broadcast((used, np.cumsum(used, dtype=np.int32) - 1))
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used, place = shared.value
         for b in batches:
-            for lo, hi, buf, off in text_chunks(b.column(1)):
-                d, k = _all_features(buf, off, shared.value)
+            for lo, hi, buf, off in text_chunks(b.column(0)):
+                d, k = _all_features(buf, off, used)
                 cut = np.searchsorted(d, np.arange(hi - lo + 1))
-                lists = [k[i:j] for i, j in zip(cut[:-1], cut[1:])]
-                yield pa.RecordBatch.from_arrays([b.column(c).slice(lo, hi - lo) for c in (0, 2, 3)] + [pa.array(lists, pa.list_(pa.int32()))], ["doc_id", "toxic", "n", "k"])
-
-    got = train.select(F.col("doc_id").cast("long"), "text", "toxic", "n").mapInArrow(run, "doc_id long, toxic int, n long, k array<int>").toArrow()  # TRAIN_ROWS rows
-    y, ids, times = np.asarray(got["toxic"]).astype(float), np.asarray(got["doc_id"]), np.asarray(got["n"])
-    if not len(y) or y.min() == y.max():
+                lists = [place[k[i:j]] for i, j in zip(cut[:-1], cut[1:])]
+                yield pa.RecordBatch.from_arrays([b.column(c).slice(lo, hi - lo) for c in (1, 2, 3)] + [pa.array(lists, pa.list_(pa.int32()))], ["y", "n", "fold", "k"])
+
+    fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int")
+    rows = train.select("text", "toxic", "n", fold.alias("fold")).mapInArrow(run, "y int, n long, fold int, k array<int>").withColumn("h", F.xxhash64("k"))
+    # Dealt and ordered by what is in them, so that sums are the same in every run.
+    rows = saved(rows.repartition(FIT_TASKS, "h").sortWithinPartitions("h", "y", "n", "fold"), "training-rows")
+    kinds = rows.agg(F.min("y"), F.max("y")).first()
+    if kinds[0] is None or kinds[0] == kinds[1]:
         return weights, None
-    # Blocks of rows are mixed, and the same in every run.
-    order = np.lexsort((y, ids, mix64(ids.astype(np.uint64))))
-    index = np.flatnonzero(used)
-    size = np.asarray(pa.compute.list_value_length(got["k"]))[order]
-    cut = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
-    cols = np.empty(cut[-1], np.int32)
-    for i, r_i in enumerate(order):
-        cols[cut[i] : cut[i + 1]] = np.searchsorted(index, got["k"][int(r_i)].values.to_numpy())
-    del got
-    w, b = fit_logistic(cut, cols, r[index], y[order], times[order])
+    w, b = fit(rows, r[index])
+    discard(rows)
     weights[index] = w * r[index]
-    return weights, float(b)
+    return weights, b
 
 
 def score(docs: DataFrame, weights: np.ndarray, intercept: float | None) -> DataFrame:
