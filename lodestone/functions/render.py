@@ -95,6 +95,25 @@ def linked_pdf(note: Column) -> Column:
     return F.when(F.lower(path).endswith(".pdf"), path)
 
 
+#: The title of a note without one, and the label of its date.
+NO_TITLE, INGESTED = "未知标题", "入库时间"
+
+
+def note_field(note: Column, name: str) -> Column:
+    """A front matter field, in double quotes or up to white space; '' if it isn't there."""
+    quoted, plain = rf'(?m)^{name}:\s*"([^"]*)"', rf"(?m)^{name}:\s*(\S+)"
+    return F.when(F.regexp_like(note, F.lit(quoted)), F.regexp_extract(note, quoted, 1)).otherwise(F.regexp_extract(note, plain, 1))
+
+
+def note_title(note: Column) -> Column:
+    """The quoted title of the front matter, else the first heading of level one."""
+    return F.coalesce(value(F.regexp_extract(note, r'(?m)^title:\s*"([^"]+)"', 1)), value(F.regexp_extract(note, r"(?m)^#\s+(.+)$", 1)), F.lit(NO_TITLE))
+
+
+def note_date(note: Column) -> Column:
+    return F.regexp_extract(note, INGESTED + r"[：:]\s*`?(\d{4}-\d{2}-\d{2})", 1)
+
+
 def image_page(name: Column) -> Column:
     """Page in an image's file name, NULL if there is none."""
     return F.try_to_number(value(F.regexp_extract(F.lower(name), r"page[_-]?(\d{1,9})", 1)), F.lit("999999999")).cast("int")

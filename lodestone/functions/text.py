@@ -114,6 +114,13 @@ def frontmatter(c: Column) -> Column:
     )
 
 
+def frontmatter_parts(c: Column) -> Column:
+    """struct<yaml, body>: a text that starts with '---' is cut at its first two '---', the body as it is; without both all is body."""
+    parts = F.split(c, "---", 3)
+    there = c.startswith("---") & (F.size(parts) == 3)
+    return F.struct(F.when(there, F.get(parts, 1)).alias("yaml"), F.when(there, F.get(parts, 2)).otherwise(c).alias("body"))
+
+
 def yaml_field(yaml: Column, key: str) -> Column:
     """A scalar of a flat YAML block, unquoted; NULL if it isn't there."""
     return value(F.regexp_extract(yaml, rf"(?m)^{key}:[ \t]*[\"']?(.*?)[\"']?[ \t]*$", 1))

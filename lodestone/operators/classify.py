@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import bracketed
+
 #: Technical words of the topic filter, and what marks a body as a video's transcript. Both are defaults.
 TOPICS = ("AI", "LLM", "GPT", "DeepSeek", "模型", "架构", "芯片", "GPU", "开源", "智能", "机器人", "Agent")
 VIDEO_MARKERS = ("type: video_distill", "## 📹 原始信息", "asr_source:", "[📹 原始信息]", "video_duration:", "platform: 抖音", "platform: B站")
@@ -65,6 +67,37 @@ def classify(rows: DataFrame, key: str, tags: str, folders: DataFrame) -> DataFr
     return hit.groupBy(key).agg(best.alias("folder"))
 
 
+#: Fixed value: how much of a body is looked at for keywords.
+BODY_CHARS = 2000
+
+
+def filed(rows: DataFrame, key: str, tags: str, title: str, body: str, folders: DataFrame, prefixes: dict[str, str], default: str) -> DataFrame:
+    """(key, folder, by) of every row: the folder of its tags and of bracketed words of its title, as ``classify`` has it; else of the first
+    keyword, by folder and keyword order, in the first BODY_CHARS characters of its body; else of its title's prefix; else ``default``."""
+    marks = F.concat(F.coalesce(F.col(tags), F.array().cast("array<string>")), F.coalesce(bracketed(F.col(title)), F.array().cast("array<string>")))
+    by_tag = classify(rows.select(key, marks.alias("marks")), key, "marks", folders).withColumnRenamed("folder", "of_tags")
+    words = folders.select("folder", "folder_order", "keyword_order", F.lower("keyword").alias("keyword"))
+    heads = rows.select(key, F.lower(F.substring(body, 1, BODY_CHARS)).alias("head"))
+    held = heads.join(F.broadcast(words), F.col("head").contains(F.col("keyword")))  # few by nature, counted by classify
+    by_body = held.groupBy(key).agg(F.min_by("folder", F.struct("folder_order", "keyword_order")).alias("of_body"))
+    of_title = F.lit(None).cast("string")
+    for start, folder in reversed(prefixes.items()):
+        of_title = F.when(F.col(title).startswith(start), folder).otherwise(of_title)
+    out = rows.select(key, of_title.alias("of_title")).join(by_tag, key, "left").join(by_body, key, "left")
+    by = F.when(F.col("of_tags").isNotNull(), "tags").when(F.col("of_body").isNotNull(), "body").when(F.col("of_title").isNotNull(), "title").otherwise("default")
+    return out.select(key, F.coalesce("of_tags", "of_body", "of_title", F.lit(default)).alias("folder"), by.alias("by"))
+
+
+def holding(names: DataFrame, rows: DataFrame, name: str, column: str) -> DataFrame:
+    """(name, found): whether some row's column holds the name. Names are few by nature: they are counted and sent to the rows, each task
+    answers once for a name."""
+    names = names.select(name).distinct()
+    if names.count() > 10_000:
+        raise ValueError("names are meant to be few")
+    found = rows.select(column).join(F.broadcast(names), F.col(column).contains(F.col(name))).select(name).distinct()
+    return names.join(F.broadcast(found.withColumn("found", F.lit(True))), name, "left").select(name, F.coalesce("found", F.lit(False)).alias("found"))
+
+
 def triage(indexed: Column, analyzed: Column, folder: Column, exists_there: Column) -> Column:
     """State of a note: need_process, duplicate, moved or skip."""
     done = F.coalesce(indexed, F.lit(False)) | F.coalesce(analyzed, F.lit(False))

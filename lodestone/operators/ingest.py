@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import split as S
 from ..functions import text as T
 from ..schema import CHUNKS
 from .classify import VIDEO_MARKERS, isolated
-from .vector import hashed_embeddings
+from .vector import hashed_embedding
 
 
 def notes(files: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def chunk_rows(files: DataFrame, prefix: str = "", markers: list[str] | None = N
         F.length("c.body").alias("char_count"), T.tokenized(F.col("c.body")).alias("tokenized_text"),
         F.lit("text").alias("chunk_type"), F.lit(0).alias("page"), F.lit("").alias("timestamp"), F.lit("").alias("figure_path"),
     )
-    return rows.join(hashed_embeddings(rows, "id", "text", dim), "id").select(*CHUNKS.names)
+    return rows.withColumn("vector", hashed_embedding(F.col("text"), dim)).select(*CHUNKS.names)
 
 
 def figure_rows(described: DataFrame, dim: int = 64) -> DataFrame:
@@ -49,7 +49,35 @@ def figure_rows(described: DataFrame, dim: int = 64) -> DataFrame:
         "source", name.alias("filename"), name.alias("h1"), F.lit("").alias("h2"), F.lit("").alias("category"), F.lit("").alias("tags"), F.length("description").alias("char_count"),
         T.tokenized(F.col("description")).alias("tokenized_text"), F.col("kind").alias("chunk_type"), F.col("page").cast("int").alias("page"), F.lit("").alias("timestamp"), "figure_path",
     )
-    return rows.join(hashed_embeddings(rows, "id", "text", dim), "id").select(*CHUNKS.names)
+    return rows.withColumn("vector", hashed_embedding(F.col("text"), dim)).select(*CHUNKS.names)
+
+
+def page_rows(pages: DataFrame, most: int = 2000, overlap: int = 200, dim: int = 64) -> DataFrame:
+    """pages: source, page, text of a parser -> rows of the chunk table."""
+    name = T.stem(F.col("source"))
+    rows = page_texts(pages, most, overlap).select(
+        F.concat_ws("#", "source", F.lit("p"), F.col("page").cast("string"), F.col("pos").cast("string")).alias("id"), "text", F.col("text").alias("raw_text"), "source", name.alias("filename"),
+        name.alias("h1"), F.lit("").alias("h2"), F.lit("").alias("category"), F.lit("").alias("tags"), F.length("text").alias("char_count"), T.tokenized(F.col("text")).alias("tokenized_text"),
+        F.lit("text").alias("chunk_type"), F.col("page").cast("int").alias("page"), F.lit("").alias("timestamp"), F.lit("").alias("figure_path"),
+    )
+    return rows.withColumn("vector", hashed_embedding(F.col("text"), dim)).select(*CHUNKS.names)
+
+
+def document_rows(pages: DataFrame, described: DataFrame, **kw) -> DataFrame:
+    """Texts of pages and descriptions of figures as rows of one chunk table."""
+    return page_rows(pages, **kw).unionByName(figure_rows(described, kw.get("dim", 64)))
+
+
+def in_page_order(described: DataFrame, by: str, page: str = "page", *then: str) -> DataFrame:
+    """Descriptions with their place (from 0) by page in each file; those of a page stay in the order of ``then``."""
+    return described.withColumn("place", (F.row_number().over(Window.partitionBy(by).orderBy(F.col(page).asc_nulls_last(), *then)) - 1).cast("long"))
+
+
+def recognised(lines: DataFrame, by: list[str], pos: str = "pos") -> DataFrame:
+    """lines: by, pos, text, confidence of a recogniser -> by, text (lines in their order), confidence (their mean), n_lines."""
+    row = F.struct(pos, "text")
+    out = lines.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("r"), F.avg("confidence").alias("confidence"), F.count("*").alias("n_lines"))  # of one page each
+    return out.select(*by, F.array_join(F.transform("r", lambda x: x["text"]), "\n").alias("text"), "confidence", "n_lines")
 
 
 def page_texts(pages: DataFrame, most: int = 2000, overlap: int = 200) -> DataFrame:

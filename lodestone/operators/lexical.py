@@ -63,3 +63,10 @@ def idf_table(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return df.withColumn("idf", F.log(F.lit(1.0) + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
 
+def idf_by(docs: DataFrame, key: str, by: str, text: str = "text") -> DataFrame:
+    """(by, term, df, idf) of every term in the rows of each value of ``by``, null among them."""
+    words = docs.select(by, F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
+    df = words.groupBy(by, "term").agg(F.count("*").alias("df"))
+    n = docs.groupBy(F.col(by).alias("__by")).agg(F.count("*").alias("n_docs"))
+    out = df.join(small(n), F.col(by).eqNullSafe(F.col("__by"))).drop("__by")
+    return out.select(by, "term", "df", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))

@@ -30,10 +30,10 @@ def duplicate_summary(rows: DataFrame, key: str = "id") -> DataFrame:
 
 
 def first_of_content(rows: DataFrame, content: str, key: str) -> DataFrame:
-    """Rows whose content, text or bytes, no row of a lower key has; content is told apart by its SHA-256."""
-    digest = F.sha2(F.col(content).cast("binary"), 256)
-    first = rows.where(F.col(content).isNotNull()).groupBy(digest.alias("__digest")).agg(F.min(key).alias(key)).select(key)
-    return rows.join(first, key, "left_semi")
+    """Rows whose content, text or bytes, no row of a lower key has; content is told apart by its SHA-256. Keys can repeat."""
+    marked = rows.withColumn("__digest", F.sha2(F.col(content).cast("binary"), 256))
+    first = marked.where(F.col("__digest").isNotNull()).groupBy("__digest").agg(F.min(key).alias(key))
+    return marked.join(first, ["__digest", key], "left_semi").drop("__digest")
 
 
 def companions(files: DataFrame, others: DataFrame, path: str = "path") -> DataFrame:
@@ -42,6 +42,18 @@ def companions(files: DataFrame, others: DataFrame, path: str = "path") -> DataF
     return files.select(path, stem(F.col(path)).alias("__stem")).join(names, "__stem").select(path, "companion")
 
 
+def nearest_companions(files: DataFrame, others: DataFrame, path: str = "path") -> DataFrame:
+    """(path, companion): of each file the one among ``others`` with its name but for the ending; the one beside it first, else the first
+    by path anywhere."""
+    folder = lambda c: F.regexp_replace(c, r"[^/]*$", "")
+    there = others.select(stem(F.col(path)).alias("__stem"), folder(F.col(path)).alias("__folder"), F.col(path).alias("companion"))
+    beside = there.groupBy("__stem", "__folder").agg(F.min("companion").alias("beside"))
+    anywhere = there.groupBy("__stem").agg(F.min("companion").alias("anywhere"))
+    named = files.select(path, stem(F.col(path)).alias("__stem"), folder(F.col(path)).alias("__folder"))
+    out = named.join(anywhere, "__stem").join(beside, ["__stem", "__folder"], "left")
+    return out.select(path, F.coalesce("beside", "anywhere").alias("companion"))
+
+
 def sources_of_duplicates(rows: DataFrame, key: str = "id", source: str = "source") -> DataFrame:
     return rows.join(duplicates(rows, key).select(key), key, "left_semi").select(source).distinct()
 
@@ -57,7 +69,10 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "source") -> DataFrame:
 
 
 def last_write(rows: DataFrame, key: str, *order: str) -> DataFrame:
-    """For each key the row that was written last."""
+    """For each key the row that was written last; of rows alike in ``order`` the one that is greatest by all its columns, which are
+    compared in their order (columns that have no order, maps, left out)."""
+    others = [f.name for f in rows.schema.fields if f.name not in order and "map<" not in f.dataType.simpleString()]
+    order = (*order, *others)
     best = F.max_by(F.struct(*[F.col(c) for c in rows.columns]), F.struct(*[F.col(c) for c in order]))
     return rows.groupBy(F.col(key).alias("__key")).agg(best.alias("row")).select("row.*")
 

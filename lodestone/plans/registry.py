@@ -1,6 +1,6 @@
 """Registered queries over the given tables and the SQL they are held against."""
 
-from . import maintenance, retrieval, storage
+from . import maintenance, notes, retrieval, storage
 
-QUERIES = {**retrieval.QUERIES, **maintenance.QUERIES, **storage.QUERIES}
-ORACLES = {**retrieval.ORACLES, **maintenance.ORACLES, **storage.ORACLES}
+QUERIES = {**retrieval.QUERIES, **maintenance.QUERIES, **storage.QUERIES, **notes.QUERIES}
+ORACLES = {**retrieval.ORACLES, **maintenance.ORACLES, **storage.ORACLES, **notes.ORACLES}
