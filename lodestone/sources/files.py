@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import file_name, stem
@@ -56,22 +56,36 @@ def output_dirs(paths: DataFrame, indexed: DataFrame) -> DataFrame:
     return p.join(indexed.select("source").distinct().withColumn("there", F.lit(True)), "source", "left").select("source", "name", "ts", F.when(F.col("there"), "indexed").otherwise("pending").alias("status"))
 
 
-def parsed(files: DataFrame, parser: Callable[[bytes, str], list[dict]], schema: str) -> DataFrame:
+def parsed(files: DataFrame, parser: Callable[[bytes, str], list[dict]], schema: str, reason: str | None = None) -> DataFrame:
     """Binary files through a parser hook (PDF, PPTX, EPUB, OCR): the rows of each file, with its path as ``source``.
 
-    The hook runs in the executors, one file at a time; a file that it can't read gives no rows. ``schema`` is that of the
-    hook's rows.
+    The hook runs in the executors, one file at a time. ``schema`` is that of its rows. With ``reason`` a file that it can't read is a row
+    of nulls with the reason in a column of that name, which is null in others' rows; without, the job fails.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = []
             for path, content in zip(part["path"], part["content"]):
-                rows += [{"source": path, **r} for r in parser(content, path)]
-            yield pd.DataFrame(rows, columns=names)
-
-    names = files.sparkSession.createDataFrame([], f"source string, {schema}").columns
-    return files.select("path", "content").mapInPandas(run, f"source string, {schema}")
+                try:
+                    rows = [{"source": path, **r} for r in parser(content, path)]
+                except Exception as e:  # a hook of any kind
+                    if reason is None:
+                        raise
+                    rows = [{"source": path, reason: f"{type(e).__name__}: {e}"}]
+                yield pd.DataFrame(rows, columns=names, dtype=object)
+
+    kinds = f"source string, {schema}" + (f", `{reason}` string" if reason else "")
+    names = files.sparkSession.createDataFrame([], kinds).columns
+    return files.select("path", "content").mapInPandas(run, kinds)
+
+
+def observed(rows: DataFrame, job: str, reason: str = "reason") -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """``parsed`` rows, and what gives (job, failed, succeeded) for ``sinks.alerts`` once an action has run over them: the counts are taken
+    in passing, without another scan."""
+    seen = Observation(job)
+    bad = F.col(reason).isNotNull()
+    counted = rows.observe(seen, F.count_if(bad).alias("failed"), F.count_if(~bad).alias("succeeded"))
+    return counted, lambda: rows.sparkSession.createDataFrame([(job, seen.get["failed"], seen.get["succeeded"])], "job string, failed long, succeeded long")
 
 
 def sample(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:

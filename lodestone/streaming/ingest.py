@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.text import stem
 from ..operators.classify import TOPICS, holds_any
 from ..sources.versions import Conflict, VersionedTable
 
@@ -51,22 +53,60 @@ def on_topic(rows: DataFrame, title: str = "title", topics: tuple[str, ...] = TO
     return rows.where(holds_any(F.col(title), topics))
 
 
-def cached(calls: DataFrame, key: str, seconds: int = 300) -> DataFrame:
-    """(key, ts, hit) of a stream of calls (key, ts): whether the key's last call is within ``seconds``. State is one time stamp a key."""
+def cached(calls: DataFrame, key: str, seconds: int = 300, late: str = "10 minutes") -> DataFrame:
+    """(key, ts, hit) of a stream of calls (key, ts): whether the key's last call is within ``seconds``.
+
+    State is one time stamp a key; it goes when event time, which may be ``late``, has passed it by ``seconds``, so that the state is that
+    of the keys of this time and not of all keys ever. Calls that come later than ``late`` are left out.
+    """
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(parts)).sort_values("ts")
-        hits = []
-        for t in rows["ts"]:
-            now = t.timestamp()
-            hits.append(last is not None and now - last <= seconds)
-            last = now
-        state.update((last,))
-        yield pd.DataFrame({key: [k[0]] * len(rows), "ts": rows["ts"].to_numpy(), "hit": hits})
+        if state.hasTimedOut:
+            state.remove()
+            return
+        ts = np.sort(np.concatenate([p["ts"].to_numpy("datetime64[us]") for p in parts]))
+        before = np.concatenate([[np.datetime64(state.get[0], "us") if state.exists else np.datetime64("NaT")], ts[:-1]])
+        state.update((int(ts[-1].astype(np.int64)),))
+        # A timer must lie behind the watermark, which may be past an old call already.
+        ends = int(ts[-1].astype(np.int64)) // 1000 + seconds * 1000
+        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({key: [k[0]] * len(ts), "ts": ts, "hit": ts - before <= np.timedelta64(seconds, "s")})
 
     kind = calls.schema[key].dataType.simpleString()
-    return calls.select(key, "ts").groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, ts timestamp, hit boolean", "last double", "append", "NoTimeout")
+    timed = calls.select(key, "ts").withWatermark("ts", late)
+    return timed.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, ts timestamp, hit boolean", "last long", "append", "EventTimeTimeout")
+
+
+BINARY = "path string, modificationTime timestamp, length long, content binary"
+
+
+def watch_folder(spark: SparkSession, root: str, table: VersionedTable, checkpoint: str, rows: Callable[[DataFrame], DataFrame], pattern: str = "*.md", archive: str | None = None, tries: int = 5) -> StreamingQuery:
+    """Put the files below ``root`` that the table doesn't have into it and move them to ``archive`` (None: delete them).
+
+    ``rows`` turns files (source, filename, content, modified) into the table's rows, whose key is the source. A micro-batch is one version,
+    which names the stream and the batch: a run that is killed before that version leaves the files for the next, one killed after it finds
+    the batch there. Files go only when a later batch, or the next run, has seen that theirs was committed.
+    """
+    clean = {"cleanSource": "delete"} if archive is None else {"cleanSource": "archive", "sourceArchiveDir": archive}
+    raw = spark.readStream.format("binaryFile").schema(BINARY).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).options(**clean).load(root)
+    path = F.regexp_replace("path", r"^file:/+", "/")
+    files = raw.select(path.alias("source"), F.decode("content", "UTF-8").alias("content"), F.col("modificationTime").alias("modified")).withColumn("filename", stem(F.col("source")))
+
+    def apply(batch: DataFrame, n: int) -> None:
+        for k in range(tries):
+            base = table.version()
+            if base.streams.get(checkpoint, -1) >= n:
+                return
+            old = table.read(base.number) if base.schema else None
+            new = batch if old is None else batch.join(old.select("source").distinct(), "source", "left_anti")
+            try:
+                table.append(rows(new), (checkpoint, n), base)
+                return
+            except Conflict:
+                if k == tries - 1:
+                    raise
+
+    return files.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed_counts(events: DataFrame, by: str, ts: str = "ts", size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
