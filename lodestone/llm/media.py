@@ -202,10 +202,10 @@ def _files(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[tuple[pa.Arra
         size += n
 
 
-def _clips(frames: list[np.ndarray], ms: float) -> list[dict]:
-    """A clip for each shot: start_ms, end_ms, frames, and the difference that begins it."""
+def _clips(frames: list[np.ndarray], ms: float) -> tuple[list[dict], float]:
+    """A clip for each shot: start_ms, end_ms, frames, and the difference that begins it; and the largest difference."""
     cut, d = shots(frames)
-    return [{"start_ms": s * ms, "end_ms": e * ms, "frames": e - s, "difference": float(d[s])} for s, e in zip(cut, [*cut[1:], len(frames)])]
+    return [{"start_ms": s * ms, "end_ms": e * ms, "frames": e - s, "difference": float(d[s])} for s, e in zip(cut, [*cut[1:], len(frames)])], float(d.max(initial=0))
 
 
 def clip_rows(media: DataFrame) -> DataFrame:
@@ -218,7 +218,7 @@ def clip_rows(media: DataFrame) -> DataFrame:
                 there = [(i, m) for i, m in zip(ids.to_pylist(), files) if m is not None]
                 rows = []
                 for (i, _), (frames, meta) in zip(there, samples_of([m for _, m in there])):
-                    rows += [(i, k, *c.values()) for k, c in enumerate(_clips(frames, meta.get("ms", 0)))]
+                    rows += [(i, k, *c.values()) for k, c in enumerate(_clips(frames, meta.get("ms", 0))[0])]
                 cols = list(zip(*rows)) if rows else [[]] * 6
                 types = [pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], ["doc_id", "clip", "start_ms", "end_ms", "frames", "difference"])
@@ -245,9 +245,9 @@ def digest_rows(media: DataFrame) -> DataFrame:
                     payload = b"".join(f.astype(np.uint8).tobytes() for f in frames)
                     size = len(payload) if meta["bytes"] is None else max(1, -(-meta["bytes"] // WIDTH)) * WIDTH
                     payload = payload[:size]
-                    clips = _clips(frames, meta["ms"])
+                    clips, change = _clips(frames, meta["ms"])
                     spans = "|".join(f"{c['start_ms']:g}-{c['end_ms']:g}" for c in clips)
-                    feature = f"{frames[0].shape[1]}x{frames[0].shape[0]};frames={len(frames)};clips={spans};change={shots(frames)[1].max():.4f}"
+                    feature = f"{frames[0].shape[1]}x{frames[0].shape[0]};frames={len(frames)};clips={spans};change={change:.4f}"
                     rows.append((meta["bytes"], size, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature, None, clips))
                 cols = list(zip(*rows)) if rows else [[]] * 9
                 types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), _CLIPS]
