@@ -275,12 +275,12 @@ def train_model(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float |
                 d, k = _all_features(buf, off, used)
                 cut = np.searchsorted(d, np.arange(hi - lo + 1))
                 lists = [place[k[i:j]] for i, j in zip(cut[:-1], cut[1:])]
-                yield pa.RecordBatch.from_arrays([b.column(c).slice(lo, hi - lo) for c in (1, 2, 3)] + [pa.array(lists, pa.list_(pa.int32()))], ["y", "n", "fold", "k"])
+                yield pa.RecordBatch.from_arrays([b.column(c).slice(lo, hi - lo) for c in (1, 2, 3, 4)] + [pa.array(lists, pa.list_(pa.int32()))], ["y", "n", "fold", "h", "k"])
 
     fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int")
-    rows = train.select("text", "toxic", "n", fold.alias("fold")).mapInArrow(run, "y int, n long, fold int, k array<int>").withColumn("h", F.xxhash64("k"))
-    # Dealt and ordered by what is in them, so that sums are the same in every run.
-    rows = saved(rows.repartition(FIT_TASKS, "h").sortWithinPartitions("h", "y", "n", "fold"), "training-rows")
+    rows = train.select("text", "toxic", "n", fold.alias("fold"), F.xxhash64("doc_id").alias("h")).mapInArrow(run, "y int, n long, fold int, h long, k array<int>")
+    # Dealt and ordered by what is in them, so that sums are the same in every run; copies of a text go to all tasks.
+    rows = saved(rows.repartition(FIT_TASKS, "h").sortWithinPartitions("h", "y", "n"), "training-rows")
     kinds = rows.agg(F.min("y"), F.max("y")).first()
     if kinds[0] is None or kinds[0] == kinds[1]:
         return weights, None
