@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import render as R
 from ..functions import split as S
 from ..functions import text as T
-from ..operators import classify, context
+from ..operators import classify, context, segment
 from ..operators.fulltext import TextIndex
 from ..sources import files, sinks
 from ..sources.shared import new_folder
@@ -193,3 +193,31 @@ def notes_to_context(spark, d):
     index.add(chunks, "raw_text")
     hits = index.search(item_queries(spark, d), 3).join(chunks, "id").withColumns({"chunk_type": F.lit("text"), "page": F.lit(0)})
     return context.build(hits, 1_000_000).select("query_id", "context", "n_used")
+
+
+@query(rf"""with recursive words as (select unnest({_tok('text')}) as word from documents), dict as (select word, count(*)::double as freq from words group by word),
+    tot as (select sum(freq) as total, max(length(word)) as longest from dict),
+    pr as (select page_id, unnest(regexp_extract_all(lower(coalesce(url, '')), '\p{{L}}+|\p{{N}}+')) as run, generate_subscripts(regexp_extract_all(lower(coalesce(url, '')), '\p{{L}}+|\p{{N}}+'), 1) as pos from pages),
+    rr as (select distinct run, length(run) as n from pr where regexp_matches(run, '^\p{{L}}')),
+    st as (select run, n, unnest(range(n)) as place from rr),
+    pt as (select run, place, unnest(range(1, least(longest, n - place) + 1)) as size from st, tot),
+    ed as (select run, list(struct_pack(place := place, size := size, weight := ln(freq / total))) as edges from pt join dict on word = substring(run, place + 1, size), tot group by run),
+    g as (select rr.run, n, coalesce(edges, []) as edges, ln(1.0::double / total) as low from rr left join ed using (run), tot),
+    f as (select run, n, edges, low, n as i, []::struct(score double, size bigint)[] as done from g
+      union all select run, n, edges, low, i - 1, list_prepend(list_reverse_sort(list_transform(own, lambda e: struct_pack(score := e.weight + case when e.size > len(done) then 0.0::double else done[e.size].score end, size := e.size)))[1], done)
+      from (select *, case when len(list_filter(at_it, lambda e: e.size = 1)) > 0 then at_it else list_append(at_it, struct_pack(place := i - 1, size := 1::bigint, weight := low)) end as own
+        from (select *, list_filter(edges, lambda e: e.place = i - 1) as at_it from f where i > 0))),
+    b as (select run, edges, done from f where i = 0),
+    k as (select run, edges, done, 0::bigint as place from b union all select run, edges, done, place + done[place + 1].size from k where place + done[place + 1].size < len(done)),
+    w as (select run, edges, place, done[place + 1].size as size from k),
+    j as (select run, string_agg(word, ' ' order by place, kind, sub) as joined from ({{}}) group by run)
+    select page_id, coalesce(string_agg(coalesce(joined, pr.run), ' ' order by pos), '') as words from pages left join pr using (page_id) left join j on j.run = pr.run group by page_id""".replace("{}", """
+      select run, place, 9 as kind, 0::bigint as sub, substring(run, place + 1, size) as word from w
+      union all select run, place, kind, sub, substring(run, sub + 1, kind) from (select run, edges, place, size, kind, unnest(range(place, place + size - kind + 1)) as sub from w, (values (2), (3)) t(kind) where size > kind)
+        where len(list_filter(edges, lambda e: e.place = sub and e.size = kind)) > 0"""))
+def segmented_addresses(spark, d):
+    """Letters of addresses cut into words that documents have."""
+    docs = table(spark, d, "documents")
+    dictionary = docs.select(F.explode(T.tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
+    s = segment.segmented(table(spark, d, "pages"), "page_id", "url", dictionary, pattern=r"\p{L}+")
+    return s.select("page_id", F.array_join("words", " ").alias("words"))
