@@ -44,6 +44,10 @@ class Library:
         """Replace the chunks of every note below ``root``; notes of other folders stay."""
         self.table.upsert(ingest.chunk_rows(files.markdown(self.spark, root, skip_dirs), prefix, dim=self.settings.dim))
 
+    def add(self, rows: DataFrame) -> None:
+        """Append rows (id, text and any other columns of the chunk table); nothing is rewritten."""
+        self.table.append(ingest.completed(rows, self.settings.dim))
+
     def clear(self) -> None:
         """Leave no chunk; earlier versions can be read until a vacuum."""
         self.table.clear()

@@ -16,6 +16,13 @@ TEMPLATES = {
 }
 
 
+def register(name: str, template: str) -> None:
+    """Add a template, a text with {query}, {context} and {extra}, or replace one."""
+    if "{query}" not in template or "{context}" not in template:
+        raise ValueError("a template has {query} and {context}")
+    TEMPLATES[name] = template
+
+
 def citation(source: Column, chunk_type: Column, page: Column) -> Column:
     """Name of the source, with page and kind of chunk where there are any."""
     kind = F.when(F.coalesce(chunk_type, F.lit("text")) != "text", F.concat(F.lit(" "), chunk_type)).otherwise("")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import split as S
 from ..functions import text as T
-from ..schema import CHUNKS
+from ..schema import CHUNKS, DEFAULTS
 from .classify import VIDEO_MARKERS, isolated
 from .vector import hashed_embedding
 
@@ -38,6 +38,16 @@ def chunk_rows(files: DataFrame, prefix: str = "", markers: list[str] | None = N
     return rows.withColumn("vector", hashed_embedding(F.col("text"), dim)).select(*CHUNKS.names)
 
 
+def completed(rows: DataFrame, dim: int = 64) -> DataFrame:
+    """Rows of the chunk table from what there is of them (id, text at least): other columns have their defaults, tokens and vector are worked
+    out where they are missing."""
+    have = {n: F.col(n) if n in rows.columns else F.lit(None) for n in CHUNKS.names}
+    out = rows.select(*[have[f.name].cast(f.dataType).alias(f.name) for f in CHUNKS.fields])
+    out = out.fillna(DEFAULTS).withColumn("raw_text", F.coalesce("raw_text", "text")).withColumn("char_count", F.coalesce("char_count", F.length("raw_text")))
+    out = out.withColumn("tokenized_text", F.coalesce(T.value(F.col("tokenized_text")), T.tokenized(F.col("raw_text"))))
+    return out.withColumn("vector", F.coalesce("vector", hashed_embedding(F.col("text"), dim))).select(*CHUNKS.names)
+
+
 def figure_rows(described: DataFrame, dim: int = 64) -> DataFrame:
     """described: source, page, description, kind ('figure', 'table', 'frame'), figure_path -> rows of the chunk table.
 

@@ -9,6 +9,7 @@ from ..functions import render as R
 from ..functions import split as S
 from ..functions import text as T
 from ..operators import classify, evaluate, maintain, usage
+from ..operators.common import small
 from .tables import table
 
 QUERIES: dict = {}
@@ -437,5 +438,7 @@ def unfilled_notes(spark, d):
 
 @query("select doc_id, count(*) over (partition by source) as n_source, round(n_chars * 100.0::double / sum(n_chars) over (partition by source), 6) as share from documents")
 def source_shares(spark, d):
-    w = Window.partitionBy("source")
-    return table(spark, d, "documents").select("doc_id", F.count("*").over(w).alias("n_source"), F.round(F.col("n_chars") * 100.0 / F.sum("n_chars").over(w), 6).alias("share"))
+    docs = table(spark, d, "documents").select("doc_id", "source", "n_chars")
+    # Sums by source combine before they are shuffled; a window would bring a source's rows together.
+    sums = docs.groupBy(F.col("source").alias("s")).agg(F.count("*").alias("n_source"), F.sum("n_chars").alias("chars"))
+    return docs.join(small(sums), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "n_source", F.round(F.col("n_chars") * 100.0 / F.col("chars"), 6).alias("share"))

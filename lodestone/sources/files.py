@@ -25,7 +25,7 @@ def chunk_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def markdown(spark: SparkSession, root: str, skip_dirs: list[str] | None = None) -> DataFrame:
-    """source, filename, content, modified of every Markdown file below ``root`` that isn't hidden or skipped."""
+    """source, filename, content, modified of every Markdown file below ``root``, or of the one file that it names, that isn't hidden or skipped."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
     path = F.regexp_replace("path", r"^file:/+", "/")
     rows = raw.select(path.alias("source"), F.decode("content", "UTF-8").alias("content"), F.col("modificationTime").alias("modified"))

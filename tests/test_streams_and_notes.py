@@ -165,3 +165,25 @@ def test_run_once_hands_batches_over(spark, tmp_path):
     seen = []
     run_once(spark.readStream.schema("id long").parquet(f"{tmp_path}/in"), lambda b: seen.extend(r["id"] for r in b.collect()), f"{tmp_path}/c")
     assert sorted(seen) == [0, 1, 2] and hashlib.md5(b"").hexdigest()
+
+
+def test_appended_rows_are_completed(spark, tmp_path):
+    from lodestone.api import Library
+    from lodestone.operators import context
+    from lodestone.schema import CHUNKS
+
+    (tmp_path / "a.md").write_text("# One\n" + "A note about leeks. " * 9)
+    (tmp_path / "b.md").write_text("# Two\n" + "Another about onions. " * 9)
+    assert [r["filename"] for r in files.markdown(spark, str(tmp_path / "a.md")).collect()] == ["a"]
+    lib = Library(spark, f"{tmp_path}/t")
+    lib.add(spark.createDataFrame([("x#0", "Some Words, 12", "/x.md"), ("y#0", None, "/y.md")], "id string, text string, source string"))
+    lib.add(spark.createDataFrame([("z#0", "more", "kept tokens")], "id string, text string, tokenized_text string"))
+    got = {r["id"]: r for r in lib.chunks().collect()}
+    assert lib.chunks().columns == CHUNKS.names and {k: r["tokenized_text"] for k, r in got.items()} == {"x#0": "some words 12", "y#0": "", "z#0": "kept tokens"}
+    assert got["x#0"]["chunk_type"] == "text" and got["x#0"]["char_count"] == 14 and len(got["x#0"]["vector"]) == 64 and got["z#0"]["page"] == 0
+    q = spark.createDataFrame([(1, "some words")], "query_id long, query string")
+    assert lib.search(q, use_rerank=False).where("rank = 1").first()["id"] == "x#0"
+    context.register("short", "{context}|{query}")
+    assert lib.prompt(q, "short").first()["prompt"].endswith("|some words")
+    with pytest.raises(ValueError):
+        context.register("bad", "{context}")
