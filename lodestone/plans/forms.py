@@ -12,7 +12,7 @@ from ..operators.fulltext import TextIndex
 from ..sources import files, sinks
 from ..sources.shared import new_folder
 from .notes import _tok, query  # registers with the notes
-from .tables import item_queries, table
+from .tables import item_queries, table, texts
 
 
 @query(r"""with c as (select conv_id, turn, case turn % 3 when 0 then '---' || chr(10) || 'role: ' || role || chr(10) || '---' || chr(10) || text || chr(10) when 1 then '---' || text else text end as content from conversations),
@@ -136,7 +136,7 @@ def chunk_prefix_tags(spark, d):
     select doc_id, pos, substring(text, start + 1, case when start + 2000 < length(text) and stop > 1000 then stop else 2000 end) as chunk from s""")
 def sliding_texts(spark, d):
     """Overlapping windows of 2000 characters, cut behind a full stop."""
-    c = table(spark, d, "documents").select("doc_id", F.posexplode(S.sliding(F.col("text"))).alias("pos", "chunk"))
+    c = texts(spark, d).select("doc_id", F.posexplode(S.sliding(F.col("text"))).alias("pos", "chunk"))
     return c.select("doc_id", F.col("pos").cast("long").alias("pos"), "chunk")
 
 
@@ -155,7 +155,7 @@ def sliding_texts(spark, d):
 def packed_paragraphs(spark, d):
     """Documents, a paragraph a line, packed greedily into chunks of 320 characters; longer ones are cut behind a mark."""
     parts = T.strip(F.regexp_replace("text", "\n", "\n\n"))
-    c = table(spark, d, "documents").select("doc_id", F.posexplode(S.packed(S.paragraphs(parts), S.max_chars())).alias("pos", "chunk"))
+    c = texts(spark, d).select("doc_id", F.posexplode(S.packed(S.paragraphs(parts), S.max_chars())).alias("pos", "chunk"))
     return c.select("doc_id", F.col("pos").cast("long").alias("pos"), "chunk")
 
 

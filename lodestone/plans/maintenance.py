@@ -9,8 +9,8 @@ from ..functions import render as R
 from ..functions import split as S
 from ..functions import text as T
 from ..operators import classify, evaluate, maintain, usage
-from ..operators.common import small
-from .tables import table
+from ..operators.common import small, spread
+from .tables import table, texts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -53,7 +53,7 @@ for _n, _c in T.ENTITIES:
 
 @query(f"select page_id, coalesce(list_aggregate(list_filter(list_transform(string_split({_HTML}, chr(10)), lambda x: trim(x)), lambda x: length(x) > 1), 'string_agg', chr(10)), '') as body from pages")
 def html_to_text(spark, d):
-    return table(spark, d, "pages").select("page_id", T.html_lines(F.col("html")).alias("body"))
+    return spread(table(spark, d, "pages").select("page_id", "html")).select("page_id", T.html_lines(F.col("html")).alias("body"))
 
 
 @query(r"""with u as (select page_id, regexp_replace(regexp_replace(lower(url), '[?#].*$', ''), '^https?://(www\.|m\.)?', '') as clean from pages)
@@ -93,14 +93,14 @@ def chunk_documents(spark, d):
 def split_paragraphs(spark, d):
     """Documents, a paragraph a line, packed into chunks of 320 characters; see the tests."""
     parts = T.strip(F.regexp_replace("text", "\n", "\n\n"))
-    c = table(spark, d, "documents").select("doc_id", F.posexplode(S.packed(S.paragraphs(parts), S.max_chars())).alias("pos", "chunk"))
+    c = texts(spark, d).select("doc_id", F.posexplode(S.packed(S.paragraphs(parts), S.max_chars())).alias("pos", "chunk"))
     return c.select("doc_id", "pos", F.length("chunk").alias("char_count"), "chunk")
 
 
 @query()
 def sliding_chunks(spark, d):
     """Overlapping windows of 2000 characters; see the tests."""
-    c = table(spark, d, "documents").select("doc_id", F.posexplode(S.sliding(F.col("text"))).alias("pos", "chunk"))
+    c = texts(spark, d).select("doc_id", F.posexplode(S.sliding(F.col("text"))).alias("pos", "chunk"))
     return c.select("doc_id", "pos", F.length("chunk").alias("char_count"))
 
 

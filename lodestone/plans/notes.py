@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import classify, evaluate, fusion, ingest, lexical, maintain, vector
 from .maintenance import _FOLDER_SQL, _FOLDERS
 from .retrieval import _bm25_sql, _tok
-from .tables import document_index, table
+from .tables import document_index, table, texts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -125,7 +125,7 @@ def texts_and_figures(spark, d):
     select f.lang, term, df, round(ln(1.0::double + (n - df + 0.5) / (df + 0.5)), 6) as idf from f join n on n.lang is not distinct from f.lang""")
 def idf_of_languages(spark, d):
     """Inverse document frequency of each term in each language's documents."""
-    return lexical.idf_by(table(spark, d, "documents"), "doc_id", "lang").select("lang", "term", "df", F.round("idf", 6).alias("idf"))
+    return lexical.idf_by(texts(spark, d, "doc_id", "text", "lang"), "doc_id", "lang").select("lang", "term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"""with w as (select doc_id, ('0x' || substr(md5(word), 1, 8))::bigint as h from (select doc_id, unnest({_tok('text')}) as word from documents)),
@@ -133,7 +133,7 @@ def idf_of_languages(spark, d):
     select doc_id, slot, round((v / sqrt(sum(v * v) over (partition by doc_id)))::float::double, 5) as x from s where v <> 0""")
 def document_embeddings(spark, d):
     """Hashed embeddings of whole documents: the coordinates that aren't zero."""
-    v = table(spark, d, "documents").select("doc_id", vector.hashed_embedding(F.col("text")).alias("vector"))
+    v = texts(spark, d).select("doc_id", vector.hashed_embedding(F.col("text")).alias("vector"))
     return v.select("doc_id", F.posexplode("vector").alias("slot", "x")).where("x <> 0").select("doc_id", F.col("slot").cast("long").alias("slot"), F.round(F.col("x").cast("double"), 5).alias("x"))
 
 

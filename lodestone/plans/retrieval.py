@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import context, evaluate, fusion, lexical, rerank, vector
-from .tables import document_index, hybrid_queries, item_queries, table, vector_queries
+from .tables import document_index, hybrid_queries, item_queries, table, texts, vector_queries
 
 
 def _docs(spark, d):
@@ -15,22 +15,22 @@ def _docs(spark, d):
 
 def tokenize_stats(spark, d):
     w = T.tokens(F.col("text"))
-    return _docs(spark, d).select("doc_id", F.size(w).cast("long").alias("n_tokens"), F.size(F.array_distinct(w)).cast("long").alias("n_distinct"))
+    return texts(spark, d).select("doc_id", F.size(w).cast("long").alias("n_tokens"), F.size(F.array_distinct(w)).cast("long").alias("n_distinct"))
 
 
 def term_frequencies(spark, d):
-    p = lexical.postings(_docs(spark, d), "doc_id")
+    p = lexical.postings(texts(spark, d), "doc_id")
     return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 def corpus_stats(spark, d):
-    s = lexical.corpus_stats(_docs(spark, d))
+    s = lexical.corpus_stats(texts(spark, d))
     return s.select("n_docs", "total_len", F.round("avg_len", 6).alias("avg_len"))
 
 
 def idf_by_language(spark, d):
     """Inverse document frequency of the terms of English documents."""
-    t = lexical.idf_table(_docs(spark, d).where("lang = 'en'"), "doc_id")
+    t = lexical.idf_table(texts(spark, d, "doc_id", "text", "lang").where("lang = 'en'"), "doc_id")
     return t.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
@@ -39,7 +39,7 @@ def bm25_topk(spark, d):
 
 
 def bm25_filtered(spark, d):
-    return lexical.bm25(_docs(spark, d), item_queries(spark, d), "doc_id", where="lang = 'en'")
+    return lexical.bm25(texts(spark, d, "doc_id", "text", "lang"), item_queries(spark, d), "doc_id", where="lang = 'en'")
 
 
 def fts_normalised(spark, d):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.common import spread
 from ..operators.fulltext import TextIndex
 from ..sources.shared import new_folder
 
@@ -15,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of the documents, in as many tasks as there are cores at least, for work that takes long for each text."""
+    return spread(table(spark, sf_dir, "documents").select(*(columns or ("doc_id", "text"))))
+
+
 def item_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every twentieth benchmark item as a full-text query."""
     return table(spark, sf_dir, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
