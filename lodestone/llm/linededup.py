@@ -80,27 +80,41 @@ def leaf_bitmap(docs: DataFrame) -> np.ndarray:
 
     @frugal
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A task adds up its documents by slot and sends each slot once, with a count that stops where it says enough.
+        slot, times, fresh = np.zeros(0, np.uint32), np.zeros(0, np.int64), []
+
+        def add_up() -> tuple[np.ndarray, np.ndarray]:
+            s = np.concatenate([slot, *fresh])
+            n = np.concatenate([times, np.ones(len(s) - len(times), np.int64)])
+            order = np.argsort(s, kind="stable")
+            s, n = s[order], n[order]
+            new = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+            return s[new], np.minimum(np.add.reduceat(n, new), MIN_DOCS) if len(s) else n
+
         for b in batches:
-            found = [np.zeros(0, np.uint64)]
             for _, _, buf, off in text_chunks(b.column(0)):
                 x = Lines(buf, off)
-                found.append(np.unique(np.stack([x.doc.astype(np.uint64), x.leaf >> np.uint64(64 - LEAF_BITS)]), axis=1)[1] if len(x.doc) else found[0])
-            s = np.sort(np.concatenate(found)).astype(np.uint32)
-            cut = np.searchsorted(s, np.arange((1 << BUCKET_BITS) + 1, dtype=np.uint64) << np.uint64(rest))
-            some = np.flatnonzero(np.diff(cut))
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([s[cut[k] : cut[k + 1]].tobytes() for k in some], pa.binary())], ["bucket", "slots"])
+                if len(x.doc):
+                    fresh.append(np.unique(np.stack([x.doc.astype(np.uint64), x.leaf >> np.uint64(64 - LEAF_BITS)]), axis=1)[1].astype(np.uint32))
+            if sum(map(len, fresh)) > 1 << 20:
+                (slot, times), fresh = add_up(), []
+        slot, times = add_up()
+        some, cut = np.unique(slot >> np.uint32(rest), return_index=True)
+        cut = np.append(cut, len(slot))
+        blobs = [[x[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:])] for x in (slot & np.uint32((1 << rest) - 1), times.astype(np.uint8))]
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *[pa.array(x, pa.binary()) for x in blobs]], ["bucket", "slots", "times"])
 
     @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: dict[int, np.ndarray] = {}
         for b in batches:
-            for bucket, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for bucket, at, times in zip(*(c.to_pylist() for c in b.columns)):
                 c = n.setdefault(bucket, np.zeros(1 << rest, np.int32))
-                c += np.bincount(np.frombuffer(blob, np.uint32) & np.uint32((1 << rest) - 1), minlength=1 << rest).astype(np.int32)
+                c[np.frombuffer(at, np.uint32)] += np.frombuffer(times, np.uint8)  # a slot once in each row
         keys = sorted(n)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *[pa.array([np.packbits(n[k] >= bound, bitorder="little").tobytes() for k in keys], pa.binary()) for bound in (MIN_DOCS, REPEAT_DOCS)]], ["bucket", "often", "some"])
 
-    rows = docs.select("text").mapInArrow(slots, "bucket int, slots binary").repartition("bucket").mapInArrow(count, "bucket int, often binary, some binary")
+    rows = docs.select("text").mapInArrow(slots, "bucket int, slots binary, times binary").repartition("bucket").mapInArrow(count, "bucket int, often binary, some binary")
     out = np.zeros((2, 1 << BUCKET_BITS, 1 << rest >> 3), np.uint8)
     for r in rows.toLocalIterator():  # 16 MB in all
         for k in range(2):
