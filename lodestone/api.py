@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import context, fusion, ingest, lexical, rerank, vector
+from .operators.fulltext import TextIndex
 from .sources import files
 from .streaming.ingest import SnapshotTable
 
@@ -33,6 +34,7 @@ class Library:
 
     def __init__(self, spark: SparkSession, path: str, settings: Settings | None = None, embed: Callable | None = None, rewrite: Callable[[Column], Column] | None = None):
         self.spark, self.settings, self.table = spark, settings or Settings(), SnapshotTable(spark, path)
+        self.text = TextIndex(spark, f"{path.rstrip('/')}/text-index", "key")
         self.embed = embed or (lambda rows, key, text: vector.hashed_embeddings(rows, key, text, self.settings.dim))
         self.rewrite = rewrite or (lambda q: F.array(q))
 
@@ -66,7 +68,13 @@ class Library:
             near = vector.knn(keyed, q, "key", "vector", s.vector_top_k, where=where)
             parts.append(near.select("query_id", "key", "score", "rank", F.lit("vector").alias("track")))
         if "fts" in tracks:
-            text = lexical.bm25(keyed, asked.select(F.col("ask").alias("query_id"), "query"), "key", s.fts_top_k, "raw_text", where)
+            words = asked.select(F.col("ask").alias("query_id"), "query")
+            if where is None:
+                # Kept on disk and brought to the table's version; what a filter keeps is a corpus with statistics of its own.
+                self.text.follow(self.table, F.xxhash64("id"), "raw_text")
+                text = self.text.search(words, s.fts_top_k)
+            else:
+                text = lexical.bm25(keyed, words, "key", s.fts_top_k, "raw_text", where)
             parts.append(text.select("query_id", "key", lexical.normalised(F.col("score")).alias("score"), "rank", F.lit("fts").alias("track")))
         hits = None
         for p in parts:

@@ -138,9 +138,10 @@ class VersionedTable:
     def read(self, n: int | None = None) -> DataFrame | None:
         """The rows of the latest version or of version n; None before the first."""
         v = self.version(n)
-        return None if v.schema is None else self._rows(v, list(v.files))
+        return None if v.schema is None else self.rows(v, list(v.files))
 
-    def _rows(self, v: Version, buckets: list[str]) -> DataFrame:
+    def rows(self, v: Version, buckets: list[str]) -> DataFrame:
+        """What a version has in some buckets."""
         schema = StructType.fromJson(json.loads(v.schema))
         paths = [f"{self.path}/{f}" for b in buckets for f in v.files.get(b, [])]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
@@ -180,7 +181,7 @@ class VersionedTable:
         touched = self._touched(v, new)
         rows = new
         if v.schema is not None:
-            old = self._rows(v, touched)
+            old = self.rows(v, touched)
             same = F.col("o.k").eqNullSafe(F.col("n.k"))
             keys = new.select(F.col(f"`{self.key}`").alias("k")).distinct()
             kept = old.withColumn("k", F.col(f"`{self.key}`")).alias("o").join(keys.alias("n"), same, "left_anti").drop("k")
@@ -202,7 +203,7 @@ class VersionedTable:
         if v.schema is None:
             return v.number
         touched = self._touched(v, keys)
-        old, k = self._rows(v, touched), keys.select(F.col(f"`{self.key}`").alias("k")).distinct()
+        old, k = self.rows(v, touched), keys.select(F.col(f"`{self.key}`").alias("k")).distinct()
         kept = old.alias("o").join(k.alias("n"), F.col(f"o.`{self.key}`").eqNullSafe(F.col("n.k")), "left_anti")
         files = {b: f for b, f in v.files.items() if b not in touched} | self._written(v, kept)
         return self._publish(v, files, old.schema, "delete", None)

@@ -213,3 +213,42 @@ def test_second_index_writer_is_told(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(two, "state", lambda n=None: base)
     with pytest.raises(Conflict):
         two.add(docs)
+
+
+def test_index_follows_its_table(spark, tmp_path, asked):
+    """After each write the index is brought to the table's version; what did not change is not indexed again."""
+    t, index = VersionedTable(spark, f"{tmp_path}/t", buckets=16), TextIndex(spark, f"{tmp_path}/i")
+    rows = lambda d: spark.createDataFrame([(f"s{k % 40}", k, x) for k, x in d], "source string, id long, body string")
+
+    def same():
+        index.follow(t, F.col("id"), "body")
+        assert ranked(index.search(asked)) == ranked(lexical.bm25(t.read().select("id", F.col("body").alias("text")), asked, "id"))
+        return index.state()
+
+    assert index.follow(t, F.col("id"), "body").number == -1
+    t.append(rows(texts(5, 200)))
+    assert same().segments[0]["rows"] == 200 and index.follow(t, F.col("id"), "body").number == 0
+    t.upsert(rows([(7, "w5 w9 changed"), (47, dict(texts(5, 200))[47]), (1007, "w5 new")]))
+    s = same()
+    # Of source s7, rows 7, 87, 127 and 167 are gone or changed, 47 is as it was; two are new.
+    assert s.segments[-1]["rows"] == 2 and s.segments[0]["dead_rows"] == 4 and s.of == 1
+    t.delete(spark.createDataFrame([("s7",), ("s8",)], "source string"))
+    same()
+    t.clear()
+    assert same().n_docs == 0
+    t.append(rows([(5, "w5 w5")]))
+    same()
+    t.upsert(rows([(5, "w9")]))
+    t.vacuum(keep=1, older_ms=-1)
+    assert same().n_docs == 1 and len(index.state().segments) == 1
+
+
+def test_entry_names_every_operator():
+    import importlib.util
+
+    import __spark_entry__ as entry
+
+    names = entry.queries()
+    if importlib.util.find_spec("lodestone.llm"):
+        assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()} >= set(range(1, 14)) and "pipeline" in names
+    assert set(entry.oracle_sql()) <= set(names)
