@@ -19,7 +19,7 @@ from lodestone.llm.queries import ORACLES, QUERIES
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14)) and set(ORACLES) <= set(QUERIES)
 
 
 @settings(max_examples=30, deadline=None)
