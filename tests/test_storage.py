@@ -195,6 +195,38 @@ def test_bounds_hold(spark, tmp_path, asked):
         assert r["score"] <= shards[r["query_id"], where[r["id"]]] + fulltext.SLACK
 
 
+def test_large_batches_meet_blocks(spark, tmp_path, asked, monkeypatch):
+    """Blocks of documents and of queries give what the plain search does: copies, ties beyond k, string keys, deletions, small blocks."""
+    from lodestone.operators import scan
+
+    monkeypatch.setattr(fulltext, "SCAN", -1)
+    monkeypatch.setattr(scan, "TERMS", 40)
+    rows = texts(6, 300) + [(1000 + j, "w5 w9 w150") for j in range(40)] + [(2000, None), (2001, "")]
+    docs = spark.createDataFrame([(f"d{k}", t) for k, t in rows], "id string, text string")
+    whole = spark.createDataFrame([(100 + k, t) for k, t in rows[:60]], "query_id long, query string")
+    index = TextIndex(spark, f"{tmp_path}/i")
+    index.add(docs)
+    every = asked.unionByName(whole)
+    assert ranked(index.search(every)) == ranked(lexical.bm25(docs, every, "id"))
+    index.delete(docs.where("id like 'd1%'").select("id"))
+    assert ranked(index.search(every, 3)) == ranked(lexical.bm25(docs.where("id not like 'd1%'"), every, "id", 3))
+
+
+def test_large_batch_writes_no_pairs(spark, tmp_path, monkeypatch):
+    """What leaves the tasks of a large batch is near k rows a query and task, not a row for each (query, shard)."""
+    from lodestone.operators import scan
+
+    monkeypatch.setattr(fulltext, "SCAN", -1)
+    docs = spark.createDataFrame(texts(7, 3000), "id long, text string")
+    index = TextIndex(spark, f"{tmp_path}/i")
+    index.add(docs)
+    asked = docs.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("text").alias("query"))
+    kept, search = [], scan.search
+    monkeypatch.setattr(scan, "search", lambda *a: kept.append(search(*a)) or kept[0])
+    index.search(asked).count()
+    assert 0 < kept[0].count() < index.bounds(asked).count() / 2
+
+
 def test_index_of_nothing(spark, tmp_path, asked):
     index = TextIndex(spark, f"{tmp_path}/i")
     assert index.search(asked).count() == 0 and index.frequencies().count() == 0
