@@ -152,3 +152,22 @@ def test_streams_find_new_and_cached(spark, tmp_path, small):
     ingest.run_once(ingest.cached(stream, "key", 7200), lambda b: hits.extend(b.collect()), str(tmp_path / "c2"))
     want = usage.cache_hits(events, "key", 7200, "event_id")
     assert sum(r["hit"] for r in hits) == want.where("hit").count() and len(hits) == events.count()
+
+
+def test_knn_in_strips_and_batches(spark, monkeypatch):
+    """Queries in strips over many batches of rows, ties among them: the rows of a search that has all at once."""
+    from lodestone.operators import vector
+
+    rng = np.random.default_rng(5)
+    v = np.round(rng.normal(size=(500, 4)), 1)
+    rows = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, vector array<float>").coalesce(1)
+    asked = rows.where("id % 5 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    monkeypatch.setattr(vector, "QUERY_STRIP", 7)
+    for metric in ("l2", "cosine"):
+        whole = vector.knn(rows, asked, "id", "vector", 6, metric).toPandas()
+        key, old = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set(key, "37")
+        strips = vector.knn(rows, asked, "id", "vector", 6, metric).toPandas()
+        spark.conf.set(key, old)
+        same = lambda p: sorted(map(tuple, p[["query_id", "id", "distance", "rank"]].to_numpy().tolist()))
+        assert same(whole) == same(strips) and len(whole) == 600
