@@ -4,7 +4,8 @@ Words and shingles are those of operator 5. HASHES hash functions take their lea
 are candidates if they share all values of one of BANDS groups of BAND functions; a pair of similarity s is missed with a
 chance of (1 - s**BAND)**BANDS, 2e-4 at 0.8. Pairs that agree on fewer than AGREE functions are left out (3e-5 of the pairs at
 0.8), the others are verified by the similarity itself, shingles being told apart by 64-bit hashes. Operator 8's fingerprints
-can't find these pairs: at 0.8 they differ in nine bits of 64, and covering masks for as many leave keys of a few bits.
+find the nearest of these pairs and are taken first (``simhash.near_links``): at 0.8 a pair differs in nine bits of 64, and covering masks for as
+many would leave keys of a few bits.
 
 Texts that share a band are a bucket. First each text meets the bucket's centre, the text that the most others meet anywhere,
 which joins groups of near copies of any size by one pair for each text. What is left of a bucket goes on only if it is still
@@ -192,8 +193,8 @@ def mixed(left: DataFrame) -> DataFrame:
     return left.select("t", "key", "node", "root").join(both.drop("x", "y"), ["t", "key"])
 
 
-def roots(rows: DataFrame) -> DataFrame:
-    """(node, root) for each node of (node, text) that is similar to another; equal nodes have equal texts."""
+def roots(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(node, root) for each node of (node, text) that is similar to another; equal nodes have equal texts; ``known``: links (a, b) found before."""
     nodes = saved(sketches(rows).dropDuplicates(["node"]), "sketches")
     met = saved(buckets(nodes, "bands"), "buckets")
     # Only texts that share a band are read again.
@@ -204,6 +205,7 @@ def roots(rows: DataFrame) -> DataFrame:
     met = saved(met.select("t", "key", "node", "centre"), "centres")
     pairs = met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     found = saved(similar(saved(likely(pairs, nodes), "candidates"), texts), "similar")
+    found = found if known is None else found.unionByName(known)
     out = saved(components(found), "roots")
 
     def rooted(b: DataFrame) -> DataFrame:

@@ -26,8 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, saved, table, unused
-from .neardup import roots
+from .common import bounded_batches, components, discard, saved, table, unused
+from .neardup import roots, similar
 from .textarrays import LOWER, frugal, text_chunks, words
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -129,13 +129,29 @@ def op8(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def near_links(rows: DataFrame) -> DataFrame:
+    """(a, b) links of (node, text): each text with the least node of its class of fingerprints, where their shingles are similar as well."""
+    fps = saved(with_fingerprint(rows.select(F.col("node").alias("doc_id"), "text")).distinct(), "simhash")
+    pairs = fps.join(classes(fps), "fp").where("doc_id <> component_id")
+    pairs = saved(pairs.select(F.least("doc_id", "component_id").alias("a"), F.greatest("doc_id", "component_id").alias("b")).distinct(), "candidates")
+    named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    texts = saved(rows.join(named, "node", "left_semi").select("node", "text").dropDuplicates(["node"]), "texts")
+    out = saved(similar(pairs, texts), "linked")
+    discard(texts)
+    return out
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (see ``neardup``) stays: the row of least id, null last (of rows alike in id and text, one)."""
+    """One document of each group of near copies stays: the row of least id, null last (of rows alike in id and text, one).
+
+    Copies are linked by the covering masks over their SimHash and verified; ``neardup`` adds what is similar and lies beyond their radius.
+    """
     bounded_batches(spark)
     cols = docs.columns
     mark, knode, kid, nth = unused(docs, "__node", "__knode", "__id", "__n")
     marked = docs.withColumn(mark, F.xxhash64(F.coalesce("text", F.lit(""))))
-    group = roots(marked.select(F.col(mark).alias("node"), "text"))
+    rows = marked.select(F.col(mark).alias("node"), "text")
+    group = roots(rows, near_links(rows))
     ids = marked.select(F.col(mark).alias("node"), "doc_id").join(group, "node", "left")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("m")
     keep = saved(ids.groupBy(F.coalesce("root", "node").alias("root")).agg(first).select(F.col("m.node").alias(knode), F.col("m.doc_id").alias(kid)), "kept")

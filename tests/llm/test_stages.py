@@ -190,3 +190,21 @@ def test_texts_of_six_megabytes(spark, long_texts, name):
         assert len(rows) == n
         pair = [tuple(v for k, v in r.asDict().items() if k in ("n_bytes", "payload_sha256", "ids_sha256", "runs_sha256", "decoded_sha256", "fingerprint", "n_tokens", "score")) for r in rows if r["doc_id"] in (500, 501)]
         assert name.startswith("op13") or pair[0] == pair[1]
+
+
+def test_near_dedup_goes_by_fingerprints(spark, monkeypatch):
+    """The stage's groups hold what the covering masks link, also where no band is shared; texts of like fingerprints that are not similar stay apart."""
+    from pyspark.sql import functions as F
+
+    from lodestone.llm import neardup, simhash
+
+    body = " ".join(f"word{k}" for k in range(400))
+    line = "this very line comes again " * 60
+    rows = [(1, body), (2, body + " end"), (3, line + " ".join(f"a{k}" for k in range(100))), (4, line + " ".join(f"b{k}" for k in range(100))), (5, "other words entirely here now")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = docs.select(F.col("doc_id").alias("node"), "text")
+    fps = {r["doc_id"]: r["fp"] for r in simhash.with_fingerprint(docs).collect()}
+    assert all(((fps[a] ^ fps[b]) & (1 << 64) - 1).bit_count() <= simhash.RADIUS for a, b in ((1, 2), (3, 4)))
+    assert [tuple(r) for r in simhash.near_links(nodes).collect()] == [(1, 2)]
+    monkeypatch.setattr(neardup, "buckets", lambda nodes, keys: spark.createDataFrame([], "t int, key long, node long, size long"))
+    assert sorted(r["doc_id"] for r in simhash.stage(spark, docs, "").collect()) == [1, 3, 4, 5]
