@@ -40,6 +40,8 @@ SHINGLE, MIN_SIMILARITY, RADIUS, BLOCKS, BLOCK_BITS = 5, 0.8, 15, 4, 16
 ITEM_BLOCK = 2_000
 #: Places whose windows of all sizes are worked on at once.
 STRETCH = 1 << 14
+#: Windows whose bits a worker keeps room for.
+ROOM = STRETCH + 1
 
 #: Bytes between words: ASCII but letters and digits.
 BLANK = np.ones(256, bool)
@@ -60,9 +62,21 @@ def bit_sums(h: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+_room: dict[np.dtype, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def fingerprints(sums: np.ndarray, width: int) -> np.ndarray:
     """SimHash of each run of ``width`` shingles: a bit is 1 if set in over half of them."""
-    ones = sums[width:] - sums[:-width] > width // 2
+    n = len(sums) - width
+    # A worker asks for this room a size and stretch; taking it anew each time costs a seventh of the search.
+    if n <= ROOM:
+        if sums.dtype not in _room:
+            _room[sums.dtype] = np.empty((ROOM, 64), sums.dtype), np.empty((ROOM, 64), bool)
+        many, ones = (x[:n] for x in _room[sums.dtype])
+    else:
+        many, ones = np.empty((n, 64), sums.dtype), np.empty((n, 64), bool)
+    np.subtract(sums[width:], sums[:-width], out=many)
+    np.greater(many, width // 2, out=ones)
     return np.packbits(ones.reshape(-1), bitorder="little").view(np.uint64)
 
 

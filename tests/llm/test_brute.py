@@ -343,3 +343,21 @@ def test_op9_routed_scores_are_the_same(spark, awkward, monkeypatch):
     monkeypatch.setattr(L, "CHUNK", 50_000)
     two = in_order(map(tuple, got(spark, "op9", awkward).collect()))
     assert [a[:5] for a in one] == [a[:5] for a in two] and all(abs(a[-1] - b[-1]) < 1e-6 for a, b in zip(one, two))
+
+
+def test_op5_fingerprints_keep_their_room(monkeypatch):
+    """Windows are added up in room that is kept, wide ones and more than fit as well; each is the SimHash of its shingles."""
+    import numpy as np
+
+    from lodestone.llm import decontam
+
+    monkeypatch.setattr(decontam, "ROOM", 50)
+    monkeypatch.setattr(decontam, "_room", {})
+    h = np.random.default_rng(1).integers(0, 1 << 63, 120, dtype=np.uint64)
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(int)
+    for kind in (100, 1 << 15):
+        sums = decontam.bit_sums(h, kind)
+        for width in (3, 90, 118):
+            want = [sum(1 << b for b in np.flatnonzero(bits[i : i + width].sum(0) > width // 2).tolist()) for i in range(121 - width)]
+            assert decontam.fingerprints(sums, width).tolist() == want
+    assert len(decontam._room) == 2
