@@ -227,6 +227,17 @@ def test_large_batch_writes_no_pairs(spark, tmp_path, monkeypatch):
     assert 0 < kept[0].count() < index.bounds(asked).count() / 2
 
 
+def test_postings_are_written_without_a_sort(spark, tmp_path, monkeypatch):
+    """Spark sorts a task's rows once as many files are open as it allows: there is room for one more than a task has folders."""
+    allowed, setting = {}, fulltext.setting
+    monkeypatch.setattr(fulltext, "setting", lambda spark, key, value: allowed.update({key: value}) or setting(spark, key, value))
+    docs = spark.createDataFrame(texts(8, 200), "id long, text string")
+    index = TextIndex(spark, f"{tmp_path}/i")
+    index.add(docs)
+    folders = index._of(index.state(), "postings").select("bucket").distinct().count()
+    assert folders == index.buckets < int(allowed["spark.sql.maxConcurrentOutputFileWriters"])
+
+
 def test_index_of_nothing(spark, tmp_path, asked):
     index = TextIndex(spark, f"{tmp_path}/i")
     assert index.search(asked).count() == 0 and index.frequencies().count() == 0
