@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import bounded_batches, table
-from .textarrays import frugal, gram_hashes, text_chunks, word_hashes, words
+from .textarrays import CHUNK_BYTES, frugal, gram_hashes, text_chunks, word_hashes, words
 
 SHINGLE, MIN_SIMILARITY, RADIUS, BLOCKS, BLOCK_BITS = 5, 0.8, 15, 4, 16
 ITEM_BLOCK = 2_000
@@ -42,6 +42,8 @@ ITEM_BLOCK = 2_000
 STRETCH = 1 << 14
 #: Windows whose bits a worker keeps room for.
 ROOM = STRETCH + 1
+#: Bytes of text that a worker of the pipeline has at once, which shares its executor with what the stages before have left.
+STAGE_BYTES = 1 << 18
 
 #: Bytes between words: ASCII but letters and digits.
 BLANK = np.ones(256, bool)
@@ -188,11 +190,11 @@ class ItemIndex:
                     _, item = index.find(fp, blocks_of(fp))
                     yield np.full(len(item), d), np.full(len(item), first[d]), item, int(count[d])
 
-    def search(self, column) -> Iterator[tuple[int, int, float, int, int, int]]:
+    def search(self, column, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, int, float, int, int, int]]:
         """(row, item, similarity, first word, words, differing bits) of every match."""
         if not self.built:
             self.build()
-        for lo, _, buf, off in text_chunks(_lower(column)):
+        for lo, _, buf, off in text_chunks(_lower(column), chunk_bytes):
             starts, ends, first = words(buf, off, BLANK)
             if not len(starts):
                 continue
@@ -284,7 +286,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 clean = np.ones(b.num_rows, bool)
-                clean[[r for r, *_ in shared.value.search(b.column("text"))]] = False
+                clean[[r for r, *_ in shared.value.search(b.column("text"), STAGE_BYTES)]] = False
                 yield b.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, fields)

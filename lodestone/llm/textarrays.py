@@ -30,6 +30,7 @@ def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     @functools.wraps(run)
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
+        pa.default_memory_pool().release_unused()  # Arrow has an allocator of its own
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
         if trim:
             trim(0)

@@ -361,3 +361,29 @@ def test_op5_fingerprints_keep_their_room(monkeypatch):
             want = [sum(1 << b for b in np.flatnonzero(bits[i : i + width].sum(0) > width // 2).tolist()) for i in range(121 - width)]
             assert decontam.fingerprints(sums, width).tolist() == want
     assert len(decontam._room) == 2
+
+
+def test_op5_search_in_small_chunks(small):
+    """The pipeline's stage has fewer bytes of text at once; what it finds is the same."""
+    import pyarrow.parquet as pq
+
+    from lodestone.llm import decontam
+
+    items = [(r["item_id"], r["text"]) for r in pq.read_table(f"{small}/benchmark.parquet").to_pylist()]
+    texts = pq.read_table(f"{small}/documents.parquet", columns=["text"]).column(0)
+    index = decontam.ItemIndex(items)
+    assert decontam.STAGE_BYTES < decontam.CHUNK_BYTES
+    whole = list(index.search(texts))
+    assert whole and list(index.search(texts, 1 << 12)) == list(index.search(texts, decontam.STAGE_BYTES)) == whole
+
+
+def test_a_worker_gives_back_arrows_memory(monkeypatch):
+    import pyarrow as pa
+
+    from lodestone.llm import textarrays
+
+    calls = []
+    pool = type("Pool", (), {"release_unused": lambda self: calls.append(1)})()
+    monkeypatch.setattr(pa, "default_memory_pool", lambda: pool)
+    run = textarrays.frugal(lambda batches: (b for b in batches))
+    assert list(run(iter([1, 2]))) == [1, 2] and calls == [1]
