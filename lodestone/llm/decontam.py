@@ -39,7 +39,7 @@ from .textarrays import CHUNK_BYTES, frugal, gram_hashes, text_chunks, word_hash
 SHINGLE, MIN_SIMILARITY, RADIUS, BLOCKS, BLOCK_BITS = 5, 0.8, 15, 4, 16
 ITEM_BLOCK = 2_000
 #: Places whose windows of all sizes are worked on at once.
-STRETCH = 1 << 14
+STRETCH = 1 << 15
 #: Windows whose bits a worker keeps room for.
 ROOM = STRETCH + 1
 #: Bytes of text that a worker of the pipeline has at once, which shares its executor with what the stages before have left.
@@ -56,30 +56,52 @@ def _lower(column) -> pa.Array:
     return pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), ""))
 
 
+def _lanes(width: int) -> int:
+    """Bits of a lane whose sum of up to ``width`` ones and minus ones stays inside."""
+    return next(n for n in (8, 16, 32, 64) if width < 1 << n - 1)
+
+
 def bit_sums(h: np.ndarray, width: int) -> np.ndarray:
-    """For each place how many of the hashes before it have each bit; differences over ``width`` places don't overflow."""
-    kind = np.int16 if width < 1 << 15 else np.int64
-    out = np.zeros((len(h) + 1, 64), kind)
-    np.cumsum(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=kind, out=out[1:])
-    return out
+    """For each place how many more of the hashes before it have each bit than have not, for windows of up to ``width``.
+
+    The 64 sums lie in the lanes of as many numbers as a lane has bits: lane j of number k is bit k + lane * j. Lanes borrow from each
+    other, but the difference of two places is one number whose lanes, with a half of their range added, are all in range. So
+    there are two rows: with that half, less one, and without.
+    """
+    lane = _lanes(width)
+    ones = sum(1 << j for j in range(0, 64, lane))
+    out = np.zeros((2, lane, len(h) + 1), np.uint64)
+    bits = h >> np.arange(lane, dtype=np.uint64)[:, None] & np.uint64(ones)
+    bits <<= np.uint64(1)
+    bits -= np.uint64(ones)
+    np.cumsum(bits, axis=1, out=out[1, :, 1:])
+    np.add(out[1], np.uint64(ones * ((1 << lane - 1) - 1)), out=out[0])
+    return out.T
 
 
-_room: dict[np.dtype, tuple[np.ndarray, np.ndarray]] = {}
+_room: dict[int, np.ndarray] = {}
 
 
 def fingerprints(sums: np.ndarray, width: int) -> np.ndarray:
     """SimHash of each run of ``width`` shingles: a bit is 1 if set in over half of them."""
-    n = len(sums) - width
+    n, lane = len(sums) - width, sums.shape[1]
     # A worker asks for this room a size and stretch; taking it anew each time costs a seventh of the search.
     if n <= ROOM:
-        if sums.dtype not in _room:
-            _room[sums.dtype] = np.empty((ROOM, 64), sums.dtype), np.empty((ROOM, 64), bool)
-        many, ones = (x[:n] for x in _room[sums.dtype])
+        if lane not in _room:
+            _room[lane] = np.empty(ROOM, np.uint64)
+        many = _room[lane][:n]
     else:
-        many, ones = np.empty((n, 64), sums.dtype), np.empty((n, 64), bool)
-    np.subtract(sums[width:], sums[:-width], out=many)
-    np.greater(many, width // 2, out=ones)
-    return np.packbits(ones.reshape(-1), bitorder="little").view(np.uint64)
+        many = np.empty(n, np.uint64)
+    half, plain = sums.T
+    out, one = np.zeros(n, np.uint64), np.uint64(1)
+    # The highest bit of a lane is that of the fingerprint; a number's bits move down by one for each number after it.
+    highest = np.uint64(sum(1 << j for j in range(lane - 1, 64, lane)))
+    for k in range(lane):
+        np.right_shift(out, one, out=out)
+        np.subtract(half[k, width:], plain[k, :-width], out=many)
+        np.bitwise_and(many, highest, out=many)
+        np.bitwise_or(out, many, out=out)
+    return out
 
 
 def near_values() -> np.ndarray:
@@ -101,14 +123,17 @@ class MultiIndex:
 
     def find(self, fps: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) of all pairs within RADIUS."""
-        some = self.near[0].take(blocks[0])
+        # Blocks are in range: "wrap" only spares the check before.
+        some, other = np.empty((2, len(fps)), np.uint8)
+        self.near[0].take(blocks[0], out=some, mode="wrap")
         for near, block in zip(self.near[1:], blocks[1:]):
-            some |= near.take(block)
+            near.take(block, out=other, mode="wrap")
+            some |= other
         window = np.flatnonzero(some != 0)
-        at = np.flatnonzero(np.unpackbits(some[window], bitorder="little"))
-        window, k = window[at >> 3], at & 7
-        close = np.flatnonzero(np.bitwise_count(fps[window] ^ self.fps[k]) <= RADIUS)
-        return window[close], self.items[k[close]]
+        # A fifth of the windows of five items is left: all items are held against them.
+        apart = np.bitwise_count(fps[window] ^ self.fps[:, None])
+        k, at = np.divmod(np.flatnonzero(apart <= RADIUS), max(1, len(window)))
+        return window[at], self.items[k]
 
 
 def blocks_of(fps: np.ndarray) -> np.ndarray:
@@ -162,24 +187,29 @@ class ItemIndex:
     def candidates(self, grams: np.ndarray, g: int, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
         """(documents, first words, items, words) of windows within the radius of an item; grams: of all documents' words."""
         sizes = self.by_size[g]
-        widest = max(sizes) - g + 1
         count = np.diff(first)
-        step = max(STRETCH, 4 * widest)
-        for at in range(0, len(grams), step):
-            sums = bit_sums(grams[at : at + step + widest - 1], widest)
-            for size, parts in sizes.items():
-                width = size - g + 1
-                if len(sums) <= width:
-                    continue
-                fps = fingerprints(sums[: step + width], width)
-                blocks = blocks_of(fps)
-                for index in parts:
-                    window, item = index.find(fps, blocks)
-                    if len(window):
-                        start = window + at
-                        doc = np.searchsorted(first, start, "right") - 1
-                        inside = start + size <= first[doc + 1]
-                        yield doc[inside], start[inside], item[inside], size
+        # Wide windows need wide lanes, and twice the work; narrow ones have sums of their own.
+        by_lane: dict[int, dict[int, list[MultiIndex]]] = {}
+        for size, parts in sizes.items():
+            by_lane.setdefault(_lanes(size - g + 1), {})[size] = parts
+        for some in by_lane.values():
+            widest = max(some) - g + 1
+            step = max(STRETCH, 4 * widest)
+            for at in range(0, len(grams), step):
+                sums = bit_sums(grams[at : at + step + widest - 1], widest)
+                for size, parts in some.items():
+                    width = size - g + 1
+                    if len(sums) <= width:
+                        continue
+                    fps = fingerprints(sums[: step + width], width)
+                    blocks = blocks_of(fps)
+                    for index in parts:
+                        window, item = index.find(fps, blocks)
+                        if len(window):
+                            start = window + at
+                            doc = np.searchsorted(first, start, "right") - 1
+                            inside = start + size <= first[doc + 1]
+                            yield doc[inside], start[inside], item[inside], size
         # Documents that are shorter than an item are one window.
         for size, parts in sizes.items():
             least = math.ceil(MIN_SIMILARITY * (size - g + 1) - 1e-9) + g - 1

@@ -387,3 +387,38 @@ def test_a_worker_gives_back_arrows_memory(monkeypatch):
     monkeypatch.setattr(pa, "default_memory_pool", lambda: pool)
     run = textarrays.frugal(lambda batches: (b for b in batches))
     assert list(run(iter([1, 2]))) == [1, 2] and calls == [1]
+
+
+def test_op5_windows_are_added_up_in_lanes(monkeypatch):
+    """A window's 64 sums share numbers; also at a lane's limits, when all hashes agree and at ties each bit is 1 if set in over half."""
+    import numpy as np
+
+    from lodestone.llm import decontam
+
+    monkeypatch.setattr(decontam, "_room", {})
+    rng = np.random.default_rng(2)
+    full = np.uint64((1 << 64) - 1)
+    for kind, widths, numbers in ((60, (1, 2, 59, 60), 8), (127, (126, 127), 8), (128, (127, 128), 16), (32767, (2, 32767), 16), (32768, (32768,), 32)):
+        for h in (rng.integers(0, 1 << 63, kind + 6, dtype=np.uint64) << np.uint64(1), np.zeros(kind + 6, np.uint64), np.full(kind + 6, full), np.arange(kind + 6, dtype=np.uint64) % np.uint64(2) * full):
+            bits = np.concatenate([np.zeros((1, 64), np.int64), np.cumsum(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.int64)])
+            for width in widths:
+                want = np.packbits(2 * (bits[width:] - bits[:-width]) > width, axis=1, bitorder="little").view(np.uint64)[:, 0]
+                sums = decontam.bit_sums(h, kind)
+                assert sums.nbytes == 2 * 8 * numbers * len(sums) and decontam.fingerprints(sums, width).tolist() == want.tolist()
+    # Room for a number a window; it was three bytes for each of 64 bits.
+    assert {k: v.nbytes for k, v in decontam._room.items()} == {8: 8 * decontam.ROOM, 16: 8 * decontam.ROOM, 32: 8 * decontam.ROOM}
+
+
+def test_op5_items_of_narrow_and_wide_windows():
+    """Items whose windows need lanes of 8, 16 and 32 bits are found side by side, each in its place."""
+    import pyarrow as pa
+
+    from lodestone.llm.decontam import ItemIndex
+
+    text = lambda a, n: " ".join(f"w{a}x{k}" for k in range(n))
+    items = [(1, text(1, 60)), (2, text(2, 400)), (3, text(3, 33000)), (4, text(4, 131)), (5, text(5, 132))]
+    docs = [f"{text(9, 7)} {t} {text(8, 3)}" for _, t in items] + [" ".join(t for _, t in items)]
+    got = {(r, i): (sim, at, n) for r, i, sim, at, n, _ in ItemIndex(items).search(pa.array(docs))}
+    sizes = [60, 400, 33000, 131, 132]
+    want = {(r, r): (1.0, 7, n) for r, n in enumerate(sizes)} | {(5, i): (1.0, sum(sizes[:i]), n) for i, n in enumerate(sizes)}
+    assert got == want
