@@ -41,6 +41,8 @@ from .textarrays import LOWER, frugal, mix64, text_chunks, word_hashes, words
 ORDER = 3
 TRIGRAM, BIGRAM = 0.5, 0.25
 BLOCK_BYTES, BITS_PER_ENTRY, PROBES, LINE = 192 << 20, 8, 5, 512
+#: N-grams that are looked up at once: what the steps in between hold stays in a core's cache.
+STEP = 1 << 14
 #: Bytes that a task of a shuffle should read.
 TASK_BYTES = 8 << 20
 #: Bytes of text that are counted at once, bytes of text for each bin of words, n-grams for each bin of the filter.
@@ -202,27 +204,44 @@ class LogFrequencyFilter:
         """First bit of the line, inside its bin's stretch, of an n-gram. ids: the 32 hash bits after those of the bin."""
         return (mix64(ids.astype(np.uint64)) & np.uint64(0xFFFFFFFF)) * np.uint64(stretch // LINE) >> np.uint64(32) << np.uint64(9)
 
+    @staticmethod
+    def hashes(ids: np.ndarray, level: int) -> np.ndarray:
+        return mix64(ids.astype(np.uint64) + np.uint64(level * 0xA0761D6478BD642F % (1 << 64)))
+
     @staticmethod
     def probes(ids: np.ndarray, level: int) -> list[np.ndarray]:
         """Bits of a level inside the line."""
-        a = mix64(ids.astype(np.uint64) + np.uint64(level * 0xA0761D6478BD642F % (1 << 64)))
+        a = LogFrequencyFilter.hashes(ids, level)
         return [a >> np.uint64(9 * k) & np.uint64(LINE - 1) for k in range(PROBES)]
 
     def level(self, h: np.ndarray) -> np.ndarray:
         """Level of each n-gram's count by repeated membership probes; 0: it isn't there."""
         out = np.zeros(len(h), np.uint8)
+        for at in range(0, len(h), STEP):
+            self._level(h[at : at + STEP], out[at : at + STEP])
+        return out
+
+    def _level(self, h: np.ndarray, out: np.ndarray) -> None:
         ids = (h >> np.uint64(32 - self.bin_bits)) & np.uint64(0xFFFFFFFF)
         line = ((h >> np.uint64(64 - self.bin_bits)) - np.uint64(self.first_bin)) * np.uint64(self.stretch) + self.line(ids, self.stretch)
+        line >>= np.uint64(3)  # a line begins with a byte
         live, level = np.arange(len(h)), 1
+        three, nine, seven, bytes_ = np.uint64(3), np.uint64(9), np.uint8(7), np.uint64(LINE // 8 - 1)
         while len(live) and level <= len(LEVELS):
-            at_line, found = line[live], np.ones(len(live), bool)
-            for probe in self.probes(ids[live], level):
-                at = at_line + probe
-                found &= (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
-            live = live[found]
+            # As ``probes`` has them, nine bits of the hash at a time: six for the byte, three for the bit.
+            a, found = self.hashes(ids, level), np.uint8(1)
+            for _ in range(PROBES):
+                at = a >> three
+                at &= bytes_
+                at += line
+                some = self.bits.take(at.view(np.int64), mode="wrap")  # in range: this only spares the check
+                some >>= a.astype(np.uint8) & seven
+                found = np.bitwise_and(found, some)
+                a >>= nine
+            still = np.flatnonzero(found)
+            live, ids, line = live[still], ids[still], line[still]
             out[live] = level
             level += 1
-        return out
 
 
 def ngram_levels(train: DataFrame, bin_bits: int, parts: int) -> DataFrame:

@@ -422,3 +422,31 @@ def test_op5_items_of_narrow_and_wide_windows():
     sizes = [60, 400, 33000, 131, 132]
     want = {(r, r): (1.0, 7, n) for r, n in enumerate(sizes)} | {(5, i): (1.0, sum(sizes[:i]), n) for i, n in enumerate(sizes)}
     assert got == want
+
+
+def test_op9_levels_are_looked_up_in_steps(monkeypatch):
+    """Levels are those that the filter's bits give one probe after another; no more than STEP n-grams are looked up at once."""
+    import numpy as np
+
+    from lodestone.llm import lmscore as L
+
+    rng = np.random.default_rng(4)
+    bin_bits, first_bin, bins, stretch = 8, 3, 5, 16 * L.LINE
+    bits = rng.integers(0, 256, bins * stretch // 8, np.uint8) | rng.integers(0, 256, bins * stretch // 8, np.uint8)
+    h = (rng.integers(first_bin, first_bin + bins, 2500).astype(np.uint64) << np.uint64(64 - bin_bits)) | rng.integers(0, 1 << 56, 2500).astype(np.uint64)
+    one = np.unpackbits(bits, bitorder="little").tolist()
+    want = []
+    for x in h.tolist():
+        own = np.array([x >> 32 - bin_bits & 0xFFFFFFFF], np.uint64)
+        line = ((x >> 64 - bin_bits) - first_bin) * stretch + int(L.LogFrequencyFilter.line(own, stretch)[0])
+        level = 0
+        while level < len(L.LEVELS) and all(one[line + int(p[0])] for p in L.LogFrequencyFilter.probes(own, level + 1)):
+            level += 1
+        want.append(level)
+    assert len(set(want)) > 3
+    sizes, plain = [], L.LogFrequencyFilter.hashes
+    monkeypatch.setattr(L.LogFrequencyFilter, "hashes", staticmethod(lambda ids, level: sizes.append(len(ids)) or plain(ids, level)))
+    monkeypatch.setattr(L, "STEP", 700)
+    assert L.LogFrequencyFilter(bits, bin_bits, stretch, first_bin).level(h).tolist() == want
+    assert max(sizes) == 700
+    assert L.LogFrequencyFilter(bits, bin_bits, stretch, first_bin).level(h[:0]).tolist() == []
