@@ -85,7 +85,7 @@ _room: dict[int, np.ndarray] = {}
 def fingerprints(sums: np.ndarray, width: int) -> np.ndarray:
     """SimHash of each run of ``width`` shingles: a bit is 1 if set in over half of them."""
     n, lane = len(sums) - width, sums.shape[1]
-    # A worker asks for this room a size and stretch; taking it anew each time costs a seventh of the search.
+    # A worker asks for this room for each size and stretch, so it keeps it.
     if n <= ROOM:
         if lane not in _room:
             _room[lane] = np.empty(ROOM, np.uint64)
