@@ -44,3 +44,17 @@ def test_flagship(spark):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_rows(spark, small, name):
     assert QUERIES[name](spark, small).count() > 0
+
+
+@pytest.mark.parametrize("name", ["content_key_dedup", "rrf_two_track", "keep_best", "hybrid_whole_texts"])
+def test_empty_and_missing_texts_against_sql(spark, tmp_path, name):
+    """The empty text is a content like any other, and rows without a text have no key."""
+    texts = [None, "", "one two", None, "", "one two three", "x" * 250, "x" * 201]
+    rows = [(20 * k, t, "ab"[k % 2] if k != 3 else None, [float(k), 1.0]) for k, t in enumerate(texts)]
+    whole = spark.createDataFrame(rows, "id long, text string, source string, embedding array<float>").coalesce(1)
+    whole.selectExpr("id doc_id", "text", "source").write.parquet(f"{tmp_path}/documents.parquet")
+    whole.selectExpr("id vec_id", "embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    assert canon(QUERIES[name](spark, str(tmp_path)).toPandas()) == canon(con.sql(ORACLES[name]).df())
