@@ -58,3 +58,8 @@ def test_empty_and_missing_texts_against_sql(spark, tmp_path, name):
     for t in ("documents", "embeddings"):
         con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
     assert canon(QUERIES[name](spark, str(tmp_path)).toPandas()) == canon(con.sql(ORACLES[name]).df())
+
+
+def test_every_document_asks_for_similar_texts(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    assert QUERIES["similar_texts"](spark, small).select("query_id").distinct().count() == docs.where("text <> ''").count()
