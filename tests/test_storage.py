@@ -295,3 +295,44 @@ def test_entry_names_every_operator():
     if importlib.util.find_spec("lodestone.llm"):
         assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()} >= set(range(1, 14)) and "pipeline" in names
     assert set(entry.oracle_sql()) <= set(names)
+
+
+def test_blocks_are_full_over_batches():
+    """A block goes on in the next Arrow batch: none is a small rest beside each full one."""
+    import numpy as np
+    import pyarrow as pa
+
+    from lodestone.operators import scan
+
+    def batches(sizes):
+        for i, n in enumerate(sizes):
+            words = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * 3, pa.int32()), pa.array(np.arange(3 * n) % 11 + i, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n) + 100 * i), words], ["key", "words"])
+
+    old, scan.DOCS, scan.WORDS = (scan.DOCS, scan.WORDS), 60, 150
+    try:
+        got = [b.column(0).flatten().to_pylist() for b in scan.pack(batches([53, 53, 7, 0, 90]))]
+    finally:
+        scan.DOCS, scan.WORDS = old
+    assert [len(x) for x in got] == [50, 50, 50, 50, 3] and sum(got, []) == [*range(53), *range(100, 153), *range(200, 207), *range(400, 490)]
+
+
+@pytest.mark.parametrize("sparse", [0.0, 1.0, 100.0])
+def test_thresholds_lose_nothing(spark, tmp_path, asked, monkeypatch, sparse):
+    """Many small blocks in a task, a matrix of few rows, a few entries at once: the same hits, and the same ranks of the rows that are expected."""
+    from lodestone.operators import scan
+
+    monkeypatch.setattr(fulltext, "SCAN", -1)
+    for name, x in (("DOCS", 30), ("QUERIES", 7), ("ENTRIES", 40), ("COMMON", 0.2), ("MATRIX", 3), ("SPARSE", sparse)):
+        monkeypatch.setattr(scan, name, x)
+    rows = texts(9, 300) + [(1000 + j, "w5 w9 w150") for j in range(40)] + [(1100 + j, "w5") for j in range(40)]
+    docs = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    index = TextIndex(spark, f"{tmp_path}/i")
+    index.add(docs)
+    every = asked.unionByName(docs.select((F.col("id") + 5000).alias("query_id"), F.col("text").alias("query")))
+    plain = ranked(lexical.bm25(docs, every, "id"))
+    assert ranked(index.search(every)) == plain
+    expected = every.where("query_id >= 5000").select("query_id", (F.col("query_id") - 5000).alias("id"))
+    places = lambda hits: sorted((r["query_id"], r["rank"]) for r in hits.join(expected, ["query_id", "id"]).collect())
+    got = index.search(every, expected=expected)
+    assert places(got) == places(lexical.bm25(docs, every, "id")) and got.count() < len(plain)
