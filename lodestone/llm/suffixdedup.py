@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import saved, table
-from .textarrays import CHUNK_BYTES, frugal, mix64, prefix_hash, span_hash, text_chunks
+from .textarrays import CHUNK_BYTES, frugal, mix64, powers, prefix_hash, span_hash, text_chunks
 
 LENGTH, GRAM = 100, 32
 SLOT_BITS, BUCKET_BITS = 28, 10
@@ -228,9 +228,13 @@ class Suffixes:
     def __init__(self, buf: np.ndarray):
         self.buf = np.concatenate([buf, np.zeros(LENGTH + 8, np.uint8)])
         self.prefix = prefix_hash(self.buf)
+        self.inverse = powers(len(self.prefix), True)
+
+    def hash(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return span_hash(self.prefix, x, y, self.inverse)
 
     def same(self, x: np.ndarray, y: np.ndarray, n: int = LENGTH) -> np.ndarray:
-        return span_hash(self.prefix, x, x + n) == span_hash(self.prefix, y, y + n)
+        return self.hash(x, x + n) == self.hash(y, y + n)
 
     def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """How many of the first LENGTH bytes agree: all, or by binary search."""
@@ -240,7 +244,7 @@ class Suffixes:
         for s in self.STEPS:
             fits = np.flatnonzero(k + s < LENGTH)
             a, b = x[fits] + k[fits], y[fits] + k[fits]
-            k[fits] += s * (span_hash(self.prefix, a, a + s) == span_hash(self.prefix, b, b + s))
+            k[fits] += s * (self.hash(a, a + s) == self.hash(b, b + s))
         n[open_] = k
         return n
 
@@ -339,52 +343,66 @@ def repeated_pieces(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
     live = live[np.lexsort((c["start"][live], c["text_hash"][live], c["doc"][live]))]
     s = Suffixes(text)
     place = at[live] + c["lead"][live]
-    # Pieces with the same anchor are looked at together, the others in turns.
+    # Strings with the same anchor at the same distance are looked at together, others in turns: by anchor, and by distance where an anchor
+    # has very many pieces.
+    low, high = np.full(len(windows), 1 << 30), np.full(len(windows), -1)
     turns = 1 + int(windows[live].sum()) // SORTED_AT_ONCE
-    turn = (mix64(span_hash(s.prefix, place, place + GRAM)) >> np.uint64(40)) % np.uint64(turns)
+    turn = (mix64(s.hash(place, place + GRAM)) >> np.uint64(40)) % np.uint64(turns)
     for k in range(turns):
-        out.append(_repeated(c, live[turn == k], at, windows, s))
+        some = live[turn == k]
+        parts = 1 + int(windows[some].sum()) // (2 * SORTED_AT_ONCE)
+        far = np.linspace(0, LENGTH - GRAM + 1, min(parts, LENGTH - GRAM + 1) + 1).astype(np.int64)
+        for near, end in zip(far[:-1], far[1:]):
+            lead = c["lead"][some].astype(np.int64)
+            first, last = np.maximum(0, lead - end + 1), np.minimum(windows[some], lead - near + 1)
+            use = np.flatnonzero(first < last)
+            _repeated(c, some[use], at, first[use], last[use], s, low, high)
+    hit = live[high[live] >= 0]
+    # A piece is shorter than two strings, so what goes of it is one stretch.
+    out.append((c["doc"][hit], c["text_hash"][hit], c["start"][hit] + low[hit], c["start"][hit] + high[hit] + LENGTH))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _repeated(c: dict, live: np.ndarray, at: np.ndarray, windows: np.ndarray, s: Suffixes) -> tuple[np.ndarray, ...]:
-    """repeated_pieces for the pieces ``live``, given in document order."""
-    out = [(c["doc"][:0], c["text_hash"][:0], c["start"][:0], c["start"][:0])]
-    if len(live):
-        w, lead, place = windows[live], c["lead"][live].astype(np.int64), at[live]
-        anchor = mix64(span_hash(s.prefix, place + lead, place + lead + GRAM))
-        piece = np.repeat(np.arange(len(live)), w)
-        j = np.arange(len(piece)) - np.repeat(np.cumsum(w) - w, w)
-        suffix = place[piece] + j
-        # Equal strings have the same anchor at the same distance.
-        key = mix64(anchor[piece] + (lead[piece] - j).astype(np.uint64))
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        tie = np.concatenate([[False], key[1:] == key[:-1]])
-        many = tie | np.append(tie[1:], False)
-        order, key = order[many], key[many]
-        if not len(order):
-            return tuple(np.concatenate(x) for x in zip(*out))
-        group = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]]))
-        into, same = s.classes(suffix[order], group)
-        order = order[into]
-        pair = np.flatnonzero(same)
-        # The first of a class, in document order, stays; so do rows that are that very document again.
-        first = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-        x, y = order[pair], order[first[pair]]
-        own = np.ones(len(pair), bool)
-        for k in ("doc", "text_hash"):
-            own &= c[k][live[piece[x]]] == c[k][live[piece[y]]]
-        own &= c["start"][live[piece[x]]] + j[x] == c["start"][live[piece[y]]] + j[y]
-        gone = x[~own]
-        low, high = np.full(len(live), 1 << 30), np.full(len(live), -1)
-        np.minimum.at(low, piece[gone], j[gone])
-        np.maximum.at(high, piece[gone], j[gone])
-        hit = np.flatnonzero(high >= 0)
-        row = live[hit]
-        # A piece is shorter than two strings, so what goes of it is one stretch.
-        out.append((c["doc"][row], c["text_hash"][row], c["start"][row] + low[hit], c["start"][row] + high[hit] + LENGTH))
-    return tuple(np.concatenate(x) for x in zip(*out))
+def _repeated(c: dict, live: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray, s: Suffixes, low: np.ndarray, high: np.ndarray) -> None:
+    """Of the windows first to last of the pieces ``live``, given in document order: low and high take in those that are repeated."""
+    if not len(live):
+        return
+    w, lead, place = last - first, c["lead"][live].astype(np.int64), at[live]
+    anchor = mix64(s.hash(place + lead, place + lead + GRAM))
+    piece = np.repeat(np.arange(len(live)), w)
+    j = np.arange(len(piece)) - np.repeat(np.cumsum(w) - w - first, w)
+    suffix = place[piece] + j
+    # Equal strings have the same anchor at the same distance.
+    key = mix64(anchor[piece] + (lead[piece] - j).astype(np.uint64))
+    order = np.argsort(key, kind="stable")
+    order = order[_ties(key[order])]
+    # Among the surroundings of a common anchor most strings are alone by their hash: they are like no other and are not sorted.
+    whole = key[order] ^ s.hash(suffix[order], suffix[order] + LENGTH)
+    by_hash = np.argsort(whole, kind="stable")
+    order = order[np.sort(by_hash[_ties(whole[by_hash])])]
+    if not len(order):
+        return
+    key = key[order]
+    group = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]]))
+    into, same = s.classes(suffix[order], group)
+    order = order[into]
+    pair = np.flatnonzero(same)
+    # The first of a class, in document order, stays; so do rows that are that very document again.
+    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+    x, y = order[pair], order[head[pair]]
+    own = np.ones(len(pair), bool)
+    for k in ("doc", "text_hash"):
+        own &= c[k][live[piece[x]]] == c[k][live[piece[y]]]
+    own &= c["start"][live[piece[x]]] + j[x] == c["start"][live[piece[y]]] + j[y]
+    gone = x[~own]
+    np.minimum.at(low, live[piece[gone]], j[gone])
+    np.maximum.at(high, live[piece[gone]], j[gone])
+
+
+def _ties(values: np.ndarray) -> np.ndarray:
+    """Places of sorted values that are there more than once."""
+    tie = np.concatenate([[False], values[1:] == values[:-1]])[: len(values)]
+    return np.flatnonzero(tie | np.append(tie[1:], False)[: len(values)])
 
 
 def repeated_intervals(pieces: DataFrame) -> DataFrame:

@@ -96,9 +96,12 @@ def prefix_hash(buf: np.ndarray) -> np.ndarray:
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Polynomial hash of bytes[start:end], the same wherever these bytes stand."""
-    return (prefix[end] - prefix[start]) * powers(len(prefix), True)[start]
+def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, inverse: np.ndarray | None = None) -> np.ndarray:
+    """Polynomial hash of bytes[start:end], the same wherever these bytes stand.
+
+    inverse: powers(len(prefix), True), which are worked out at each call for a buffer too long for them to be kept.
+    """
+    return (prefix[end] - prefix[start]) * (powers(len(prefix), True) if inverse is None else inverse)[start]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -374,3 +374,43 @@ def test_stages_with_columns_named_like_their_own(spark, small):
         assert two.columns[: len(odd.columns)] == odd.columns
         assert sorted(r["doc_id"] for r in one.select("doc_id").collect()) == sorted(r["doc_id"] for r in two.collect())
         assert {tuple(r) for r in two.select("__key", "__node", "__n", "__id", "__hash", "__lines").collect()} <= {(1, 2, 3, 4, 5, 6)}
+
+
+def _one_bin(texts: list[bytes]) -> list[bytes]:
+    """All pieces of documents 0, 1, ... as a bin."""
+    buf, off = np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts]))
+    p = suffixdedup.Pieces(buf, off)
+    cols = {"doc": p.doc, "text_hash": p.doc * 0, "start": p.start - off[p.doc], "lead": p.anchor - p.start, "windows": p.windows}
+    raw = buf.tobytes()
+    return [suffixdedup._pack(cols, b"".join(raw[i : i + w + suffixdedup.LENGTH - 1] for i, w in zip(p.start.tolist(), p.windows.tolist())))]
+
+
+@pytest.mark.parametrize("at_once", [1 << 20, 500])
+def test_surroundings_of_a_common_line_are_not_sorted(monkeypatch, at_once):
+    """Of strings around a line that all documents share only those that some other is like are sorted; turns by distance give the same."""
+    rng = np.random.default_rng(3)
+    line = bytes(rng.integers(97, 123, 76).astype(np.uint8))
+    noise = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8))
+    same = noise(60)
+    texts = [(same if k % 10 == 0 else noise(60)) + line + (same if k % 15 == 0 else noise(60)) for k in range(150)]
+    sizes, merge_sort = [], suffixdedup.Suffixes.merge_sort
+    monkeypatch.setattr(suffixdedup, "SORTED_AT_ONCE", at_once)
+    monkeypatch.setattr(suffixdedup.Suffixes, "merge_sort", lambda self, at, group: sizes.append(len(at)) or merge_sort(self, at, group))
+    got = [set() for _ in texts]
+    for doc, _, start, end in zip(*(x.tolist() for x in suffixdedup.repeated_pieces(_one_bin(texts)))):
+        got[doc] |= set(range(start, end))
+    seen, want, n = {}, [set() for _ in texts], suffixdedup.LENGTH
+    for k, t in enumerate(texts):
+        for i in range(len(t) - n + 1):
+            if seen.setdefault(t[i : i + n], (k, i)) != (k, i):
+                want[k] |= set(range(i, i + n))
+    assert got == want and 0 < sum(sizes) < sum(len(t) - n + 1 for t in texts) / 4
+
+
+def test_a_long_buffer_keeps_its_powers(monkeypatch):
+    """Powers that are too many to be kept for all are worked out once for a bin's buffer, not at each comparison."""
+    from lodestone.llm import textarrays
+
+    s, calls, powers = suffixdedup.Suffixes(np.arange(1000, dtype=np.uint8)), [], textarrays.powers
+    monkeypatch.setattr(textarrays, "powers", lambda *a: calls.append(a) or powers(*a))
+    assert s.common(np.array([0, 1]), np.array([256, 2])).tolist() == [100, 0] and not calls
